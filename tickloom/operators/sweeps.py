@@ -8,6 +8,7 @@ so sums are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -67,9 +68,11 @@ NAMES = ("t1", "sl1", "t2", "sl2", "t3", "sl3")
 
 
 def _literal_sets(sets: Sequence[tuple[int, ...]]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).alias("exit_id"), *[F.lit(v).alias(n) for n, v in zip(NAMES, s)]) for i, s in enumerate(sets)
-    ])
+    """The sets as one constant array of structs (a JSON literal, folded once by the optimizer)."""
+    names = NAMES[: len(sets[0])]
+    text = json.dumps([{"exit_id": i, **dict(zip(names, s))} for i, s in enumerate(sets)])
+    fields = ", ".join(f"{n}: int" for n in ("exit_id", *names))
+    return F.from_json(F.lit(text), f"array<struct<{fields}>>")
 
 
 def hit_table(ladder: DataFrame, anchors: Sequence[int], low: int, high: int, min_rungs: int = 4) -> DataFrame:
@@ -199,31 +202,55 @@ def _total(bits: list[Column]) -> Column:
 def filter_grid(rows: DataFrame, dims: Sequence[Dim], by: Sequence[str], sums: dict[str, Column], lead: int = 2) -> DataFrame:
     """Sums per filter combination (only combinations that some row satisfies).
 
-    1. Rows collapse to (by, mask of every dimension): partial sums, at most as many rows as there are
-       distinct masks, whatever the number of trades.
-    2. The first ``lead`` dimensions are exploded to their labels and the data is shuffled once by
-       (by, lead labels). The other dimensions are exploded and summed one after the other inside that
+    1. Rows collapse to (by, masks of all dimensions): partial sums, at most as many rows as there are
+       distinct masks, whatever the number of trades. The masks sit in two integers, ``_lead`` and
+       ``_rest``, so that grouping hashes plain longs.
+    2. The first ``lead`` dimensions are expanded to their labels and the data is shuffled once by
+       (by, _lead). The other dimensions are expanded and summed one after the other inside that
        partitioning, so each step multiplies by one dimension only and no further shuffle is needed.
     """
-    names = [d.name for d in dims]
-    packed = rows.select(*by, *[d.mask.alias(d.name) for d in dims], *[c.alias(n) for n, c in sums.items()])
-    packed = packed.where(" and ".join(f"{n} <> 0" for n in names))
-    add = [F.sum(n).alias(n) for n in sums]
-    cells = packed.groupBy(*by, *names).agg(*add)
-
-    def expand(df: DataFrame, d: Dim) -> DataFrame:
-        options = F.array(*[F.struct(F.lit(1 << i).alias("b"), F.lit(v).alias("v")) for i, v in enumerate(d.labels)])
-        kept = F.filter(options, lambda o: F.col(d.name).bitwiseAND(o["b"]) != 0)
-        return df.withColumn("_o", F.explode(kept)).withColumn(d.name, F.col("_o.v")).drop("_o")
-
-    for d in dims[:lead]:
-        cells = expand(cells, d)
-    if by or lead:
-        cells = cells.repartition(*by, *names[:lead])
-    cells = cells.groupBy(*by, *names).agg(*add)
-    for d in dims[lead:]:
-        cells = expand(cells, d).groupBy(*by, *names).agg(*add)
-    return cells
+    offset, places = 0, []
+    for i, d in enumerate(dims):
+        if i == lead:
+            offset = 0
+        places.append(("_lead" if i < lead else "_rest", offset, (1 << len(d.labels)) - 1))
+        offset += len(d.labels)
+
+    def packed(holder: str) -> Column:
+        out = F.lit(0).cast("long")
+        for d, (where, off, _) in zip(dims, places):
+            if where == holder:
+                out = out.bitwiseOR(F.shiftleft(d.mask.cast("long"), off))
+        return out
+
+    collapsed = rows.select(*by, packed("_lead").alias("_lead"), packed("_rest").alias("_rest"), *[c.alias(n) for n, c in sums.items()])
+    for where, off, m in places:
+        collapsed = collapsed.where(F.col(where).bitwiseAND(F.lit(m << off)) != 0)
+    keys, add = [*by, "_lead", "_rest"], [F.sum(n).alias(n) for n in sums]
+    cells = collapsed.groupBy(*keys).agg(*add)
+
+    def expand(df: DataFrame, where: str, off: int, m: int, width: int) -> DataFrame:
+        # one row per set bit of the dimension, keeping only that bit
+        bits = F.array(*[F.lit(1 << (off + i)).cast("long") for i in range(width)])
+        kept = F.filter(bits, lambda bit: F.col(where).bitwiseAND(bit) != 0)
+        others = F.col(where).bitwiseAND(F.lit(~(m << off)))
+        return df.withColumn("_bit", F.explode(kept)).withColumn(where, others.bitwiseOR(F.col("_bit"))).drop("_bit")
+
+    for d, (where, off, m) in list(zip(dims, places))[:lead]:
+        cells = expand(cells, where, off, m, len(d.labels))
+    if lead:
+        cells = cells.repartition(*by, "_lead")
+        cells = cells.groupBy(*keys).agg(*add)
+    for d, (where, off, m) in list(zip(dims, places))[lead:]:
+        cells = expand(cells, where, off, m, len(d.labels)).groupBy(*keys).agg(*add)
+
+    def label(d: Dim, where: str, off: int) -> Column:
+        out = F.when(F.col(where).bitwiseAND(F.lit(1 << off)) != 0, F.lit(d.labels[0]))
+        for i, v in enumerate(d.labels[1:], 1):
+            out = out.when(F.col(where).bitwiseAND(F.lit(1 << (off + i))) != 0, F.lit(v))
+        return out.alias(d.name)
+
+    return cells.select(*by, *[label(d, where, off) for d, (where, off, _) in zip(dims, places)], *sums)
 
 
 def vol_mode1(value: Column, levels: Sequence[float] = VOLATILITIES) -> Dim:
@@ -250,8 +277,9 @@ def grid_search_cells(entries: DataFrame, hits: DataFrame, sets, anchors, low: i
     packed = entries.select("trade_id", *[d.mask.alias(d.name) for d in dims])
     rows = ladder_exits(hits.join(packed, "trade_id"), sets, anchors, low, high, keep=masks)
     ready = [Dim(d.name, d.labels, F.col(d.name)) for d in dims]
-    sums = {"tenths": F.col("tenths"), "n": F.lit(1).cast("long"), "wins": F.col("win"), "losses": F.col("loss"), "neither": F.col("neither")}
-    return filter_grid(rows, ready, ["exit_id"], sums)
+    sums = {"tenths": F.col("tenths"), "wins": F.col("win"), "losses": F.col("loss"), "neither": F.col("neither")}
+    cells = filter_grid(rows, ready, ["exit_id"], sums)
+    return cells.withColumn("n", F.col("wins") + F.col("losses") + F.col("neither"))
 
 
 def grid_search(cells: DataFrame, dims: Sequence[Dim], sets, mode: int, k: int = 10, min_tenths: int = MIN_SUM_TENTHS) -> DataFrame:
@@ -398,7 +426,7 @@ def scalp_race(path: DataFrame, target: float, stop: float) -> DataFrame:
     )
 
 
-STOP_CANDIDATES = (-0.3, -0.4, -0.5, -0.6, -0.7, -0.8, -0.9)
+STOP_CANDIDATES = (-0.3, -0.4, -0.5, -0.6, -0.7, -0.8)  # fixed values, tightest first
 
 
 def optimal_stop_loss(path: DataFrame, candidates: Sequence[float], hold: float = 0.6, session: SessionSpec = MARKET_HOURS) -> DataFrame:

@@ -118,27 +118,31 @@ def _floor(col, levels):
     return f"(values {', '.join(f'({x})' for x in levels)})"
 
 
+def _numbered(levels):
+    return f"(values {', '.join(f'({x}, {i})' for i, x in enumerate(levels))})"
+
+
 _D = lambda levels: [f"{x}D" if isinstance(x, float) else str(x) for x in levels]
-_FLAGS = (
-    "join (values ('true'), ('false'), ('either')) r(rsi) on r.rsi = 'either' or (r.rsi = 'true' and e.rsi_extreme) or (r.rsi = 'false' and not e.rsi_extreme) "
-    "join (values ('true'), ('false'), ('either')) m(min4) on m.min4 = 'either' or (m.min4 = 'true' and e.prev_lasted) or (m.min4 = 'false' and not e.prev_lasted)"
-)
 
 
 def _filters(mode: int, adx28=(0,), adx14=(0,), adx7=(0,)) -> str:
-    vol = _floor("vol", _D(sweeps.VOLATILITIES))
+    """Check text: one row per (trade, satisfied filter), the filter numbered by ``fid``."""
     on = "e.vol >= v.vol" if mode != 1 else "e.vol >= v.vol and e.vol < (case when v.vol = 0 then 0.6D else 3.0D end)"
-    text = f"flt as (select e.trade_id, {{time}}v.vol, q.ratio, g.avg_last_2, x.adx28, y.adx14, z.adx7, r.rsi, m.min4 from ent e join {vol} v(vol) on {on} "
-    text += f"join {_floor('ratio', _D(sweeps.RATIOS))} q(ratio) on e.ratio >= q.ratio join {_floor('avg', _D(sweeps.AVG_LAST_2))} g(avg_last_2) on e.avg_last_2 >= g.avg_last_2 "
-    for a, n, lv in (("x", "adx28", adx28), ("y", "adx14", adx14), ("z", "adx7", adx7)):
-        text += f"join {_floor(n, lv)} {a}({n}) on e.{n} >= {a}.{n} "
-    text += _FLAGS
+    dims = [("v", "vol", _D(sweeps.VOLATILITIES), on), ("q", "ratio", _D(sweeps.RATIOS), "e.ratio >= q.ratio"),
+            ("g", "avg_last_2", _D(sweeps.AVG_LAST_2), "e.avg_last_2 >= g.avg_last_2")]
+    dims += [(a, n, lv, f"e.{n} >= {a}.{n}") for a, n, lv in (("x", "adx28", adx28), ("y", "adx14", adx14), ("z", "adx7", adx7))]
+    for a, n, flag in (("r", "rsi", "rsi_extreme"), ("m", "min4", "prev_lasted")):
+        dims.append((a, n, ("'true'", "'false'", "'either'"), f"({a}.{n} = 'either' or ({a}.{n} = 'true' and e.{flag}) or ({a}.{n} = 'false' and not e.{flag}))"))
     if mode == 3:
-        text += f" join {_floor('t', DAY_BANDS[:-1])} tb(entry_time) on e.entry_sec >= tb.entry_time and e.entry_sec < tb.entry_time + 5400"
-    return text.replace("{time}", "tb.entry_time, " if mode == 3 else "") + ")"
+        dims.append(("tb", "entry_time", DAY_BANDS[:-1], "e.entry_sec >= tb.entry_time and e.entry_sec < tb.entry_time + 5400"))
+    fid = "0::bigint"
+    for a, _, lv, _on in dims:
+        fid = f"({fid})*{len(lv)} + {a}.i"
+    joins_ = " ".join(f"join {_numbered(lv)} {a}({n}, i) on {cond}" for a, n, lv, cond in dims)
+    return f"flt as (select e.trade_id, {fid} as fid, {', '.join(f'{a}.{n}' for a, n, _, _c in dims)} from ent e {joins_})"
 
 
-@query("J4_filter_grid", TV, f"with {ENTRIES}, {_filters(2, sweeps.ADX, sweeps.ADX, sweeps.ADX)} select * exclude (trade_id), count(*) as n from flt group by all")
+@query("J4_filter_grid", TV, f"with {ENTRIES}, {_filters(2, sweeps.ADX, sweeps.ADX, sweeps.ADX)} select * exclude (trade_id, fid), count(*) as n from flt group by all")
 def _(spark, sf):
     dims = sweeps.search_dims(2)
     return sweeps.filter_grid(sweep_entries(spark, sf), dims, [], {"n": F.lit(1).cast("long")})
@@ -158,7 +162,15 @@ def _(spark, sf):
     return _tenths(out.na.fill(0, ["reached_t1", "reached_sl1"]), "t1", "sl1", "t2", "sl2", "t3", "sl3")
 
 
-_CELLS = "cells as (select f.* exclude (trade_id), t1, sl1, t2, sl2, cast(sum(tenths) as bigint) as tenths, count(*) as n, cast(sum(win) as bigint) as wins, cast(sum(loss) as bigint) as losses, cast(sum(neither) as bigint) as neither from flt f join oc on oc.trade_id = f.trade_id group by all having sum(tenths) >= 20)"
+_CELLS = (
+    "sn as (select *, row_number() over (order by t1, sl1, t2, sl2) - 1 as sid from sets), "
+    "oid as (select oc.trade_id, sn.sid, oc.tenths, oc.win, oc.loss, oc.neither from oc join sn on sn.t1 = oc.t1 and sn.sl1 = oc.sl1 and sn.t2 = oc.t2 and sn.sl2 = oc.sl2), "
+    "ids as (select f.fid*1000 + o.sid as cid, sum(tenths) as tenths, count(*) as n, sum(win) as wins, sum(loss) as losses, sum(neither) as neither "
+    "from flt f join oid o on o.trade_id = f.trade_id group by 1 having sum(tenths) >= 20), "
+    "fdef as (select distinct * exclude (trade_id) from flt), "
+    "cells as (select d.* exclude (fid), sn.* exclude (sid), cast(i.tenths as bigint) as tenths, n, cast(wins as bigint) as wins, cast(losses as bigint) as losses, cast(neither as bigint) as neither "
+    "from ids i join fdef d on d.fid = i.cid // 1000 join sn on sn.sid = i.cid % 1000)"
+)
 _BEST = f"vol, ratio, avg_last_2, adx28, adx14, adx7, rsi, min4, {_OUT2}, tenths/10.0D as sum, n, wins, losses, neither, {rint('tenths/10.0D/n', 2)} as avg"
 _ORDER = "tenths desc, {time}cells.vol, cells.ratio, cells.avg_last_2, cells.adx28, cells.adx14, cells.adx7, cells.rsi, cells.min4, cells.t1, cells.sl1, cells.t2, cells.sl2"
 
@@ -170,17 +182,17 @@ def search(spark, sf, mode: int, k: int = 10, **adx):
     return sweeps.grid_search(cells, dims, sets, mode, k).drop("exit_id")
 
 
-@query("J6_grid_search_mode1", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(1, sweeps.ADX)}, {_CELLS} select {_BEST} from (select * from cells order by {_ORDER.replace('{time}', '')} limit 10) cells")
+@query("J6_grid_search_mode1", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(1)}, {_CELLS} select {_BEST} from (select * from cells order by {_ORDER.replace('{time}', '')} limit 10) cells")
 def _(spark, sf):
-    return search(spark, sf, 1, adx14=(0,), adx7=(0,))
+    return search(spark, sf, 1, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
 _RANKED = "select {sel}, rank from (select *, cast(row_number() over (partition by {part} order by {order}) as int) as rank from cells) cells where rank <= 10"
 
 
-@query("J6_grid_search_mode2", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2, (0,), sweeps.ADX)}, {_CELLS} " + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")))
+@query("J6_grid_search_mode2", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2)}, {_CELLS} " + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")))
 def _(spark, sf):
-    return search(spark, sf, 2, adx28=(0,), adx7=(0,))
+    return search(spark, sf, 2, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
 @query("J6_grid_search_mode3", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(3)}, {_CELLS} " + _RANKED.format(sel="entry_time, " + _BEST, part="entry_time", order=_ORDER.replace("{time}", "")))
@@ -188,6 +200,12 @@ def _(spark, sf):
     return search(spark, sf, 3, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
+# every default list: 27.7 million combinations; no check text, tested against brute force on a small grid
+@query("J6_grid_search_full")
+def _(spark, sf):
+    return search(spark, sf, 1)
+
+
 @query("J7_grid_search_ticks", TV, f"""
 with {ENTRIES}, {texts.TPATH}, o as (select *, sec*1000000::bigint + tick_id as ord from tpath),
   lv as (select * from (values (0.2D), (0.3D), (0.4D), (0.5D)) a(target), (values (-0.5D), (-0.4D), (-0.3D)) b(stop)),
