@@ -230,11 +230,12 @@ def filter_grid(rows: DataFrame, dims: Sequence[Dim], by: Sequence[str], sums: d
     cells = collapsed.groupBy(*keys).agg(*add)
 
     def expand(df: DataFrame, where: str, off: int, m: int, width: int) -> DataFrame:
-        # one row per set bit of the dimension, keeping only that bit
+        # one row per set bit of the dimension, keeping only that bit; exploding a constant array and
+        # filtering stays inside generated code, a lambda filter would not
         bits = F.array(*[F.lit(1 << (off + i)).cast("long") for i in range(width)])
-        kept = F.filter(bits, lambda bit: F.col(where).bitwiseAND(bit) != 0)
         others = F.col(where).bitwiseAND(F.lit(~(m << off)))
-        return df.withColumn("_bit", F.explode(kept)).withColumn(where, others.bitwiseOR(F.col("_bit"))).drop("_bit")
+        set_bits = df.withColumn("_bit", F.explode(bits)).where(F.col(where).bitwiseAND(F.col("_bit")) != 0)
+        return set_bits.withColumn(where, others.bitwiseOR(F.col("_bit"))).drop("_bit")
 
     for d, (where, off, m) in list(zip(dims, places))[:lead]:
         cells = expand(cells, where, off, m, len(d.labels))
