@@ -124,7 +124,7 @@ def check_sql(body: str, *views: str) -> str:
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """fills and trades are inputs of many queries: built once per application, then read as tables."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
@@ -137,9 +137,9 @@ def _staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view; fills and trades go through the library's own operators."""
     if name == "fills":
-        return _staged(spark, sf_dir, name, fills_df)
+        return staged(spark, sf_dir, name, fills_df)
     if name == "trades":
-        return _staged(spark, sf_dir, name, trades_df)
+        return staged(spark, sf_dir, name, trades_df)
     deps = _needed((name,))
     tables = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in _TABLES]
     ctes = [f"{n} as ({VIEWS[n][1].strip()})" for n in deps]
