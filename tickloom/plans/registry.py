@@ -37,5 +37,5 @@ def rint(expr: str, digits: int) -> str:
 def load() -> None:
     """Import every module that registers queries."""
     from tickloom.plans import (  # noqa: F401
-        q_columns, q_joins, q_paths, q_sources, q_stats, q_streams, q_sweeps, q_trades, q_validate,
+        q_columns, q_joins, q_models, q_paths, q_sources, q_stats, q_streams, q_sweeps, q_trades, q_validate,
     )
