@@ -82,18 +82,13 @@ def carry_value(
     seen = F.when(F.col("_val").isNotNull(), sort_key)
     pick = F.min_by("_val", seen) if forward else F.max_by("_val", seen)
     edges = work.groupBy(*keys, "_blk").agg(pick.alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy("_blk")
-    inside = _block_window([*keys, "_blk"], order)
-    if forward:
-        carry_col = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-        near = F.first("_val", ignorenulls=True).over(
-            inside.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-        )
-    else:
-        carry_col = F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-        near = F.last("_val", ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        )
+    # Looking ahead is done as looking back in reverse order: a frame that only grows is evaluated
+    # incrementally, a frame up to unboundedFollowing would be recomputed for every row.
+    turn = F.desc if forward else F.asc
+    across = Window.partitionBy(*keys).orderBy(turn("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = _block_window([*keys, "_blk"], [turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    carry_col = F.last("_edge", ignorenulls=True).over(across)
+    near = F.last("_val", ignorenulls=True).over(inside)
     carry = edges.select(*keys, "_blk", carry_col.alias("_carry"))
     local = work.withColumn("_near", near)
     return (

@@ -32,7 +32,8 @@ def _so_far():
 
 
 def _ahead():
-    return _w().rowsBetween(0, Window.unboundedFollowing)
+    """This row and all later ones, written as a growing frame in reverse order (evaluated incrementally)."""
+    return Window.partitionBy("trade_id").orderBy(F.desc("sec"), F.desc("tick_id")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _at():

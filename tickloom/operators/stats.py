@@ -91,10 +91,11 @@ def ticker_day_summary(trades: DataFrame) -> DataFrame:
 
 def overall_summary(trades: DataFrame) -> DataFrame:
     """Totals over all days, overall (ticker null) and per ticker, and the same per trading day."""
-    days = trades.agg(F.countDistinct("trade_date")).scalar()
-    g = trades.groupingSets([[], ["ticker"]], "ticker").agg(*_summary_cols())
-    per_day = [round_to(F.col(c) / days, 2).alias(f"{c}_per_day") for c in ("total_pct", "holder_pct", "fail_pct")]
-    return g.select("*", days.alias("days"), *per_day)
+    g = trades.groupingSets([[], ["ticker"]], "ticker").agg(*_summary_cols(), F.countDistinct("trade_date").alias("days"))
+    # the overall row has the number of days of the whole set; g has one row per ticker and one more
+    g = g.withColumn("days", F.max("days").over(Window.partitionBy()))
+    per_day = [round_to(F.col(c) / F.col("days"), 2).alias(f"{c}_per_day") for c in ("total_pct", "holder_pct", "fail_pct")]
+    return g.select("*", *per_day)
 
 
 def red_green_days(results: DataFrame, value: str = "roi", positions: int = 6) -> DataFrame:
@@ -118,7 +119,8 @@ def holding_outcomes(path: DataFrame, holds: Sequence[float] = HOLD_VALUES, hold
     knows its stop. The path ends at that row or at the first roi <= sl, whichever is earlier.
     """
     at = F.struct("sec", "tick_id", "roi")
-    ahead = Window.partitionBy("trade_id").orderBy("sec", "tick_id").rowsBetween(1, Window.unboundedFollowing)
+    # later rows, as a growing frame in reverse order
+    ahead = Window.partitionBy("trade_id").orderBy(F.desc("sec"), F.desc("tick_id")).rowsBetween(Window.unboundedPreceding, -1)
     rows = path.withColumn("_next", F.min(F.when(F.col("roi") <= hold_sl, at)).over(ahead))
     keep = [c for c in ("ticker", "trade_date", "entry_sec") if c in path.columns]
     g = rows.groupBy("trade_id", *keep).agg(
