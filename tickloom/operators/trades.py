@@ -124,32 +124,26 @@ def build_trade_summary(fills: DataFrame, ticks: DataFrame) -> DataFrame:
 def recent_trade_context(trades: DataFrame, pct: str = "pct_change", min_sec: int = 240) -> DataFrame:
     """mean percent of the previous two trades on the ticker, and whether the previous one lasted.
 
-    The history of a ticker is cut by day. A day's last two trades are its summary; the two days with
-    trades before a day hold at least two trades, if that many exist.
+    The history of a ticker is cut into half hours. The last two trades of a half hour are its summary;
+    the two non-empty half hours before a block hold at least two trades, if that many exist.
     """
+    keys = ["ticker", "_blk"]
     order = F.struct("entry_sec", "trade_id")
     item = F.struct(F.col(pct).alias("pct"), F.col("duration_sec").alias("dur"))
-    w_day = Window.partitionBy("ticker", "trade_date").orderBy("entry_sec", "trade_id")
-    w_days = Window.partitionBy("ticker").orderBy("trade_date")
-    ends = (
-        trades.groupBy("ticker", "trade_date")
-        .agg(F.max(F.struct(order.alias("k"), item.alias("v"))).alias("_l1"), F.count(F.lit(1)).alias("_n"))
+    cut = trades.withColumn("_blk", day_block())
+    newest_first = Window.partitionBy(*keys).orderBy(F.desc("entry_sec"), F.desc("trade_id"))
+    last_two = cut.withColumn("_rn", F.row_number().over(newest_first)).where("_rn <= 2")
+    ends = last_two.groupBy(*keys).agg(
+        F.max_by(item, order).alias("_l1"), F.max(F.when(F.col("_rn") == 2, item)).alias("_l2")
     )
-    second = (
-        trades.withColumn("_rn", F.row_number().over(Window.partitionBy("ticker", "trade_date").orderBy(F.desc("entry_sec"), F.desc("trade_id"))))
-        .where("_rn = 2").select("ticker", "trade_date", item.alias("_l2"))
-    )
-    days = (
-        ends.join(second, ["ticker", "trade_date"], "left")
-        .select("ticker", "trade_date", F.col("_l1.v").alias("_l1"), "_l2")
-        .withColumn("_p1", F.lag("_l1").over(w_days))
-        .withColumn("_p2", F.coalesce(F.lag("_l2").over(w_days), F.lag("_l1", 2).over(w_days)))
-        .select("ticker", "trade_date", "_p1", "_p2")
-    )
-    rows = (
-        trades.withColumn("_d1", F.lag(item, 1).over(w_day)).withColumn("_d2", F.lag(item, 2).over(w_day))
-        .join(days, ["ticker", "trade_date"])
+    w_blocks = Window.partitionBy("ticker").orderBy("_blk")
+    before = (
+        ends.withColumn("_p1", F.lag("_l1").over(w_blocks))
+        .withColumn("_p2", F.coalesce(F.lag("_l2").over(w_blocks), F.lag("_l1", 2).over(w_blocks)))
+        .select(*keys, "_p1", "_p2")
     )
+    w = Window.partitionBy(*keys).orderBy("entry_sec", "trade_id")
+    rows = cut.withColumn("_d1", F.lag(item, 1).over(w)).withColumn("_d2", F.lag(item, 2).over(w)).join(before, keys)
     one = F.coalesce("_d1", "_p1")
     two = F.when(F.col("_d1").isNull(), F.col("_p2")).otherwise(F.coalesce("_d2", "_p1"))
     total = F.coalesce(one["pct"], F.lit(0.0)) + F.coalesce(two["pct"], F.lit(0.0))

@@ -38,8 +38,15 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The rows of ``batch`` to append: first row of each key that ``target`` does not hold."""
-    return first_by_key(batch, keys, order).join(target.select(*keys), list(keys), "left_anti").select(*batch.columns)
+    """The rows of ``batch`` to append: first row of each key that ``target`` does not hold.
+
+    When the day is part of the key, only the days of the batch are read from a target partitioned by
+    day (dynamic partition pruning through the semi join).
+    """
+    held = target.select(*keys)
+    if "trade_date" in keys:
+        held = held.join(batch.select("trade_date").distinct(), "trade_date", "left_semi")
+    return first_by_key(batch, keys, order).join(held, list(keys), "left_anti").select(*batch.columns)
 
 
 def append_absent(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: str) -> None:
