@@ -164,11 +164,11 @@ def _(spark, sf):
 
 _CELLS = (
     "sn as (select *, row_number() over (order by t1, sl1, t2, sl2) - 1 as sid from sets), "
-    "oid as (select oc.trade_id, sn.sid, oc.tenths, oc.win, oc.loss, oc.neither from oc join sn on sn.t1 = oc.t1 and sn.sl1 = oc.sl1 and sn.t2 = oc.t2 and sn.sl2 = oc.sl2), "
-    "ids as (select f.fid*1000 + o.sid as cid, sum(tenths) as tenths, count(*) as n, sum(win) as wins, sum(loss) as losses, sum(neither) as neither "
+    "oid as (select oc.trade_id, sn.sid, oc.tenths::double as tenths, oc.win::double as win, oc.loss::double as loss from oc join sn on sn.t1 = oc.t1 and sn.sl1 = oc.sl1 and sn.t2 = oc.t2 and sn.sl2 = oc.sl2), "
+    "ids as (select f.fid*1000 + o.sid as cid, sum(tenths) as tenths, count(*) as n, sum(win) as wins, sum(loss) as losses "
     "from flt f join oid o on o.trade_id = f.trade_id group by 1 having sum(tenths) >= 20), "
     "fdef as (select distinct * exclude (trade_id) from flt), "
-    "cells as (select d.* exclude (fid), sn.* exclude (sid), cast(i.tenths as bigint) as tenths, n, cast(wins as bigint) as wins, cast(losses as bigint) as losses, cast(neither as bigint) as neither "
+    "cells as (select d.* exclude (fid), sn.* exclude (sid), cast(i.tenths as bigint) as tenths, n, cast(wins as bigint) as wins, cast(losses as bigint) as losses, cast(n - wins - losses as bigint) as neither "
     "from ids i join fdef d on d.fid = i.cid // 1000 join sn on sn.sid = i.cid % 1000)"
 )
 _BEST = f"vol, ratio, avg_last_2, adx28, adx14, adx7, rsi, min4, {_OUT2}, tenths/10.0D as sum, n, wins, losses, neither, {rint('tenths/10.0D/n', 2)} as avg"
