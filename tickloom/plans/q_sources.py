@@ -8,9 +8,8 @@ from tickloom.functions.clock import sec_to_hms
 from tickloom.functions.columns import volatility_percent, volatility_ratio
 from tickloom.operators import stats
 from tickloom.plans.fixtures import view
-from tickloom.plans.q_columns import _HMS
 from tickloom.plans.q_stats import _SUM
-from tickloom.plans.q_validate import CATALOG, LINES, tick_catalog, tick_lines, tick_names
+from tickloom.plans.q_validate import CATALOG, LINES, tick_catalog, tick_lines
 from tickloom.plans.registry import query, rint
 from tickloom.session import shared_dir
 from tickloom.sources import files, tables

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.numbers import pct_of
 from tickloom.operators import joins, paths, stats, trades as trade_ops
 from tickloom.plans import texts
 from tickloom.plans.fixtures import view

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tickloom.operators import paths, trades as ops
 from tickloom.plans import texts
 from tickloom.plans.fixtures import view

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import blocks, stats, trades as trade_ops, validate as v
-from tickloom.plans import texts
+from tickloom.operators import blocks, validate as v
 from tickloom.plans.fixtures import staged, view
 from tickloom.plans.registry import query
 from tickloom.session import FULL_DAY

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.columns import snake_case_columns
-from tickloom.functions.numbers import round_to
 
 TICK_KEYS = ("ticker", "trade_date", "sec")
 FILL_KEYS = ("exec_time", "symbol")
