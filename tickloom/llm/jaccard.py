@@ -2,16 +2,17 @@
 
 1. Texts with equal shingle sets form one class; all later work is on classes.
 2. A count sketch of fixed size over all texts gives one order of all shingles, frequent ones last. Linked sets
-   share a shingle among their first n - ceil(t*n) + 1 ones, so only classes that share such a shingle go on.
+   share a shingle among their first n - ceil(t*n) + 1 ones.
 3. Classes are partitioned into groups of similar sets: a class joins a group leader that it is linked with.
-   Buckets share a minhash; a large bucket is cut into pieces. Leaders are grouped again with another
-   minhash, so a large family of near copies ends in a few groups.
+   Buckets share two minhashes; a large bucket is cut into pieces. Leaders are grouped again with other
+   minhashes, so a large family of near copies ends in a few groups.
 4. A group stores the union of its members' shingles (split in blocks of members). A class is a query to each
-   group that holds one of its first shingles; a group is opened only if the union holds t*n of the query's
+   group that holds enough of its first shingles; a group is opened only if the union holds t*n of the query's
    shingles, and one verified link joins the query to the group.
 5. Components of the group graph give the result. No pair within a group is ever written out.
 
-The result is exact up to 64-bit hash equality: grouping decides only how much work step 4 has.
+The result is exact up to 64-bit hash equality: grouping and the bit sets (fixed sizes, only to keep rows from being
+shuffled) decide how much work there is, not what is found.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import mix
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import fingerprint, shingle_sets
+from tickloom.llm.sketch import bit_set, counts, has
 from tickloom.session import stage
 
 
@@ -39,13 +40,14 @@ class JaccardSpec:
     num: int = 80
     den: int = 100
     sketch_bits: int = 18
+    filter_bits: int = 24
     block: int = 256
-    rounds: int = 5
+    rounds: int = 4
 
     @property
     def least(self) -> int:
         """Smaller sets are linked with equal sets only: n / (n + 1) is below the threshold."""
-        return -(-self.num // max(1, self.den - self.num)) if self.num < self.den else 1 << 40
+        return -(-self.num // (self.den - self.num)) if self.num < self.den else 1 << 40
 
     def prefix(self, n: int) -> int:
         return n + (-n * self.num // self.den) + 1  # n - ceil(t * n) + 1
@@ -54,81 +56,67 @@ class JaccardSpec:
         return self.den * both >= self.num * (n + m - both)
 
 
-_PARTS = 16
+def _order(s: np.ndarray, sketch: np.ndarray, spec: JaccardSpec) -> np.ndarray:
+    return np.lexsort((mix(s), sketch[(s >> np.uint64(64 - spec.sketch_bits)).astype(np.int64)]))
 
 
-def _sketch(docs: DataFrame, spec: JaccardSpec) -> np.ndarray:
-    """Counts of all shingles of all texts in 2**sketch_bits cells; this array alone comes to the driver."""
-    cells = 1 << spec.sketch_bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            sets = shingle_sets(batch.column(0), spec.words)
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - spec.sketch_bits)).astype(np.int64), minlength=cells)
-        if total.any():
-            salt = int(total.sum() % 64)
-            yield pa.RecordBatch.from_pydict({"part": list(range(_PARTS)), "salt": [salt] * _PARTS, "counts": [x.tobytes() for x in np.split(total, _PARTS)]}, schema=schema)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                x = np.frombuffer(counts.as_buffer(), np.int64)
-                sums[part] = sums[part] + x if part in sums else x.copy()
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": list(sums), "salt": [0] * len(sums), "counts": [x.tobytes() for x in sums.values()]}, schema=schema)
-
-    ddl = "part int, salt int, counts binary"
-    schema = pa.schema([("part", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
-    rows = docs.select("text").mapInArrow(count, ddl)
-    rows = rows.repartition("part", "salt").mapInArrow(add, ddl).repartition("part").mapInArrow(add, ddl)
-    total = np.zeros(cells, np.int64)
-    for r in rows.collect():  # at most one row of cells / 16 counts for each of the 16 parts
-        total.reshape(_PARTS, -1)[r["part"]] += np.frombuffer(r["counts"], np.int64)
-    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+def _classes(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(doc_id, cid, n, keys, first): each text's class, set size, minhashes, and first shingles in the sketch's order."""
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        sets = shingle_sets(batch.column(0), spec.words)
+        return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
-
-def _firsts(docs: DataFrame, spec: JaccardSpec, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, cid, n, first): each text's class, set size and first shingles in the sketch's order."""
+    sketch = docs.sparkSession.sparkContext.broadcast(counts(docs.select("text"), spec.sketch_bits, hashes))
+    salts = mix(np.arange(1, 2 * spec.rounds + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, size, first = [], [], []
+            cid, size, keys, first = [], [], [], []
             for s in shingle_sets(batch.column("text"), spec.words):
                 n = len(s)
-                cid.append(fingerprint(s) if n else None)
                 size.append(n)
+                cid.append(fingerprint(s) if n else None)
                 if n >= spec.least:
-                    order = np.lexsort((mix(s), sketch[(s >> np.uint64(64 - spec.sketch_bits)).astype(np.int64)]))
-                    first.append(s[order[:spec.prefix(n)]].view(np.int64))
+                    low = np.array([mix(s ^ x).min() for x in salts], np.uint64)
+                    keys.append(mix(low[::2] * np.uint64(3) + low[1::2]).view(np.int64))
+                    first.append(s[_order(s, sketch.value, spec)[:spec.prefix(n)]].view(np.int64))
                 else:
+                    keys.append(None)
                     first.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(cid, pa.binary()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "cid", "n", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, longs), pa.array(first, longs)], ["doc_id", "cid", "n", "keys", "first"])
+
+    longs = pa.list_(pa.int64())
+    return docs.mapInArrow(run, "doc_id long, cid long, n long, keys array<long>, first array<long>")
+
+
+def _mark(cid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return mix(cid.view(np.uint64) ^ mix(doc_id.view(np.uint64)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, cid binary, n long, first array<long>")
 
+def _sets(docs: DataFrame, wanted: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(cid, n, tokens) of the ``wanted`` (cid, rep), and of few others; tokens are little-endian 64-bit numbers."""
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mark(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], ["mark"])
 
-def _sets(texts: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """(cid, n, keys, tokens): the minhash of every round, and the whole set as little-endian 64-bit numbers."""
-    salts = mix(np.arange(1, spec.rounds + 1, dtype=np.uint64))
+    keep = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select("cid", F.coalesce("rep", F.lit(0)).alias("rep")).mapInArrow(marks, "mark long"), spec.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text"), spec.words) if len(s) >= spec.least]
-            yield pa.RecordBatch.from_pydict({"cid": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "keys": [[mix(s ^ x).min().view(np.int64) for x in salts] for s in sets], "tokens": [s.tobytes() for s in sets]}, schema=schema)
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            sets = [(fingerprint(s), s, i) for s, i in zip(shingle_sets(batch.column("text"), spec.words), ids) if len(s) >= spec.least]
+            if sets:
+                some = has(keep.value, _mark(np.array([x[0] for x in sets], np.int64), np.array([x[2] for x in sets], np.int64)))
+                sets = [x for x, y in zip(sets, some) if y]
+            yield pa.RecordBatch.from_pydict({"cid": [x[0] for x in sets], "n": [len(x[1]) for x in sets], "tokens": [x[1].tobytes() for x in sets]}, schema=schema)
 
-    schema = pa.schema([("cid", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("tokens", pa.binary())])
-    return texts.select("text").mapInArrow(run, "cid binary, n long, keys array<long>, tokens binary")
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+    return docs.mapInArrow(run, "cid long, n long, tokens binary")
 
 
-def _lead(sets: DataFrame, spec: JaccardSpec, seed: int) -> DataFrame:
-    """(cid, leader): classes that are linked with a leader of their minhash bucket, or of its piece."""
-    keyed = sets.withColumn("key", F.element_at("keys", seed + 1))
-    many = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    piece = F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / spec.block)).cast("long")
-    rows = keyed.join(many, "key").select("key", piece.alias("piece"), "n", "cid", "tokens")
+def _lead(pieces: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(cid, leader): classes that are linked with a leader of their piece. pieces: (cid, key, piece)."""
+    rows = pieces.join(sets, "cid").select("key", "piece", "n", "cid", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, post, leaders = None, {}, []
@@ -147,41 +135,83 @@ def _lead(sets: DataFrame, spec: JaccardSpec, seed: int) -> DataFrame:
                     for t in s:
                         post.setdefault(t, []).append(len(leaders))
                     leaders.append((cid, n))
-                else:
+                elif leaders[best][0] != cid:  # not the same class once more
                     got.append(cid)
                     lead.append(leaders[best][0])
             yield pa.RecordBatch.from_pydict({"cid": got, "leader": lead}, schema=schema)
 
-    schema = pa.schema([("cid", pa.binary()), ("leader", pa.binary())])
-    return rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "cid").mapInArrow(run, "cid binary, leader binary")
+    schema = pa.schema([("cid", pa.int64()), ("leader", pa.int64())])
+    return rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "cid").mapInArrow(run, "cid long, leader long").dropDuplicates(["cid"])
 
 
-def _groups(sets: DataFrame, spec: JaccardSpec) -> DataFrame | None:
+def _groups(docs: DataFrame, classes: DataFrame, spec: JaccardSpec) -> DataFrame | None:
     """(cid, grp) for classes that ended in another class's group; None if there are none."""
+    keyed = classes.where(F.col("keys").isNotNull()).select("cid", "rep", F.posexplode("keys").alias("round", "key"))
+    several = keyed.groupBy("round", "key").agg(F.count("*").alias("c")).where("c > 1")
+    some = stage(keyed.join(several.drop("c"), ["round", "key"]))
+    if not some.limit(1).count():
+        return None
+    sets = stage(_sets(docs, some.select("cid", "rep").distinct(), spec))
     groups = None
-    for seed in range(spec.rounds):
-        led = stage(_lead(sets, spec, seed))
-        n = led.count()
-        if not n:
-            if seed:
-                break
-            continue
-        sets = sets.join(led.select("cid"), "cid", "left_anti")
-        step = led.select(F.col("cid").alias("grp"), "leader")
+    for r in range(spec.rounds):
+        rows = some.where(F.col("round") == r).select("cid", "key")
+        if groups is not None:
+            rows = rows.join(groups, "cid", "left_anti")
+        many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        pieces = rows.join(many, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / spec.block)).cast("long").alias("piece"))
+        led = stage(_lead(pieces, sets, spec))
         moved = led.select("cid", F.col("leader").alias("grp"))
         if groups is not None:
+            step = led.select(F.col("cid").alias("grp"), "leader")
             moved = groups.join(step, "grp", "left").select("cid", F.coalesce("leader", "grp").alias("grp")).union(moved)
         groups = stage(moved)
     return groups
 
 
+def _least_shared(spec: JaccardSpec, n: Column, m: Column) -> Column:
+    """First shingles that linked sets of these sizes share at least: the overlap they need, less all others of either one."""
+    def others(x: Column) -> Column:
+        return F.ceil(x * spec.num / spec.den) - 1
+
+    return F.lit(spec.num) * (n + m) / (spec.num + spec.den) - F.greatest(others(n), others(m))
+
+
+def _pairs(classes: DataFrame, members: DataFrame | None, spec: JaccardSpec) -> DataFrame:
+    """(cid, rep, own, grp): queries and the groups that may hold a set linked with them."""
+    able = classes.where(F.col("first").isNotNull()).select("cid", "rep", "n", "first")
+    grouped = able.withColumn("grp", F.col("cid")) if members is None else able.join(members, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+    grouped = stage(grouped)
+    tokens = grouped.select("grp", F.explode("first").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"))
+    keep = classes.sparkSession.sparkContext.broadcast(bit_set(shared, spec.filter_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("first")
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            some = has(keep.value, flat.view(np.uint64))
+            at = np.repeat(np.arange(len(sizes)), sizes)[some]
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("cid", "rep", "n", "grp")] + [pa.array(flat[some])], ["cid", "rep", "n", "grp", "token"])
+
+    held = stage(grouped.mapInArrow(run, "cid long, rep long, n long, grp long, token long").join(shared, "token"))
+    aims = held.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = held.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asks = held.select("token", "cid", "rep", "n", F.col("grp").alias("own"))
+    fits = (F.col("n") * spec.num <= F.col("hi") * spec.den) & (F.col("lo") * spec.num <= F.col("n") * spec.den)
+    common = asks.join(aims, "token").where("own > grp").where(fits).groupBy("cid", "rep", "n", "own", "grp").agg(F.count("*").alias("c"))
+    low = F.greatest(F.col("lo").cast("double"), F.col("n") * spec.num / spec.den)
+    high = F.least(F.col("hi").cast("double"), F.col("n") * spec.den / spec.num)
+    need = F.least(_least_shared(spec, F.col("n"), low), _least_shared(spec, F.col("n"), high), F.when(F.col("n").between(F.col("lo"), F.col("hi")), _least_shared(spec, F.col("n"), F.col("n"))))
+    return common.join(sizes, "grp").where(F.col("c") + 2 >= need).select("cid", "rep", "own", "grp")
+
+
 def _edges(pairs: DataFrame, members: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
     """(a, b): group of the query and group that it is linked with. pairs: (cid, own, grp); members: (cid, grp)."""
-    wanted = members.join(pairs.select("grp").distinct(), "grp", "left_semi")
-    sizes = wanted.groupBy("grp").agg(F.ceil(F.count("*") / spec.block).alias("blocks"))
-    held = wanted.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", F.lit(None).cast("binary").alias("own"))
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / spec.block).alias("blocks"))
+    held = members.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", F.lit(None).cast("long").alias("own"))
     asks = pairs.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "cid", "own")
-    rows = held.union(asks).join(sets.select("cid", "n", "tokens"), "cid").select("grp", "block", "kind", "n", "own", "tokens")
+    rows = held.union(asks).join(sets, "cid").select("grp", "block", "kind", "n", "own", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, inside, union = None, [], None
@@ -205,8 +235,8 @@ def _edges(pairs: DataFrame, members: DataFrame, sets: DataFrame, spec: JaccardS
                         break
             yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "kind").mapInArrow(run, "a binary, b binary").distinct()
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "kind").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> DataFrame:
@@ -218,41 +248,21 @@ def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> Da
     A null doc_id takes part, but is the component only where no row of the component has an id.
     An empty table gives no rows.
     """
-    first = stage(_firsts(docs, spec, _sketch(docs, spec)))
-    classes = stage(first.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")))
-    able = first.where(F.col("first").isNotNull()).groupBy("cid").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    tokens = able.select("cid", "n", F.posexplode("first").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
-    hits = stage(tokens.join(shared, "token"))
-    wanted = hits.select("cid").distinct().join(classes, "cid").select(F.col("rep").alias("want")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, F.expr("doc_id <=> want"), "left_semi")
-    sets = stage(_sets(texts, spec).dropDuplicates(["cid"]))
-
-    groups = _groups(sets, spec)
-    if groups is None:
-        members = hits.select("cid", F.col("cid").alias("grp")).distinct()
-    else:
-        members = hits.select("cid").distinct().join(groups, "cid", "left").select("cid", F.coalesce("grp", "cid").alias("grp"))
-    members = stage(members)
-    held = hits.join(members, "cid")
-    per = held.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first"))
-    several = per.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    asks = held.join(several, "token").select("token", "cid", "n", "pos", F.col("grp").alias("own"))
-    aims = per.join(several, "token")
-    need = F.ceil(F.lit(spec.num) * (F.col("n") + F.greatest("lo", F.ceil(F.col("n") * spec.num / spec.den))) / (spec.num + spec.den) - 1e-9)
-    pairs = stage(
-        asks.join(aims, "token").where("own > grp")
-        .where((F.col("n") * spec.num <= F.col("hi") * spec.den) & (F.col("lo") * spec.num <= F.col("n") * spec.den))
-        .where(F.least(F.col("n") - F.col("pos"), F.col("hi") - F.col("first")) >= need)
-        .select("cid", "own", "grp").distinct()
-    )
-    edges = stage(_edges(pairs, members, sets, spec))
-    label = members
-    if edges.limit(1).count():
-        found = components(edges).select(F.col("node").alias("grp"), F.col("label"))
-        label = members.join(found, "grp", "left").select("cid", F.coalesce("label", "grp").alias("grp"))
-    linked = classes.join(label, "cid", "left").select("cid", "rep", F.coalesce("grp", "cid").alias("grp"))
-    lowest = linked.groupBy("grp").agg(F.min("rep").alias("component_id"))
-    of = linked.join(lowest, "grp").select("cid", "component_id")
-    some = first.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid").select("doc_id", "n_shingles", "component_id")
-    return some.union(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stage(_classes(docs, spec))
+    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first")))
+    groups = _groups(docs, classes, spec)
+    pairs = stage(_pairs(classes, groups, spec))
+    label = classes.select("cid", "rep", F.col("cid").alias("grp"))
+    if groups is not None:
+        label = classes.select("cid", "rep").join(groups, "cid", "left").select("cid", "rep", F.coalesce("grp", "cid").alias("grp"))
+    if pairs.limit(1).count():
+        aims = stage(label.join(pairs.select("grp").distinct(), "grp", "left_semi"))
+        sets = stage(_sets(docs, aims.select("cid", "rep").union(pairs.select("cid", "rep")).distinct(), spec))
+        edges = stage(_edges(pairs, aims.select("cid", "grp"), sets, spec))
+        found = components(edges).select(F.col("node").alias("grp"), "label")
+        label = label.join(found, "grp", "left").select("cid", "rep", F.coalesce("label", "grp").alias("grp"))
+    lowest = label.groupBy("grp").agg(F.min("rep").alias("component_id"))
+    of = label.join(lowest, "grp").select("cid", "component_id")
+    some = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid").select("doc_id", "n_shingles", "component_id")
+    return some.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

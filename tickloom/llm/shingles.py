@@ -74,9 +74,7 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(tokens: np.ndarray) -> bytes:
-    """16 bytes that stand for a set of shingles."""
+def fingerprint(tokens: np.ndarray) -> int:
+    """A signed 64-bit number that stands for a set of shingles."""
     n = np.array([len(tokens)], np.uint64)
-    one = mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + n)
-    two = mix(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) * _NEXT + n)
-    return one.tobytes() + two.tobytes()
+    return int(mix(mix(mix(tokens) ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + n).view(np.int64)[0])
