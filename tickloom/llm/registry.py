@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import q_jaccard
+from tickloom.llm import q_html, q_jaccard, q_mixing, q_packing, q_quality, q_secrets, q_toxicity, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": q_jaccard.op1_ngram_jaccard_join,
+    "op3_quality_rules": q_quality.op3_quality_rules,
+    "op4_html_extraction": q_html.op4_html_extraction,
+    "op5_mix_sources": q_mixing.op5_mix_sources,
+    "op7_pack_sequences": q_packing.op7_pack_sequences,
+    "op8_secret_scan": q_secrets.op8_secret_scan,
+    "op9_warc_normalise": q_warc.op9_warc_normalise,
+    "op10_toxicity": q_toxicity.op10_toxicity,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op3_quality_rules": q_quality.CHECK,
+    "op9_warc_normalise": q_warc.CHECK,
+}
