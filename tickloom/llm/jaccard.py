@@ -3,13 +3,13 @@
 1. Texts with equal shingle sets form one class; all later work is on classes.
 2. A count sketch of fixed size over all texts gives one order of all shingles, frequent ones last. Linked sets
    share a shingle among their first n - ceil(t*n) + 1 ones.
-3. Classes are partitioned into groups of similar sets: a class joins a group leader that it is linked with.
-   Buckets share two minhashes; a large bucket is cut into pieces. Leaders are grouped again with other
-   minhashes, so a large family of near copies ends in a few groups.
-4. A group stores the union of its members' shingles (split in blocks of members). A class is a query to each
-   group that holds enough of its first shingles; a group is opened only if the union holds t*n of the query's
-   shingles, and one verified link joins the query to the group.
-5. Components of the group graph give the result. No pair within a group is ever written out.
+3. Classes are partitioned into stars: a class joins a leader that it is linked with. Buckets share two minhashes; a
+   large bucket is cut into pieces. Leaders are tried again with other minhashes, so a large family of near copies ends in a
+   few stars. Stars whose leaders share a minhash, linked or not, form a group of similar sets.
+4. A group stores the union of its members' shingles (split in blocks of members), as a matrix of shingles by members. A
+   class is a query to each group that holds enough of its first shingles; a group is opened only if the union holds
+   t*n of the query's shingles. An open group gives a link to a star at most once for each star of a query.
+5. Components of the graph of stars give the result. No pair within a group is ever written out.
 
 The result is exact up to 64-bit hash equality: grouping and the bit sets (fixed sizes, only to keep rows from being
 shuffled) decide how much work there is, not what is found.
@@ -144,11 +144,18 @@ def _lead(pieces: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
     return rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "cid").mapInArrow(run, "cid long, leader long").dropDuplicates(["cid"])
 
 
-def _groups(docs: DataFrame, classes: DataFrame, spec: JaccardSpec) -> DataFrame | None:
-    """(cid, grp) for classes that ended in another class's group; None if there are none."""
+def _with_counts(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of keys that occur twice or more, with their number c. A hot key is spread over 64 salts."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(64)))
+    per = salted.groupBy(*key, "salt").agg(F.count("*").alias("c"))
+    total = per.groupBy(*key).agg(F.sum("c").alias("c")).where("c > 1")
+    return salted.join(per.drop("c").join(total, list(key)), [*key, "salt"]).drop("salt")
+
+
+def _stars(docs: DataFrame, classes: DataFrame, spec: JaccardSpec) -> tuple[DataFrame, DataFrame] | None:
+    """(cid, grp): classes in another class's star; (grp, cell): stars in a group of similar sets. None if there are no shared minhashes."""
     keyed = classes.where(F.col("keys").isNotNull()).select("cid", "rep", F.posexplode("keys").alias("round", "key"))
-    several = keyed.groupBy("round", "key").agg(F.count("*").alias("c")).where("c > 1")
-    some = stage(keyed.join(several.drop("c"), ["round", "key"]))
+    some = stage(_with_counts(keyed, "round", "key").drop("c"))
     if not some.limit(1).count():
         return None
     sets = stage(_sets(docs, some.select("cid", "rep").distinct(), spec))
@@ -157,15 +164,22 @@ def _groups(docs: DataFrame, classes: DataFrame, spec: JaccardSpec) -> DataFrame
         rows = some.where(F.col("round") == r).select("cid", "key")
         if groups is not None:
             rows = rows.join(groups, "cid", "left_anti")
-        many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        pieces = rows.join(many, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / spec.block)).cast("long").alias("piece"))
+        pieces = _with_counts(rows, "key").select("cid", "key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / spec.block)).cast("long").alias("piece"))
         led = stage(_lead(pieces, sets, spec))
         moved = led.select("cid", F.col("leader").alias("grp"))
         if groups is not None:
             step = led.select(F.col("cid").alias("grp"), "leader")
             moved = groups.join(step, "grp", "left").select("cid", F.coalesce("leader", "grp").alias("grp")).union(moved)
         groups = stage(moved)
-    return groups
+    cells = None
+    for r in range(spec.rounds):
+        rows = some.where(F.col("round") == r).select("cid", "key").join(groups, "cid", "left_anti")
+        if cells is not None:
+            rows = rows.join(cells.select("cid"), "cid", "left_anti")
+        cell = F.xxhash64(F.lit(r), "key", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / spec.block)))
+        found = _with_counts(rows, "key").select("cid", cell.alias("cell"))
+        cells = stage(found if cells is None else cells.union(found))
+    return groups, cells.withColumnRenamed("cid", "grp")
 
 
 def _least_shared(spec: JaccardSpec, n: Column, m: Column) -> Column:
@@ -176,11 +190,10 @@ def _least_shared(spec: JaccardSpec, n: Column, m: Column) -> Column:
     return F.lit(spec.num) * (n + m) / (spec.num + spec.den) - F.greatest(others(n), others(m))
 
 
-def _pairs(classes: DataFrame, members: DataFrame | None, spec: JaccardSpec) -> DataFrame:
-    """(cid, rep, own, grp): queries and the groups that may hold a set linked with them."""
+def _pairs(classes: DataFrame, label: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(cid, rep, own, cell): queries and the groups that may hold a set linked with them. label: (cid, grp, cell)."""
     able = classes.where(F.col("first").isNotNull()).select("cid", "rep", "n", "first")
-    grouped = able.withColumn("grp", F.col("cid")) if members is None else able.join(members, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
-    grouped = stage(grouped)
+    grouped = stage(able.join(label.select("cid", "grp", "cell"), "cid"))
     tokens = grouped.select("grp", F.explode("first").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"))
     keep = classes.sparkSession.sparkContext.broadcast(bit_set(shared, spec.filter_bits))
@@ -192,51 +205,96 @@ def _pairs(classes: DataFrame, members: DataFrame | None, spec: JaccardSpec) ->
             some = has(keep.value, flat.view(np.uint64))
             at = np.repeat(np.arange(len(sizes)), sizes)[some]
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("cid", "rep", "n", "grp")] + [pa.array(flat[some])], ["cid", "rep", "n", "grp", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("cid", "rep", "n", "grp", "cell")] + [pa.array(flat[some])], ["cid", "rep", "n", "grp", "cell", "token"])
 
-    held = stage(grouped.mapInArrow(run, "cid long, rep long, n long, grp long, token long").join(shared, "token"))
-    aims = held.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sizes = held.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = held.select("token", "cid", "rep", "n", F.col("grp").alias("own"))
+    held = stage(grouped.mapInArrow(run, "cid long, rep long, n long, grp long, cell long, token long").join(shared, "token"))
+    aims = held.groupBy("token", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("grp").alias("a"), F.max("grp").alias("b"))
+    sizes = held.groupBy("cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asks = held.select("token", "cid", "rep", "n", F.col("grp").alias("own"), F.col("cell").alias("home"))
     fits = (F.col("n") * spec.num <= F.col("hi") * spec.den) & (F.col("lo") * spec.num <= F.col("n") * spec.den)
-    common = asks.join(aims, "token").where("own > grp").where(fits).groupBy("cid", "rep", "n", "own", "grp").agg(F.count("*").alias("c"))
+    other = (F.col("home") > F.col("cell")) | ((F.col("home") == F.col("cell")) & ((F.col("own") != F.col("a")) | (F.col("own") != F.col("b"))))
+    common = asks.join(aims, "token").where(other & fits).groupBy("cid", "rep", "n", "own", "cell").agg(F.count("*").alias("c"))
     low = F.greatest(F.col("lo").cast("double"), F.col("n") * spec.num / spec.den)
     high = F.least(F.col("hi").cast("double"), F.col("n") * spec.den / spec.num)
     need = F.least(_least_shared(spec, F.col("n"), low), _least_shared(spec, F.col("n"), high), F.when(F.col("n").between(F.col("lo"), F.col("hi")), _least_shared(spec, F.col("n"), F.col("n"))))
-    return common.join(sizes, "grp").where(F.col("c") + 2 >= need).select("cid", "rep", "own", "grp")
+    return common.join(sizes, "cell").where(F.col("c") + 2 >= need).select("cid", "rep", "own", "cell")
 
 
 def _edges(pairs: DataFrame, members: DataFrame, sets: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """(a, b): group of the query and group that it is linked with. pairs: (cid, own, grp); members: (cid, grp)."""
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / spec.block).alias("blocks"))
-    held = members.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", F.lit(None).cast("long").alias("own"))
-    asks = pairs.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "cid", "own")
-    rows = held.union(asks).join(sets, "cid").select("grp", "block", "kind", "n", "own", "tokens")
+    """(a, b): linked stars. pairs: (cid, own, cell); members: (cid, grp, cell)."""
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / spec.block).alias("blocks"))
+    held = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long").alias("block"), F.lit(0).alias("kind"), "cid", F.col("grp").alias("own"))
+    asks = pairs.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "cid", "own")
+    rows = held.union(asks).join(sets, "cid").select("cell", "block", "kind", "n", "own", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, inside, union = None, [], None
+        at, inside, group = None, [], None
         for batch in batches:
             a, b = [], []
-            for grp, block, kind, n, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+            for cell, block, kind, n, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
                 s = np.frombuffer(tokens.as_buffer(), np.uint64)
-                if (grp, block) != at:
-                    at, inside, union = (grp, block), [], None
+                if (cell, block) != at:
+                    at, inside, group = (cell, block), [], None
                 if kind == 0:
-                    inside.append(s.copy())
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate(inside)) if inside else s[:0]
-                if spec.den * np.isin(s, union, assume_unique=True).sum() < spec.num * n:
+                    inside.append((own, s.copy()))
                     continue
-                for m in inside:
-                    if spec.num * n <= spec.den * len(m) and spec.num * len(m) <= spec.den * n and spec.linked(len(np.intersect1d(s, m, assume_unique=True)), n, len(m)):
-                        a.append(own)
-                        b.append(grp)
-                        break
+                if group is None:
+                    group = _Group(inside, spec)
+                for star in group.linked(own, s):
+                    a.append(own)
+                    b.append(star)
             yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=schema)
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "kind").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(run, "a long, b long").distinct()
+
+
+class _Group:
+    """A block of members of a group: the union of their shingles, and which member has which."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]], spec: JaccardSpec):
+        self.spec, self.stars, self.sets = spec, [m[0] for m in members], [m[1] for m in members]
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.union = np.unique(np.concatenate(self.sets)) if members else np.zeros(0, np.uint64)
+        self.matrix = None
+        if len(self.union) * len(members) <= 1 << 26:
+            self.matrix = np.zeros((len(self.union), len(members)), np.uint8)
+            for i, s in enumerate(self.sets):
+                self.matrix[np.searchsorted(self.union, s), i] = 1
+        self.root: dict[int, int] = {}
+
+    def _find(self, x: int) -> int:
+        while (y := self.root.get(x, x)) != x:
+            x = y
+        return x
+
+    def linked(self, own: int, s: np.ndarray) -> list[int]:
+        """Stars with a member linked with ``s``, each only once for all that is joined with it already."""
+        n = len(s)
+        at = np.minimum(np.searchsorted(self.union, s), max(0, len(self.union) - 1))
+        at = at[self.union[at] == s] if len(self.union) else at[:0]
+        if self.spec.den * len(at) < self.spec.num * n:
+            return []
+        fits = (self.spec.num * n <= self.spec.den * self.sizes) & (self.spec.num * self.sizes <= self.spec.den * n)
+        if self.matrix is not None:
+            both = self.matrix[at].sum(0, dtype=np.int64)
+        else:
+            both = np.array([len(np.intersect1d(s, m, assume_unique=True)) if f else 0 for m, f in zip(self.sets, fits)])
+        out = []
+        for i in np.flatnonzero(fits & (self.spec.den * both >= self.spec.num * (n + self.sizes - both))).tolist():
+            x, y = self._find(own), self._find(self.stars[i])
+            if x != y:
+                self.root[x] = y
+                out.append(self.stars[i])
+        return out
+
+
+def _joined(docs: DataFrame, label: DataFrame, pairs: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(cid, rep, grp) with one grp for all stars that are linked."""
+    members = stage(label.join(pairs.select("cell").distinct(), "cell", "left_semi"))
+    sets = stage(_sets(docs, members.select("cid", "rep").union(pairs.select("cid", "rep")).distinct(), spec))
+    found = components(stage(_edges(pairs, members, sets, spec))).select(F.col("node").alias("grp"), "label")
+    return label.join(found, "grp", "left").select("cid", "rep", F.coalesce("label", "grp").alias("grp"))
 
 
 def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> DataFrame:
@@ -251,17 +309,13 @@ def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(_classes(docs, spec))
     classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first")))
-    groups = _groups(docs, classes, spec)
-    pairs = stage(_pairs(classes, groups, spec))
-    label = classes.select("cid", "rep", F.col("cid").alias("grp"))
-    if groups is not None:
-        label = classes.select("cid", "rep").join(groups, "cid", "left").select("cid", "rep", F.coalesce("grp", "cid").alias("grp"))
-    if pairs.limit(1).count():
-        aims = stage(label.join(pairs.select("grp").distinct(), "grp", "left_semi"))
-        sets = stage(_sets(docs, aims.select("cid", "rep").union(pairs.select("cid", "rep")).distinct(), spec))
-        edges = stage(_edges(pairs, aims.select("cid", "grp"), sets, spec))
-        found = components(edges).select(F.col("node").alias("grp"), "label")
-        label = label.join(found, "grp", "left").select("cid", "rep", F.coalesce("label", "grp").alias("grp"))
+    found = _stars(docs, classes, spec)
+    label = classes.select("cid", "rep", F.col("cid").alias("grp"), F.col("cid").alias("cell"))
+    if found is not None:
+        label = classes.select("cid", "rep").join(found[0], "cid", "left").select("cid", "rep", F.coalesce("grp", "cid").alias("grp"))
+        label = stage(label.join(found[1], "grp", "left").select("cid", "rep", "grp", F.coalesce("cell", "grp").alias("cell")))
+    pairs = stage(_pairs(classes, label, spec))
+    label = label.drop("cell") if not pairs.limit(1).count() else _joined(docs, label, pairs, spec)
     lowest = label.groupBy("grp").agg(F.min("rep").alias("component_id"))
     of = label.join(lowest, "grp").select("cid", "component_id")
     some = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid").select("doc_id", "n_shingles", "component_id")
