@@ -45,31 +45,45 @@ RULES = (
 )
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed).
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a filter above makes Spark move the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    n_repeat_words counts words in three-word windows that the text holds twice or more. Windows are compared by a
-    64-bit hash; a text without two equal hashes skips the sort. Other columns of ``docs`` are left out.
-    """
+
+def _repeat_words(words: Column) -> Column:
+    """Words in three-word windows that occur twice or more. Windows are compared by a 64-bit hash; without two equal hashes nothing is sorted."""
+    def hashes(w: Column) -> Column:
+        return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
+
+    def repeated(s: Column) -> Column:
+        found = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
+
+    def covered(starts: Column) -> Column:
+        return F.aggregate(
+            starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+            lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")), lambda acc: acc["n"])
+
+    def count(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(_let(pairs, repeated))).otherwise(0)
+
+    return _let(words, lambda w: _let(hashes(w), count)).cast("long")
+
+
+def base_counts(docs: DataFrame) -> DataFrame:
+    """``docs`` as (doc_id, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); other columns are left out."""
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = text.withColumn("words", F.array_remove(F.split("text", _SPACES), ""))
     counts = words.select(
         "doc_id", "text", "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", _BLANK, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(_lines()) - F.size(F.array_distinct(_lines()))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") > 3, F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).alias("hashes"),
+        _let(_lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("words")).alias("n_repeat_words"),
     )
-    windows = counts.withColumn("hashes", F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0))))
-    repeats = windows.withColumn(
-        "sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    found = repeats.withColumn("found", F.filter("sorted", lambda x, k: (x["h"] == F.get("sorted", k - 1)["h"]) | (x["h"] == F.get("sorted", k + 1)["h"])))
-    covered = F.aggregate(
-        F.sort_array(F.transform("found", lambda x: x["i"])), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-        lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")), lambda acc: acc["n"])
-    out = found.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", "text", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return counts.withColumn("base_failed", failed)
 
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, fraction: float = 0.05, seed: int = 7) -> list[Rule]:

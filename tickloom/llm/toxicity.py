@@ -133,8 +133,9 @@ def _features(texts: DataFrame) -> DataFrame:
 def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size: int = 2000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon and its curve from at most ``rows`` labelled texts (see ``training_texts``).
 
-    A word or word beginning is listed if at least 1.5 % of the toxic texts (3 or more) hold it and its smoothed log odds are over 2; of
-    a beginning and a longer one, or a word, with 95 % of its toxic texts the longer one is listed. At most ``size`` entries, by support.
+    A word or word beginning is listed if at least 1 % of the toxic texts (3 or more) hold it, its smoothed log odds are over 2, and its toxic
+    texts exceed what chance gives by a log likelihood of 10; of a beginning and a longer one, or a word, with 95 % of its toxic texts the
+    longer one is listed. At most ``size`` entries, by support.
     Only counts of such entries and one pair of numbers per training text come to the driver. Without toxic or without
     other texts the lexicon is empty, and every score is that of the bias.
     """
@@ -145,8 +146,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size:
         return Lexicon({}, exceptions=exceptions)
     table = stage(_features(texts).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))
-    least = max(3, math.ceil(0.015 * n[1]))
-    found = table.where(F.col("bad") >= least).withColumn("odds", odds).where("odds > 2").orderBy(F.desc("bad"), "feature").limit(size).collect()
+    least = max(3, math.ceil(0.01 * n[1]))
+    chance = F.col("bad") * F.log(F.col("bad") * (n[0] + n[1]) / (F.col("all") * n[1]))
+    found = table.where(F.col("bad") >= least).withColumn("odds", odds).where((F.col("odds") > 2) & (chance >= 10)).orderBy(F.desc("bad"), "feature").limit(size).collect()
     kept: dict[str, float] = {}
     support = {r["feature"]: r["bad"] for r in found}
     for r in found:
