@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.clock import sec_to_hms
 from tickloom.functions.columns import volatility_percent, volatility_ratio
 from tickloom.operators import stats
+from tickloom.operators.validate import TICK_HEADER, TICK_HEADER_WARMUP
 from tickloom.plans.fixtures import view
 from tickloom.plans.q_stats import _SUM
 from tickloom.plans.q_validate import CATALOG, LINES, tick_catalog, tick_lines
@@ -17,16 +18,21 @@ from tickloom.sources import files, tables
 T = ("ticks",)
 
 
-@query("A1_read_ticks_csv", T, f"select ticker, price, atr14, atr28, rsi, volume, adx28, sec, {rint('atr14/price*100.0D', 2)} as volatility_percent, cast(null as double) as vol_warmup, cast(null as varchar) as _corrupt_record from ticks")
+@query("A1_read_ticks_csv", T, f"select ticker, price, atr14, atr28, rsi, volume, adx28, sec, {rint('atr14/price*100.0D', 2)} as volatility_percent, case when tick_id % 3 = 1 then price end as vol_warmup, cast(null as varchar) as _corrupt_record from ticks")
 def _(spark, sf):
+    """Files of the 14-column form, of the 15-column form and with reordered columns, read in one call."""
     t = view(spark, sf, "ticks")
     out = t.select(
-        "ticker", "price", F.lit(0.0).alias("val"), F.lit(0.0).alias("avg"), "atr14", "atr28", "rsi", "volume", "adx28", "adx14", "adx7",
-        volatility_percent(F.col("atr14"), F.col("price")).alias("vp"), volatility_ratio(F.col("atr14"), F.col("atr28")).alias("vr"), sec_to_hms(F.col("sec")).alias("time"),
+        "tick_id", F.col("ticker").alias("Ticker"), F.col("price").alias("Price"), F.lit(0.0).alias("Val"), F.lit(0.0).alias("Avg"), F.col("atr14").alias("Atr14"), F.col("atr28").alias("Atr28"),
+        F.col("rsi").alias("Rsi"), F.col("volume").alias("Volume"), F.col("adx28").alias("Adx28"), F.col("adx14").alias("Adx14"), F.col("adx7").alias("Adx7"),
+        volatility_percent(F.col("atr14"), F.col("price")).alias("Volatility Percent"), F.col("price").alias("Early Morning Atr Warmup Fix"),
+        volatility_ratio(F.col("atr14"), F.col("atr28")).alias("Volatility Ratio"), sec_to_hms(F.col("sec")).alias("Time"),
     )
-    path = shared_dir(spark)
-    files.write_summary_csv(out, path)
-    return files.read_ticks_csv(spark, path).select("ticker", "price", "atr14", "atr28", "rsi", "volume", "adx28", "sec", "volatility_percent", "vol_warmup", "_corrupt_record")
+    forms = [TICK_HEADER, TICK_HEADER_WARMUP, TICK_HEADER[:-1][::-1] + TICK_HEADER[-1:]]
+    paths = [shared_dir(spark) for _ in forms]
+    for i, (head, path) in enumerate(zip(forms, paths)):
+        files.write_summary_csv(out.where(f"tick_id % 3 = {i}").select(*head), path)
+    return files.read_ticks_csv(spark, paths).select("ticker", "price", "atr14", "atr28", "rsi", "volume", "adx28", "sec", "volatility_percent", "vol_warmup", "_corrupt_record")
 
 
 @query("A2_with_file_date", T, f"with {LINES} select filename, line, trade_date, trade_date + to_seconds(sec) as date_time from lines")
@@ -91,6 +97,33 @@ def _(spark, sf):
     return tables.insert_absent(t.where(_TARGET), batch, tables.TICK_KEYS, "ord")
 
 
+@query("A6_append_absent", T, f"""
+with n as (select ticker, trade_date, sec, min(tick_id)*2 as ord, min_by(price, tick_id) as price from ticks t where tick_id % 2 = 0 and {_NOT_HELD} group by ticker, trade_date, sec)
+select * from n union all select ticker, trade_date, sec, tick_id*2 as ord, price from ticks where tick_id % 3 = 0""")
+def _(spark, sf):
+    """The stored form, on a table that write_ticks has partitioned by day."""
+    t = view(spark, sf, "ticks").select("ticker", "trade_date", "sec", (F.col("tick_id") * 2).alias("ord"), "price", "tick_id")
+    path = shared_dir(spark)
+    tables.write_ticks(t.where(_TARGET).drop("tick_id"), path)
+    half = t.where("tick_id % 2 = 0").drop("tick_id")
+    tables.append_absent(spark, path, half.withColumn("ord", F.col("ord") + 1).unionByName(half), tables.TICK_KEYS, "ord")
+    return spark.read.parquet(path).select("ticker", "trade_date", "sec", "ord", "price")
+
+
+@query("A7_upsert_stored", T, """
+with o as (select ticker, trade_date, sec, 1 as seq, max_by(price, tick_id) as price from ticks where tick_id % 3 > 0 group by ticker, trade_date, sec),
+n as (select ticker, trade_date, sec, 2 as seq, max_by(price, tick_id) + 1 as price from ticks where tick_id % 3 < 2 and day(trade_date) % 2 = 0 group by ticker, trade_date, sec)
+select * from n union all select * from o where not exists (select 1 from n where n.ticker = o.ticker and n.trade_date = o.trade_date and n.sec = o.sec)""")
+def _(spark, sf):
+    """The stored form: days that the batch doesn't touch stay as they are."""
+    t = view(spark, sf, "ticks").select("ticker", "trade_date", "sec", "tick_id", "price")
+    latest = lambda df, seq, add: df.groupBy(*tables.TICK_KEYS).agg(F.lit(seq).alias("seq"), (F.max_by("price", "tick_id") + add).alias("price"))
+    path = shared_dir(spark)
+    tables.write_ticks(latest(t.where("tick_id % 3 > 0"), 1, 0), path)
+    tables.upsert_stored(spark, path, latest(t.where("tick_id % 3 < 2 and day(trade_date) % 2 = 0"), 2, 1), tables.TICK_KEYS)
+    return spark.read.parquet(path).select("ticker", "trade_date", "sec", "seq", "price")
+
+
 @query("A7_upsert_latest", ("ticks",), """
 select trade_date, case when day(trade_date) % 2 = 0 then 'rechecked' else 'first' end as status, case when day(trade_date) % 2 = 0 then 2 else 1 end as seq, count(*) as n from ticks group by trade_date""")
 def _(spark, sf):

@@ -20,24 +20,44 @@ _TICK_FIELDS = [
 _WARMUP = ("vol_warmup", "double")
 
 
-def tick_schema(warmup: bool = False) -> T.StructType:
-    fields = _TICK_FIELDS[:12] + ([_WARMUP] if warmup else []) + _TICK_FIELDS[12:]
-    return T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in [*fields, ("_corrupt_record", "string")]))
+# the accepted column heads of a tick file and their canonical names (fixed values of the format)
+TICK_HEADS = {
+    "Ticker": "ticker", "Price": "price", "Val": "macd_val", "Avg": "macd_avg", "Atr14": "atr14", "Atr28": "atr28", "Rsi": "rsi", "Volume": "volume",
+    "Adx28": "adx28", "Adx14": "adx14", "Adx7": "adx7", "Volatility Percent": "volatility_percent", "Early Morning Atr Warmup Fix": "vol_warmup",
+    "Volatility Ratio": "volatility_ratio", "Time": "time",
+}
 
 
-def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], warmup: bool = False) -> DataFrame:
-    """A1: headered tick CSV in the 14- or 15-column form; ``vol_warmup`` is null in the short form.
+def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], warmup: bool | None = None, sep: str = ",") -> DataFrame:
+    """A1: headered tick CSV, columns taken by the names in each file's own header.
 
-    Lines that do not parse keep their text in ``_corrupt_record``.
+    Files of the 14- and the 15-column form and files with reordered columns may be read in one call; ``vol_warmup`` is null in the short
+    form. With ``warmup`` given, a file of the other form fails. A header with an unknown, repeated or missing name fails. Lines that do not parse keep their text in ``_corrupt_record``.
+    Files are split for reading as usual: each line meets its file's header in a join on the file path.
     """
-    df = (
-        spark.read.schema(tick_schema(warmup)).option("header", True).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(paths)
-    )
-    df = df.withColumn("file_name", F.col("_metadata.file_name"))
-    if not warmup:
-        df = df.withColumn("vol_warmup", F.lit(None).cast("double"))
-    return df.withColumn("sec", hms_to_sec(F.col("time")))
+    schema = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in [*_TICK_FIELDS, _WARMUP]))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.withColumn("_start", F.monotonically_increasing_id())
+    first = lines.where(F.col("_block") == 0).groupBy("path").agg(F.min_by("value", "_start").alias("head"))
+    names = F.transform(F.split("head", sep), lambda x: F.trim(F.regexp_replace(x, "[\"\ufeff\r]", "")))
+    known = F.create_map(*[F.lit(x) for pair in TICK_HEADS.items() for x in pair])
+    short = F.array_sort(F.array(*[F.lit(h) for h in TICK_HEADS if h != "Early Morning Atr Warmup Fix"]))
+    full = F.array_sort(F.array(*[F.lit(h) for h in TICK_HEADS]))
+    ok = F.lit(False)
+    for form in [short] * (not warmup) + [full] * (warmup is not False):
+        ok = ok | (F.array_sort("names") == form)
+    heads = first.withColumn("names", names).withColumn("order", F.when(ok, F.transform("names", lambda x: F.try_element_at(known, x))).otherwise(F.raise_error(F.concat(F.lit("unknown tick header: "), "head"))))
+    rows = lines.join(heads.select("path", "head", "order"), "path").where((F.col("value") != F.col("head")) & (F.length("value") > 0))
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(TICK_HEADS) + 1)), {"sep": sep})
+    rows = rows.withColumn("_c", F.array(*[cells[f"c{i}"] for i in range(len(TICK_HEADS) + 1)]))
+    at = lambda n: F.get("_c", F.array_position("order", n).cast("int") - 1)
+    typed = [F.when(F.array_position("order", f.name) > 0, at(f.name).try_cast(f.dataType)).alias(f.name) for f in schema]
+    bad = F.lit(False)
+    for f in schema:
+        bad = bad | ((F.array_position("order", f.name) > 0) & at(f.name).isNotNull() & at(f.name).try_cast(f.dataType).isNull())
+    bad = bad | F.get("_c", F.size("order")).isNotNull() | F.get("_c", F.size("order") - 1).isNull()
+    out = rows.select(*typed, F.when(bad, F.col("value")).alias("_corrupt_record"), "file_name")
+    return out.withColumn("sec", hms_to_sec(F.col("time")))
 
 
 def date_from_filename(name: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.columns import snake_case_columns
+from tickloom.session import stage
 
 TICK_KEYS = ("ticker", "trade_date", "sec")
 FILL_KEYS = ("exec_time", "symbol")
@@ -48,9 +49,40 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], orde
     return first_by_key(batch, keys, order).join(held, list(keys), "left_anti").select(*batch.columns)
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The partition columns of a stored table, from its folder names."""
+    df = spark.read.parquet(path)
+    part = F.regexp_extract_all(F.col("_metadata.file_path"), F.lit("([^/=]+)=[^/]*/"))
+    found = df.select(part.alias("p")).limit(1).collect()
+    return [c for c in (found[0]["p"] if found else []) if c in df.columns]
+
+
 def append_absent(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: str) -> None:
-    """A6 on a stored table."""
-    insert_absent(spark.read.parquet(path), batch, keys, order).write.mode("append").parquet(path)
+    """A6 on a stored table; new rows go to the table's own partitions.
+
+    A batch without the table's partition columns fails.
+    """
+    by = partition_columns(spark, path)
+    if missing := [c for c in by if c not in batch.columns]:
+        raise ValueError(f"the table is partitioned by {missing}, which the batch lacks")
+    new = stage(insert_absent(spark.read.parquet(path), batch, keys, order))
+    new.write.mode("append").partitionBy(*by).parquet(path) if by else new.write.mode("append").parquet(path)
+
+
+def upsert_stored(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], seq: str = "seq") -> None:
+    """A7 on a stored table: only the partitions that the batch touches are read and written anew.
+
+    The partition columns must be among the keys, so that a row's new version is in the partition of its old one. An unpartitioned table is written
+    anew as a whole. The new rows are a written table before anything is replaced.
+    """
+    by = partition_columns(spark, path)
+    if missing := [c for c in by if c not in keys]:
+        raise ValueError(f"the table is partitioned by {missing}, which is no key")
+    target = spark.read.parquet(path)
+    held = target.join(batch.select(*by).distinct(), by, "left_semi") if by else target
+    new = stage(upsert_latest(held, batch, keys, seq).select(*target.columns))
+    writer = new.write.mode("overwrite")
+    writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic").parquet(path) if by else writer.parquet(path)
 
 
 def upsert_latest(target: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
