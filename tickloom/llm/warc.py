@@ -139,7 +139,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """(page_id, path, offset, length, record_type, refers_to) of every record of ``archives`` (path).
 
     Each archive is inflated once and written anew below ``folder``, a gzip member per record; ``<name>.cdxj`` beside it has a line per record
-    with the same fields. Accepts files that already have a member per record. Memory: one record.
+    with the same fields. Accepts files that already have a member per record. Memory: one record. ``archives`` should be a written table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 
     names = [c.split()[0] for c in INDEX.split(", ")]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))))
-    return archives.select("path").repartition("path").mapInArrow(run, INDEX)
+    return archives.select("path").repartition(max(1, min(archives.count(), 10_000)), "path").mapInArrow(run, INDEX)
 
 
 def read_records(index: DataFrame, with_payload: bool = True, span: int = 1 << 26) -> DataFrame:
@@ -203,4 +203,5 @@ def read_records(index: DataFrame, with_payload: bool = True, span: int = 1 << 2
     names = [c.split()[0] for c in RECORDS.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     part = F.floor(F.col("offset") / span)
-    return index.select("path", "offset", "length").repartition("path", part).sortWithinPartitions("path", "offset").mapInArrow(run, RECORDS)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: rows are small, what they point to isn't
+    return index.select("path", "offset", "length").repartition(tasks, "path", part).sortWithinPartitions("path", "offset").mapInArrow(run, RECORDS)
