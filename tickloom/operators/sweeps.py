@@ -75,11 +75,11 @@ def _literal_sets(sets: Sequence[tuple[int, ...]]) -> Column:
     return F.from_json(F.lit(text), f"array<struct<{fields}>>")
 
 
-def hit_table(ladder: DataFrame, anchors: Sequence[int], low: int, high: int, min_rungs: int = 4) -> DataFrame:
+def hit_table(ladder: DataFrame, anchors: Sequence[int], low: int, high: int, min_rungs: int = 1) -> DataFrame:
     """One row per trade: first positions of rungs low..high, from the start and after each anchor.
 
     ``hits`` holds len(anchors) + 1 blocks of (high - low + 1) positions, null where not hit. ``last``
-    is the last rung. Ladders shorter than ``min_rungs`` are left out.
+    is the last rung. Ladders shorter than ``min_rungs`` are left out: only the grid search asks for that (4).
     """
     width = high - low + 1
     per_trade = ladder.groupBy("trade_id").agg(F.max("pos").alias("rungs"), F.max_by("rung", "pos").alias("last"))
@@ -215,6 +215,8 @@ def filter_grid(rows: DataFrame, dims: Sequence[Dim], by: Sequence[str], sums: d
             offset = 0
         places.append(("_lead" if i < lead else "_rest", offset, (1 << len(d.labels)) - 1))
         offset += len(d.labels)
+        if offset > 63:
+            raise ValueError(f"more than 63 labels in the {'first ' + str(lead) if i < lead else 'other'} dimensions: their masks don't fit a long")
 
     def packed(holder: str) -> Column:
         out = F.lit(0).cast("long")
@@ -272,11 +274,15 @@ def search_dims(mode: int, adx28=ADX, adx14=ADX, adx7=ADX, times: Sequence[int]
     return dims + [Dim.flag("rsi", F.col("rsi_extreme")), Dim.flag("min4", F.col("prev_lasted"))]
 
 
-def grid_search_cells(entries: DataFrame, hits: DataFrame, sets, anchors, low: int, high: int, dims: Sequence[Dim]) -> DataFrame:
-    """J6 before ranking: sum, count, wins, losses, neither per filter combination and exit set."""
+def grid_search_cells(entries: DataFrame, hits: DataFrame, sets, anchors, low: int, high: int, dims: Sequence[Dim], without_ladder: bool = False) -> DataFrame:
+    """J6 before ranking: sum, count, wins, losses, neither per filter combination and exit set.
+
+    Trades without a row in ``hits`` are left out, or count as neither, with 0.
+    """
     masks = [d.name for d in dims]
     packed = entries.select("trade_id", *[d.mask.alias(d.name) for d in dims])
-    rows = ladder_exits(hits.join(packed, "trade_id"), sets, anchors, low, high, keep=masks)
+    joined = packed.join(hits, "trade_id", "left").na.fill(0, ["last"]) if without_ladder else hits.join(packed, "trade_id")
+    rows = ladder_exits(joined, sets, anchors, low, high, keep=masks)
     ready = [Dim(d.name, d.labels, F.col(d.name)) for d in dims]
     sums = {"tenths": F.col("tenths"), "wins": F.col("win"), "losses": F.col("loss"), "neither": F.col("neither")}
     cells = filter_grid(rows, ready, ["exit_id"], sums)
@@ -326,12 +332,20 @@ PARAM_RATIOS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.4)
 PARAM_BIAS = (0.0, 0.1, 0.2, 0.3, 0.4)
 
 
+def with_empty_cells(cells: DataFrame, levels: dict[str, Sequence], sums: Sequence[str]) -> DataFrame:
+    """A row for every combination of the constant ``levels``; those without trades have sums of 0."""
+    grid = cells.sparkSession.range(1).select()
+    for name, values in levels.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return grid.join(cells, list(levels), "left").na.fill(0, list(sums))
+
+
 def vol_ratio_sweep(entries: DataFrame, hits: DataFrame, low: int) -> DataFrame:
     """Per (vol, ratio) floor the results of two exit rules: first of +-0.3 ('basic'), and
-    0.5 / 0.9 with stops -0.5 / -0.1 ('complex')."""
-    h = F.col("hits")
+    0.5 / 0.9 with stops -0.5 / -0.1 ('complex'). Every floor pair has a row; a trade without a ladder counts as neither, with 0."""
+    h, last = F.col("hits"), F.coalesce("last", F.lit(0))
     up, down = _first(h, F.lit(3), low), _first(h, F.lit(-3), low)
-    basic = F.when(up < down, 3).when(down < up, -3).otherwise(F.col("last"))
+    basic = F.when(up < down, 3).when(down < up, -3).otherwise(last)
     # the only anchor of this sweep is 5, so its block is the second one
     width = 9 - low + 1
 
@@ -340,9 +354,9 @@ def vol_ratio_sweep(entries: DataFrame, hits: DataFrame, low: int) -> DataFrame:
 
     t1, s1 = _first(h, F.lit(5), low), _first(h, F.lit(-5), low)
     complex_ = F.when(s1 < t1, -5).when(
-        t1 < s1, F.when(later(-1) < later(9), -1).when(later(9) < later(-1), 9).otherwise(F.col("last"))
-    ).otherwise(F.col("last"))
-    rows = entries.join(hits, "trade_id").select(
+        t1 < s1, F.when(later(-1) < later(9), -1).when(later(9) < later(-1), 9).otherwise(last)
+    ).otherwise(last)
+    rows = entries.join(hits, "trade_id", "left").select(
         "vol", "ratio",
         F.explode(F.array(
             F.struct(F.lit("basic").alias("rule"), basic.cast("long").alias("tenths")),
@@ -356,7 +370,7 @@ def vol_ratio_sweep(entries: DataFrame, hits: DataFrame, low: int) -> DataFrame:
     loss = one(F.when(b, x == -3).otherwise(x == -5))
     dims = [Dim.floors("vol", F.col("vol"), SWEEP_VOLS), Dim.floors("ratio", F.col("ratio"), SWEEP_RATIOS)]
     sums = {"tenths": x, "n": F.lit(1).cast("long"), "wins": win, "upper_sl_losses": upper_sl, "losses": loss}
-    cells = filter_grid(rows, dims, ["rule"], sums, lead=1)
+    cells = with_empty_cells(filter_grid(rows, dims, ["rule"], sums, lead=1), {"rule": ("basic", "complex"), "vol": SWEEP_VOLS, "ratio": SWEEP_RATIOS}, sums)
     return cells.select(
         "rule", "vol", "ratio", "n", "wins", "upper_sl_losses", "losses",
         (F.col("n") - F.col("wins") - F.col("upper_sl_losses") - F.col("losses")).alias("neither"),
@@ -371,14 +385,19 @@ def top_5_combos(cells: DataFrame, k: int = 5) -> DataFrame:
 
 
 def vol_ratio_param_sweep(entries: DataFrame, hits: DataFrame, anchors, low: int, high: int, k: int = 10) -> DataFrame:
-    """Vol, ratio and directional-bias floors x all valid two-target exit sets; best k by sum."""
+    """Vol, ratio and directional-bias floors x all valid two-target exit sets; best k by sum.
+
+    Combinations without trades take part with 0, and so do trades without a ladder (as neither).
+    """
     sets = valid_two_target_sets()
     dims = [
         Dim.floors("vol", F.col("vol"), PARAM_VOLS), Dim.floors("ratio", F.col("ratio"), PARAM_RATIOS),
         Dim.floors("bias", F.col("bias"), PARAM_BIAS),
     ]
-    cells = grid_search_cells(entries, hits, sets, anchors, low, high, dims)
+    cells = grid_search_cells(entries, hits, sets, anchors, low, high, dims, without_ladder=True)
     names = [d.name for d in dims]
+    levels = {"vol": PARAM_VOLS, "ratio": PARAM_RATIOS, "bias": PARAM_BIAS, "exit_id": range(len(sets))}
+    cells = with_empty_cells(cells, levels, ("tenths", "n", "wins", "losses", "neither"))
     best = cells.orderBy(F.desc("tenths"), *names, "exit_id").limit(k)
     params = F.element_at(_literal_sets(sets), F.col("exit_id") + 1)
     return best.select(

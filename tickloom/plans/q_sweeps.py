@@ -80,8 +80,11 @@ RACE3 = (
 HITS_1 = HITS.replace("{anchors}", "2, 3, 4, 5")
 
 
-def _hits(spark, sf, anchors=ANCHORS, low=LOW, high=HIGH):
-    return sweeps.hit_table(paths.price_ladder(day_path(spark, sf)), anchors, low, high)
+HITS_ALL = HITS.replace(" having max(pos) >= 4", "")
+
+
+def _hits(spark, sf, anchors=ANCHORS, low=LOW, high=HIGH, min_rungs=4):
+    return sweeps.hit_table(paths.price_ladder(day_path(spark, sf)), anchors, low, high, min_rungs)
 
 
 @query("J1_simulate_exit", TV, f"""
@@ -220,20 +223,21 @@ def _(spark, sf):
 
 
 _VR = (
-    f"{ENTRIES}, {HITS.replace('{anchors}', '5')}, b as (select tr.*, "
-    + ", ".join(f"(select coalesce(min(pos), 1073741824) from base where base.trade_id = tr.trade_id and rung = {r}) as p{i}" for i, r in enumerate((3, -3, 5, -5)))
-    + ", " + ", ".join(f"(select coalesce(min(pos), 1073741824) from aft where aft.trade_id = tr.trade_id and rung = {r}) as q{i}" for i, r in enumerate((-1, 9)))
-    + " from tr), rules as (select trade_id, 'basic' as rule, case when p0 < p1 then 3 when p1 < p0 then -3 else last end as x from b union all "
-    "select trade_id, 'complex', case when p3 < p2 then -5 when p2 < p3 then (case when q0 < q1 then -1 when q1 < q0 then 9 else last end) else last end from b), "
-    "vr as (select rule, v.vol, q.ratio, count(*) as n, "
-    "count(*) filter (where (rule = 'basic' and x = 3) or (rule = 'complex' and x = 9)) as wins, count(*) filter (where rule = 'complex' and x = -1) as upper_sl_losses, "
-    "count(*) filter (where (rule = 'basic' and x = -3) or (rule = 'complex' and x = -5)) as losses, sum(x)/10.0D as net "
-    f"from rules join ent e on e.trade_id = rules.trade_id join {_floor('v', _D(sweeps.SWEEP_VOLS))} v(vol) on e.vol >= v.vol join {_floor('q', _D(sweeps.SWEEP_RATIOS))} q(ratio) on e.ratio >= q.ratio group by rule, v.vol, q.ratio)"
+    f"{ENTRIES}, {HITS_ALL.replace('{anchors}', '5')}, b as (select ent.*, coalesce(tr.last, 0) as last, "
+    + ", ".join(f"(select coalesce(min(pos), 1073741824) from base where base.trade_id = ent.trade_id and rung = {r}) as p{i}" for i, r in enumerate((3, -3, 5, -5)))
+    + ", " + ", ".join(f"(select coalesce(min(pos), 1073741824) from aft where aft.trade_id = ent.trade_id and rung = {r}) as q{i}" for i, r in enumerate((-1, 9)))
+    + " from ent left join tr on tr.trade_id = ent.trade_id), rules as (select b.*, 'basic' as rule, case when p0 < p1 then 3 when p1 < p0 then -3 else last end as x from b union all "
+    "select b.*, 'complex', case when p3 < p2 then -5 when p2 < p3 then (case when q0 < q1 then -1 when q1 < q0 then 9 else last end) else last end from b), "
+    "vr as (select g.rule, v.vol, q.ratio, count(x) as n, "
+    "count(*) filter (where (g.rule = 'basic' and x = 3) or (g.rule = 'complex' and x = 9)) as wins, count(*) filter (where g.rule = 'complex' and x = -1) as upper_sl_losses, "
+    "count(*) filter (where (g.rule = 'basic' and x = -3) or (g.rule = 'complex' and x = -5)) as losses, coalesce(sum(x), 0)/10.0D as net "
+    f"from (values ('basic'), ('complex')) g(rule) cross join {_floor('v', _D(sweeps.SWEEP_VOLS))} v(vol) cross join {_floor('q', _D(sweeps.SWEEP_RATIOS))} q(ratio) "
+    "left join rules e on e.rule = g.rule and e.vol >= v.vol and e.ratio >= q.ratio group by g.rule, v.vol, q.ratio)"
 )
 
 
 def _vol_ratio(spark, sf):
-    return sweeps.vol_ratio_sweep(sweep_entries(spark, sf), _hits(spark, sf, (5,), -5, 9), -5)
+    return sweeps.vol_ratio_sweep(sweep_entries(spark, sf), _hits(spark, sf, (5,), -5, 9, 1), -5)
 
 
 @query("J8_vol_ratio_sweep", TV, f"with {_VR} select *, n - wins - upper_sl_losses - losses as neither from vr")
@@ -246,14 +250,19 @@ def _(spark, sf):
     return sweeps.top_5_combos(_vol_ratio(spark, sf))
 
 
+_J9_FILTERS = f"{_floor('v', _D(sweeps.PARAM_VOLS))} v(vol), {_floor('q', _D(sweeps.PARAM_RATIOS))} q(ratio), {_floor('d', _D(sweeps.PARAM_BIAS))} d(bias)"
+_J9_PASS = "e.vol >= v.vol and e.ratio >= q.ratio and e.bias >= d.bias"
+
+
 @query("J9_vol_ratio_param_sweep", TV, f"""
-with {ENTRIES}, {HITS.replace('{anchors}', '2, 3, 4, 5, 6')}, {SETS_TWO_TARGETS}, {RACE2}
-select v.vol, q.ratio, d.bias, {_OUT2}, cast(sum(tenths) as bigint)/10.0D as sum, count(*) as n, cast(sum(win) as bigint) as wins, cast(sum(loss) as bigint) as losses, cast(sum(neither) as bigint) as neither
-from oc join ent e on e.trade_id = oc.trade_id join {_floor('v', _D(sweeps.PARAM_VOLS))} v(vol) on e.vol >= v.vol join {_floor('q', _D(sweeps.PARAM_RATIOS))} q(ratio) on e.ratio >= q.ratio
-join {_floor('d', _D(sweeps.PARAM_BIAS))} d(bias) on e.bias >= d.bias group by v.vol, q.ratio, d.bias, oc.t1, oc.sl1, oc.t2, oc.sl2
-order by sum(tenths) desc, v.vol, q.ratio, d.bias, oc.t1, oc.t2, oc.sl2 desc, oc.sl1 desc limit 10""")
+with {ENTRIES}, {HITS_ALL.replace('{anchors}', '2, 3, 4, 5, 6').replace('tr as (select', 'tr as (select ent.trade_id, coalesce(last, 0) as last from ent left join (select').replace('group by trade_id), aft', 'group by trade_id) l on l.trade_id = ent.trade_id), aft')}, {SETS_TWO_TARGETS}, {RACE2},
+full_cells as (select v.vol, q.ratio, d.bias, t1, sl1, t2, sl2, cast(sum(tenths) as bigint) as tenths, count(*) as n, cast(sum(win) as bigint) as wins, cast(sum(loss) as bigint) as losses, cast(sum(neither) as bigint) as neither
+  from oc join ent e on e.trade_id = oc.trade_id, {_J9_FILTERS} where {_J9_PASS} group by v.vol, q.ratio, d.bias, t1, sl1, t2, sl2),
+no_cells as (select v.vol, q.ratio, d.bias, t1, sl1, t2, sl2, 0::bigint as tenths, 0::bigint as n, 0::bigint as wins, 0::bigint as losses, 0::bigint as neither from {_J9_FILTERS}, sets where not exists (select 1 from ent e where {_J9_PASS}))
+select vol, ratio, bias, {_OUT2}, tenths/10.0D as sum, n, wins, losses, neither from (select * from full_cells union all select * from no_cells) c
+order by tenths desc, vol, ratio, bias, c.t1, c.t2, c.sl2 desc, c.sl1 desc limit 10""")
 def _(spark, sf):
-    hits = _hits(spark, sf, (2, 3, 4, 5, 6), -9, 9)
+    hits = _hits(spark, sf, (2, 3, 4, 5, 6), -9, 9, 1)
     return sweeps.vol_ratio_param_sweep(sweep_entries(spark, sf), hits, (2, 3, 4, 5, 6), -9, 9)
 
 
