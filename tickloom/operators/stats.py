@@ -477,9 +477,9 @@ def argmax(df: DataFrame, value: str, item: str, lowest: bool = False) -> DataFr
     return df.agg(best.alias("b")).select((F.col(f"b.{item}") if lowest else -F.col("b.col2")).alias(item), F.col(f"b.{value}").alias(value))
 
 
-def sort_desc_time(df: DataFrame, time: str, line: str) -> DataFrame:
+def sort_desc_time(df: DataFrame, time: str | Sequence[str], line: str) -> DataFrame:
     """H5: newest first, file order within equal times."""
-    return df.orderBy(F.desc(time), line)
+    return df.orderBy(*[F.desc(t) for t in ([time] if isinstance(time, str) else time)], line)
 
 
 def sort_by_column(df: DataFrame, column: str) -> DataFrame:

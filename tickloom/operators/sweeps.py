@@ -412,7 +412,7 @@ THRESHOLDS = tuple(1 + 0.25 * i for i in range(9))  # fixed values: 1.0 .. 3.0
 
 def exit_threshold_sweep(curve: DataFrame, thresholds: Sequence[float] = THRESHOLDS, positions: int = 6) -> DataFrame:
     """Leave everything at the first second of a day whose total / positions reaches a threshold,
-    else at the end of the day. All thresholds come from one aggregate per day."""
+    else at the end of the day. All thresholds come from one aggregate per day; ``best`` marks the one with the highest total."""
     share = F.col("day_roi") / float(positions)
     per_day = curve.groupBy("trade_date").agg(
         *[F.min_by(share, F.when(share >= t, F.col("sec"))).alias(f"_h{i}") for i, t in enumerate(thresholds)],
@@ -422,13 +422,15 @@ def exit_threshold_sweep(curve: DataFrame, thresholds: Sequence[float] = THRESHO
     rows = per_day.select(F.explode(items).alias("x")).select("x.*")
     hit, p = F.col("hit").isNotNull(), F.col("profit")
     zero = F.lit(0.0)
-    return rows.groupBy("threshold").agg(
+    per = rows.groupBy("threshold").agg(
         F.count(F.lit(1)).alias("days"), F.sum(hit.cast("long")).alias("days_hit"),
         round_to(F.sum("profit"), 4).alias("total_profit"),
         round_to(F.sum(hit.cast("double")) / F.count(F.lit(1)) * 100.0, 2).alias("hit_rate"),
         round_to(F.coalesce(F.avg(F.when(p >= F.col("threshold"), p)), zero), 4).alias("avg_hit"),
         round_to(F.coalesce(F.avg(F.when(p < F.col("threshold"), p)), zero), 4).alias("avg_miss"),
     )
+    order = Window.orderBy(F.desc("total_profit"), "threshold")  # one row per threshold
+    return per.withColumn("best", F.row_number().over(order) == 1)
 
 
 def scalp_race(path: DataFrame, target: float, stop: float) -> DataFrame:

@@ -204,3 +204,14 @@ def _(spark, sf):
         round_to(F.expm1("atr28"), 6).alias("expm1"), round_to(F.pow(F.lit(10.0), F.col("atr28")), 6).alias("pow10"), ((F.col("price") - 100.0) * 10).cast("int").alias("tenths"),
         F.col("ticker").startswith("p").alias("starts_p"), F.greatest("rsi", "adx28").alias("biggest"), F.when(p > 0, p).alias("pos"),
     )
+
+
+@query("K_map_json_functions", T, """
+select tick_id, '{"ticker":"' || ticker || '","sec":' || sec || '}' as text, ticker as ticker_back, sec as sec_back, case when tick_id % 2 = 0 then rsi else adx28 end as picked, 2 as n_keys from ticks""")
+def _(spark, sf):
+    t = view(spark, sf, "ticks")
+    text = F.to_json(F.struct("ticker", "sec"))
+    back = F.from_json(text, "ticker string, sec int")
+    levels = F.create_map(F.lit("rsi"), F.col("rsi"), F.lit("adx28"), F.col("adx28"))
+    key = F.when(F.col("tick_id") % 2 == 0, "rsi").otherwise("adx28")
+    return t.select("tick_id", text.alias("text"), back["ticker"].alias("ticker_back"), back["sec"].alias("sec_back"), F.element_at(levels, key).alias("picked"), F.size(F.map_keys(levels)).alias("n_keys"))

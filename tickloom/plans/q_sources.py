@@ -211,10 +211,14 @@ def _(spark, sf):
 
 @query("A17_combine_daily", ("trades",), "select trade_id, ticker, trade_date, entry_sec, row_number() over (order by trade_date, entry_sec, trade_id) as trade_no from trades")
 def _(spark, sf):
+    """Folders summary_<n> and bulk_all, and summary_empty with a header and no rows: only the summaries count."""
     path = shared_dir(spark)
     t = view(spark, sf, "trades").select("trade_id", "ticker", "trade_date", "entry_sec")
-    files.write_summary_csv(t, path)
-    return files.combine_daily(spark, path, "trade_id bigint, ticker string, trade_date date, entry_sec int", "part-*")
+    for i in range(2):
+        files.write_summary_csv(t.where(f"trade_id % 2 = {i}"), f"{path}/summary_{i}")
+    files.write_summary_csv(t.limit(0), f"{path}/summary_empty")
+    files.write_summary_csv(t, f"{path}/bulk_all")
+    return files.combine_daily(spark, f"{path}/summary*", "trade_id bigint, ticker string, trade_date date, entry_sec int", "part-*")
 
 
 @query("A18_bulk_load", T, f"select min(tick_id) as tick_id, ticker, trade_date, sec, min_by(price, tick_id) as last from ticks t where trade_date in (date '2024-01-05', date '2024-01-17') and {_NOT_HELD} group by ticker, trade_date, sec")

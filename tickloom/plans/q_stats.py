@@ -310,7 +310,7 @@ def _(spark, sf):
 @query("H5_sort_desc_time", ("fills",), "select fill_id, trade_date, sec from fills order by trade_date desc, sec desc, fill_id")
 def _(spark, sf):
     f = view(spark, sf, "fills").select("fill_id", "trade_date", "sec")
-    return f.orderBy(F.desc("trade_date"), F.desc("sec"), "fill_id")
+    return stats.sort_desc_time(f, ["trade_date", "sec"], "fill_id")
 
 
 @query("H6_sort_by_column", ("ticks",), "select tick_id, price, min(price) over () as lowest, max(price) over () as highest from ticks order by price desc")

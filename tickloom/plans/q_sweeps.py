@@ -274,7 +274,8 @@ with {DAY_CURVE}, th as (select unnest([1.0D, 1.25D, 1.5D, 1.75D, 2.0D, 2.25D, 2
   d as (select trade_date, threshold, min_by(day_roi/6.0D, case when day_roi/6.0D >= threshold then sec end) as hit, max_by(day_roi/6.0D, sec) as fin from curve cross join th group by trade_date, threshold),
   p as (select *, coalesce(hit, fin) as profit from d)
 select threshold, count(*) as days, count(hit) as days_hit, {rint('sum(profit)', 4)} as total_profit, {rint('count(hit)/count(*)*100.0D', 2)} as hit_rate,
-  {rint('coalesce(avg(case when profit >= threshold then profit end), 0.0D)', 4)} as avg_hit, {rint('coalesce(avg(case when profit < threshold then profit end), 0.0D)', 4)} as avg_miss
+  {rint('coalesce(avg(case when profit >= threshold then profit end), 0.0D)', 4)} as avg_hit, {rint('coalesce(avg(case when profit < threshold then profit end), 0.0D)', 4)} as avg_miss,
+  row_number() over (order by {rint('sum(profit)', 4)} desc, threshold) = 1 as best
 from p group by threshold""")
 def _(spark, sf):
     return sweeps.exit_threshold_sweep(trade_ops.day_pnl_curve(_stopped(spark, sf)))
