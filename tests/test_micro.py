@@ -198,6 +198,39 @@ def test_tick_csv_two_forms(spark, tmp_path):
     assert (b.vol_warmup, b.volatility_ratio, b.date_time) == (0.54, 0.9, dt.datetime(2025, 9, 22, 6, 30, 1))
 
 
+def test_tick_csv_by_header_names(spark, tmp_path):
+    heads = [validate.TICK_HEADER, validate.TICK_HEADER_WARMUP, list(reversed(validate.TICK_HEADER))]
+    values = dict(zip(validate.TICK_HEADER_WARMUP, ("HOOD", "101.0", "0.5", "0.25", "0.1", "0.2", "50", "100", "20", "21", "22", "0.3", "0.54", "0.9", "06:30:01")))
+    for i, head in enumerate(heads):
+        (tmp_path / f"0{i + 1}-22-2025_Raw_Market_Data.csv").write_text(",".join(head) + "\n" + ",".join(values[h] for h in head) + "\n")
+    rows = sorted(files.read_ticks_csv(spark, str(tmp_path)).collect(), key=lambda r: r.file_name)
+    assert [(r.price, r.macd_val, r.volatility_ratio, r.vol_warmup, r.sec, r._corrupt_record) for r in rows] == [(101.0, 0.5, 0.9, w, 23401, None) for w in (None, 0.54, None)]
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "x.csv").write_text(",".join(validate.TICK_HEADER) + "\n" + "HOOD,x\n" + ",".join(["HOOD"] + ["1"] * 12 + ["06:30:01", "more"]) + "\n")
+    assert [r._corrupt_record is not None for r in files.read_ticks_csv(spark, str(bad)).select("_corrupt_record").collect()] == [True, True]
+    (bad / "y.csv").write_text("Ticker,Cost\nHOOD,1\n")
+    with pytest.raises(PySparkException):
+        files.read_ticks_csv(spark, str(bad)).collect()
+    with pytest.raises(PySparkException):
+        files.read_ticks_csv(spark, str(tmp_path), warmup=True).collect()
+
+
+def test_stored_insert_and_upsert_keep_partitions(spark, tmp_path):
+    path = str(tmp_path / "ticks")
+    schema = "ticker string, trade_date date, sec int, seq int"
+    day = lambda n: dt.date(2025, 9, n)
+    tables.write_ticks(spark.createDataFrame([("A", day(1), 5, 1), ("A", day(2), 5, 1), ("B", day(2), 6, 1)], schema), path)
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "ticks" / "trade_date=2025-09-01").iterdir()}
+    tables.append_absent(spark, path, spark.createDataFrame([("A", day(2), 5, 9), ("A", day(3), 7, 9)], schema), tables.TICK_KEYS, "seq")
+    tables.upsert_stored(spark, path, spark.createDataFrame([("A", day(2), 5, 2), ("C", day(4), 1, 2)], schema), tables.TICK_KEYS)
+    rows = sorted((r.ticker, r.trade_date.day, r.sec, r.seq) for r in spark.read.parquet(path).collect())
+    assert rows == [("A", 1, 5, 1), ("A", 2, 5, 2), ("A", 3, 7, 9), ("B", 2, 6, 1), ("C", 4, 1, 2)]
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "ticks" / "trade_date=2025-09-01").iterdir()} == untouched
+    with pytest.raises(ValueError):
+        tables.append_absent(spark, path, spark.createDataFrame([("A", 1, 1)], "ticker string, sec int, seq int"), ["ticker", "sec"], "seq")
+
+
 def test_clock(spark):
     df = spark.createDataFrame([("6:30:00",), ("24:00:00",), ("a",), (None,)], "t string")
     assert [r[0] for r in df.select(clock.hms_to_sec(F.col("t"))).collect()] == [23400, None, None, None]
