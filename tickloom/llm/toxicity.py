@@ -111,7 +111,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Da
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """(feature, toxic, n): texts that hold a word, or a word beginning of 4 to 6 letters; near copies once."""
+    """(feature, toxic, n): texts that hold a word, or a word beginning of 4 to 8 letters; near copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +121,7 @@ def _features(texts: DataFrame) -> DataFrame:
                 if words:
                     out["near"].append(int(mix(np.array([int.from_bytes(w.encode()[-8:].ljust(8), "little") + len(w) for w in words], np.uint64)).min().view(np.int64)))
                     out["toxic"].append(toxic)
-                    out["features"].append(sorted(words | {f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) > n}))
+                    out["features"].append(sorted(words | {f"{w[:n]}*" for w in words for n in (4, 5, 6, 7, 8) if len(w) > n}))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("near", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.string()))])
