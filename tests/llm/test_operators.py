@@ -90,9 +90,9 @@ def test_query_jaccard(spark):
     assert sorted(map(tuple, q_jaccard.op1_ngram_jaccard_join(spark, SF).collect()), key=repr) == brute_components(rows, 3, 90)
 
 
-@pytest.mark.parametrize("name,sql", [("op3_quality_rules", q_quality.CHECK), ("op9_warc_normalise", q_warc.CHECK)])
+@pytest.mark.parametrize("name,sql", [("op1_ngram_jaccard_join", q_jaccard.CHECK), ("op3_quality_rules", q_quality.CHECK), ("op9_warc_normalise", q_warc.CHECK)])
 def test_check_sql(spark, name, sql):
-    fn = {"op3_quality_rules": q_quality.op3_quality_rules, "op9_warc_normalise": q_warc.op9_warc_normalise}[name]
+    fn = {"op1_ngram_jaccard_join": q_jaccard.op1_ngram_jaccard_join, "op3_quality_rules": q_quality.op3_quality_rules, "op9_warc_normalise": q_warc.op9_warc_normalise}[name]
     assert compare.diff(fn(spark, SF).toArrow(), compare.check_rows(SF, sql)) is None
 
 

@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 CHECKS: dict[str, str] = {
+    "op1_ngram_jaccard_join": q_jaccard.CHECK,
     "op3_quality_rules": q_quality.CHECK,
     "op9_warc_normalise": q_warc.CHECK,
 }
