@@ -35,8 +35,10 @@ _SIGN = re.compile(r"[@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])")
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 _MARKS = re.compile(r"[̀-ͯ​-‏⁠﻿­]+")
 _DIGIT = re.compile(r"(?<=[^\W\d_])[013457]+|[013457]+(?=[^\W\d_])")
+_ANY_DIGIT = re.compile("[013457]")
 _WORD = re.compile(r"[^\W_]+")
 _TABLE = str.maketrans(_LOOKALIKE)
+_ANY_LOOKALIKE = re.compile(f"[{''.join(_LOOKALIKE)}]")
 
 #: Phrases in which a listed word is harmless (folded, words with single spaces).
 EXCEPTIONS = (
@@ -49,10 +51,13 @@ def fold(text: str) -> str:
     """The words of ``text``, folded, with one space around each."""
     low = text.lower()
     if not low.isascii():
-        low = _MARKS.sub("", unicodedata.normalize("NFKD", low)).translate(_TABLE)
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+        if _ANY_LOOKALIKE.search(low):
+            low = low.translate(_TABLE)
     if "@" in low or "$" in low or "!" in low or "|" in low:
         low = _SIGN.sub(lambda m: _SIGNS[m[0]], low)
-    low = _DIGIT.sub(lambda m: "".join(_LEET[c] for c in m[0]), low)
+    if _ANY_DIGIT.search(low):
+        low = _DIGIT.sub(lambda m: "".join(_LEET[c] for c in m[0]), low)
     return f" {' '.join(_WORD.findall(low))} "
 
 
@@ -165,19 +170,19 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([rate_of(fold(t), automaton) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["rate", "toxic"])
 
-    pairs = texts.mapInArrow(rates, "rate double, toxic int").orderBy("rate", "toxic").collect()  # at most about ``rows`` pairs
-    bias, slope = _curve(np.array([p["rate"] for p in pairs]), np.array([p["toxic"] for p in pairs], float))
+    pairs = texts.mapInArrow(rates, "rate double, toxic int").groupBy("rate", "toxic").count().collect()  # at most about ``rows`` pairs
+    bias, slope = _curve(*np.array(sorted(tuple(p) for p in pairs), float).T)
     return Lexicon(kept, bias, slope, exceptions)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x with a small penalty, by Newton steps."""
+def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Logistic regression of y on x, each pair counted ``n`` times, with a small penalty, by Newton steps."""
     w = np.zeros(2)
     a = np.stack([np.ones_like(x), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 0.01 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2)
+        grad = a.T @ (n * (p - y)) + 0.01 * w
+        hess = (a * (n * p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-9:
