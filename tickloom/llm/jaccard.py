@@ -190,13 +190,13 @@ def _least_shared(spec: JaccardSpec, n: Column, m: Column) -> Column:
     return F.lit(spec.num) * (n + m) / (spec.num + spec.den) - F.greatest(others(n), others(m))
 
 
-def _pairs(classes: DataFrame, label: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """(cid, rep, own, cell): queries and the groups that may hold a set linked with them. label: (cid, grp, cell)."""
-    able = classes.where(F.col("first").isNotNull()).select("cid", "rep", "n", "first")
-    grouped = stage(able.join(label.select("cid", "grp", "cell"), "cid"))
+def _pairs(rows: DataFrame, label: DataFrame, spec: JaccardSpec) -> DataFrame:
+    """(cid, rep, own, cell): queries and the groups that may hold a set linked with them. label: (cid, rep, grp, cell)."""
+    able = rows.where(F.col("first").isNotNull()).select("cid", "doc_id", "n", "first")
+    grouped = stage(able.join(label, "cid").where("doc_id <=> rep").drop("doc_id"))
     tokens = grouped.select("grp", F.explode("first").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"))
-    keep = classes.sparkSession.sparkContext.broadcast(bit_set(shared, spec.filter_bits))
+    keep = rows.sparkSession.sparkContext.broadcast(bit_set(shared, spec.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,13 +308,13 @@ def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(_classes(docs, spec))
-    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("first").alias("first")))
+    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     found = _stars(docs, classes, spec)
     label = classes.select("cid", "rep", F.col("cid").alias("grp"), F.col("cid").alias("cell"))
     if found is not None:
         label = classes.select("cid", "rep").join(found[0], "cid", "left").select("cid", "rep", F.coalesce("grp", "cid").alias("grp"))
         label = stage(label.join(found[1], "grp", "left").select("cid", "rep", "grp", F.coalesce("cell", "grp").alias("cell")))
-    pairs = stage(_pairs(classes, label, spec))
+    pairs = stage(_pairs(rows, label, spec))
     label = label.drop("cell") if not pairs.limit(1).count() else _joined(docs, label, pairs, spec)
     lowest = label.groupBy("grp").agg(F.min("rep").alias("component_id"))
     of = label.join(lowest, "grp").select("cid", "component_id")
