@@ -77,7 +77,7 @@ def test_ladder_and_grid_search(spark):
                    adx14=rnd.randrange(40), adx7=rnd.randrange(40), rsi_extreme=rnd.random() < 0.5, prev_lasted=rnd.choice([True, False, None]), entry_sec=rnd.choice([23400, 25000, 32399, 33000])) for i in lad}
     entries = spark.createDataFrame([(i, *e.values()) for i, e in ent.items()], "trade_id bigint, vol double, ratio double, avg_last_2 double, adx28 int, adx14 int, adx7 int, rsi_extreme boolean, prev_lasted boolean, entry_sec int")
     sets = sweeps.valid_exit_sets(2)[::40]
-    hits = sweeps.hit_table(paths.price_ladder(paths.trade_path(t, k)), sweeps.TARGET_1, -5, 11)
+    hits = sweeps.hit_table(paths.price_ladder(paths.trade_path(t, k)), sweeps.TARGET_1, -5, 11, min_rungs=4)
     for mode in (1, 3):
         dims = sweeps.search_dims(mode, adx14=(0, 20), adx7=(0,))
         cells = sweeps.grid_search_cells(entries, hits, sets, sweeps.TARGET_1, -5, 11, dims).collect()
