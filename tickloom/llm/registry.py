@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import q_html, q_jaccard, q_mixing, q_packing, q_quality, q_secrets, q_toxicity, q_warc
+from tickloom.llm import q_html, q_jaccard, q_mixing, q_packing, q_quality, q_search, q_secrets, q_toxicity, q_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": q_jaccard.op1_ngram_jaccard_join,
+    "op2_top_k_search": q_search.op2_top_k_search,
     "op3_quality_rules": q_quality.op3_quality_rules,
     "op4_html_extraction": q_html.op4_html_extraction,
     "op5_mix_sources": q_mixing.op5_mix_sources,
+    "op6_license_scan": q_search.op6_license_scan,
     "op7_pack_sequences": q_packing.op7_pack_sequences,
     "op8_secret_scan": q_secrets.op8_secret_scan,
     "op9_warc_normalise": q_warc.op9_warc_normalise,
