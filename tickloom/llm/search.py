@@ -70,20 +70,23 @@ class _Shard:
         place = self.doc[postings] // _BLOCK
         bound = np.bincount(self.block[cells], self.most[cells] * weights[which], minlength=-(-len(self.ids) // _BLOCK))
         found: list[tuple[float, int]] = []
-        queue = np.argsort(-bound, kind="stable")
-        step = 4
-        while len(queue) and bound[queue[0]] > 0 and (len(found) < k or bound[queue[0]] + 1e-8 >= found[k - 1][0]):
-            opened, queue = queue[:step], queue[step:]
-            step *= 2
-            mark = np.zeros(len(bound), bool)
-            mark[opened] = True
-            inside = mark[place]
+        closed = bound > 0
+        for first in (True, False):  # the best blocks, then all whose bound reaches the k-th score
+            if first and closed.sum() > 8:
+                opened = np.zeros(len(bound), bool)
+                opened[np.argsort(-bound, kind="stable")[:8]] = True
+            else:
+                opened = closed & (bound + 1e-8 >= found[k - 1][0]) if len(found) >= k else closed
+            closed = closed & ~opened
+            inside = opened[place]
             open_now = postings[inside]
-            score = np.round(np.bincount(self.doc[open_now], self.value[open_now] * weights[of[inside]], minlength=len(self.ids)), 9)
+            if not len(open_now):
+                continue
+            score = np.round(np.bincount(self.doc[open_now], self.value[open_now] * weights[of[inside]]), 9)
             hits = np.flatnonzero(score > 0)
-            found += [(float(score[d]), int(d)) for d in hits]
-            found.sort(key=lambda x: (-x[0], self.ids[x[1]]))
-            found = found[:k]
+            if len(hits) > k:
+                hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
+            found = sorted(found + [(float(score[d]), int(d)) for d in hits], key=lambda x: (-x[0], self.ids[x[1]]))[:k]
         return found
 
 
