@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: bytes of text that a vectorized helper handles at once; a longer text is handled alone
@@ -20,7 +21,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """Row ranges of a string column with about ``size`` bytes each."""
     if not len(column):
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(column):
         base = ends[at - 1] if at else 0
@@ -29,6 +30,12 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = stop
 
 
+def parts(batch: pa.RecordBatch, column: str | int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about ``size`` bytes in a string column each, so that what a task derives from a batch stays small."""
+    for a, b in slices(batch.column(column), size):
+        yield batch.slice(a, b - a)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import mix
+from tickloom.llm.common import mix, parts
 from tickloom.llm.graph import components
 from tickloom.llm.shingles import fingerprint, shingle_sets
 from tickloom.llm.sketch import bit_set, counts, has
@@ -43,6 +43,7 @@ class JaccardSpec:
     filter_bits: int = 24
     block: int = 256
     rounds: int = 4
+    slice_bytes: int = 1 << 22
 
     @property
     def least(self) -> int:
@@ -70,7 +71,7 @@ def _classes(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
     salts = mix(np.arange(1, 2 * spec.rounds + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, "text", spec.slice_bytes)):
             cid, size, keys, first = [], [], [], []
             for s in shingle_sets(batch.column("text"), spec.words):
                 n = len(s)
@@ -102,7 +103,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, spec: JaccardSpec) -> DataFrame:
     keep = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select("cid", F.coalesce("rep", F.lit(0)).alias("rep")).mapInArrow(marks, "mark long"), spec.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, "text", spec.slice_bytes)):
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             sets = [(fingerprint(s), s, i) for s, i in zip(shingle_sets(batch.column("text"), spec.words), ids) if len(s) >= spec.least]
             if sets:

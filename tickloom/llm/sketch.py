@@ -19,7 +19,8 @@ def _merged(rows: DataFrame, cells: int, kind: np.dtype, fill: Callable[[np.ndar
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, kind)
         for batch in batches:
-            fill(total, batch)
+            for at in range(0, len(batch), 1000):
+                fill(total, batch.slice(at, 1000))
         found = [(i, x.tobytes()) for i, x in enumerate(np.split(total, _PARTS)) if x.any()]
         salt = sum(len(x) * (i + 1) + x[0] + x[-1] for i, x in found) % 64
         yield pa.RecordBatch.from_pydict({"part": [i for i, _ in found], "salt": [salt] * len(found), "data": [x for _, x in found]}, schema=_SCHEMA)

@@ -40,7 +40,7 @@ def one_of_each_group(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
     lone = found.where("n_shingles > 0 and doc_id is null and component_id is null").limit(1).count()
     repeated = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    words = docs.where(~blank).join(keep, "doc_id", "left_semi")
+    words = docs.where(~blank).join(keep.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
     if repeated.limit(1).count():
         many = words.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         words = words.join(repeated, "doc_id", "left_anti").unionByName(many)
@@ -79,7 +79,7 @@ def balanced_mix(docs: DataFrame) -> DataFrame:
     if per.where("__rows > 1").limit(1).count():
         many = per.where("__rows > 1").select("__key")
         keyed = keyed.join(many, "__key", "left_anti").unionByName(keyed.join(many, "__key", "left_semi").dropDuplicates(["__key"]))
-    whole = keyed.join(per.where("__whole > 0").select("__key", "__whole"), "__key")
+    whole = keyed.join(per.where("__whole > 0").select("__key", "__whole").hint("merge"), "__key")  # the same plan at every size
     whole = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__whole")))).select(*names)
     rest = keyed.join(per.where("__rest > 0").select("__key", "__rest"), "__key").select(*names, "__rest")
     at = names.index("text")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import mix
+from tickloom.llm.common import mix, parts
 from tickloom.session import stage
 
 # Look-alikes of Latin letters, and digits that stand for letters.
@@ -119,7 +119,7 @@ def _features(texts: DataFrame) -> DataFrame:
     """(feature, toxic, n): texts that hold a word, or a word beginning of 4 to 8 letters; near copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 0, 1 << 18)):
             out = {"near": [], "toxic": [], "features": []}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(fold(text).split())
