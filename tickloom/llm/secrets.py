@@ -28,7 +28,7 @@ _CONTEXT = re.compile(
     r"""|\b(?i:authorization:[ \t]*bearer|authorization:[ \t]*basic|bearer)[ \t]+([A-Za-z0-9+/_.=~-]{12,})"""
     r"""|://[^\s/:@"']+:([^\s/@"']{6,})@""", re.A)
 #: any text with a span has a match of this
-_ANY = r"""(?i)(pass|pwd|secret|token|key|credential)[a-z]*["']?\]?[ \t]*(=>|:=|[:=])|AKIA|[0-9a-f]{32}|bearer[ \t]|://[^\s/:@"']+:[^\s/@"']+@"""
+_ANY = r"""(?i)(pass|pwd|secret|token|key|credential)[a-z]*["']?\]?[ \t]*(=>|:=|[:=])|AKIA|[0-9a-f]{32}|bearer[ \t]|authorization:[ \t]*basic[ \t]|://[^\s/:@"']+:[^\s/@"']+@"""
 
 KINDS = ("assign", "access", "hex", "guess")
 
