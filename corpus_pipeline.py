@@ -37,8 +37,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
-    return packed(docs)
+    """Pieces of all documents in sequences of at most 2048 ids. The sequences with their ids stay below the shared folder, in a folder
+    whose name ends with _sequences, as sequence_id, ids and pieces; the result is read from them, so its inputFiles() lie there."""
+    return packed(docs, f"{shared_dir(spark)}_sequences")
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """Operator 7: pack documents into windows by Karmarkar-Karp multiway differencing.
 
 A document's ids, with an end id, are cut into pieces: whole windows first, then pieces of ``cut`` ids at most.
-Whole windows stand alone. The other pieces are dealt by hash into blocks of about ``block`` windows, and each block
+Whole windows stand alone, in blocks of their own. The other pieces are dealt by hash into blocks of about ``block`` windows, and each block
 is partitioned into k windows: every piece starts as a partial partition, and the two partial partitions with the
 largest imbalance are merged so that the fullest window of one meets the emptiest of the other. k starts at the
 ids of the block over the capacity and rises by one as long as a window is over the capacity.
@@ -20,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.tokens import TokenCoder
+from tickloom.session import shared_dir, stage
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, row_key long, ids binary, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int = 512, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int = 512, end_id: int = 1, with_ids: bool = True, narrow: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, row_key, ids, ids_crc32) of all documents.
 
-    ids are little-endian unsigned 32-bit numbers; without ``with_ids`` they are left null and only their checksum is kept. A null or
-    empty text has the end id alone. Repeated rows give pieces of their own.
+    ids are little-endian unsigned 32-bit numbers; without ``with_ids`` they are left null and only their checksum is kept. With
+    ``narrow``, ids of a document whose ids are all below 2**16 take two bytes each (see ``_wide``). A null or empty text has the end id alone. Repeated rows give pieces of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,13 +41,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int =
                 ids = coder.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 whole = zlib.crc32(ids)
+                kept, step = ids, 4
+                if narrow and (a := np.frombuffer(ids, "<u4")).max() < 1 << 16:
+                    kept, step = a.astype("<u2").tobytes(), 2
                 at = 0
                 while at < n:
                     left = n - at
                     length = window if left >= window else min(cut, left)
-                    part = ids[4 * at:4 * (at + length)]
-                    crc = zlib.crc32(part)
-                    rows.append((doc_id, at, length, n, (whole << 30) ^ (crc << 7) ^ at, part if with_ids else None, crc))
+                    crc = zlib.crc32(ids[4 * at:4 * (at + length)])
+                    rows.append((doc_id, at, length, n, (whole << 30) ^ (crc << 7) ^ at, kept[step * at:step * (at + length)] if with_ids else None, crc))
                     at += length
                 size += len(ids)
                 if with_ids and size > 1 << 24:
@@ -60,6 +63,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
+def _wide(part: bytes, length: int) -> bytes:
+    """``length`` ids in four bytes each."""
+    return part if len(part) == 4 * length else np.frombuffer(part, "<u2").astype("<u4").tobytes()
+
+
 def differencing(lengths: list[int], k: int) -> list[int]:
     """The window of each length, of ``k``, by largest-differencing merges of partial partitions."""
     nodes: list[tuple[np.ndarray, np.ndarray]] = []  # sums, from the largest down; the tree of each window, or -1
@@ -108,27 +116,74 @@ def fill_windows(lengths: list[int], window: int) -> list[int]:
 
 
 def pack(pieces: DataFrame, window: int = 2048, block: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to every piece; ``pieces`` has doc_id, start, length and row_key.
+    """Adds sequence_id and offset to every piece; ``pieces`` has doc_id, start, length and row_key. Other columns, such as ids, go along.
 
     Blocks are dealt by hash: pieces of a hot document or source, and copies, spread evenly. Pieces of equal blocks meet in
-    one task, at most about ``block`` windows. Sequence ids are block * 2**20 + window.
+    one task, at most about ``block`` windows; whole windows have blocks of their own, so that a block's ids stay small however
+    many there are. Sequence ids are block * 2**20 + window.
     """
-    total = pieces.agg(F.sum(F.when(F.col("length") < window, F.col("length"))), F.count("*")).first()
-    blocks = max(1, (total[0] or 0) // (window * block))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "row_key"), F.lit(blocks)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row_key", "ascending")]))
-        length = table.column("length").to_numpy()
-        full = int((length >= window).sum())
-        found = np.concatenate([np.arange(full), full + np.array(fill_windows(length[full:].tolist(), window), np.int64)]).astype(np.int64)
-        order = np.argsort(found, kind="stable")
-        table, found, length = table.take(pa.array(order)), found[order], length[order]
-        ends = np.cumsum(length)
-        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        offset = ends - length - np.repeat((ends - length)[first], np.diff(np.append(first, len(found))))
-        block_id = table.column("block").to_numpy()
-        return table.drop_columns("block").append_column("sequence_id", pa.array(block_id * (1 << 20) + found)).append_column("offset", pa.array(offset))
+    part = F.col("length") < window
+    total = pieces.agg(F.sum(F.when(part, F.col("length"))), F.sum(F.when(~part, F.lit(1)))).first()
+    blocks, full_blocks = max(1, (total[0] or 0) // (window * block)), max(1, (total[1] or 0) // block)
+    key = F.xxhash64("doc_id", "start", "row_key")
+    dealt = pieces.withColumn("block", F.when(part, F.pmod(key, F.lit(blocks))).otherwise(F.lit(blocks) + F.pmod(key, F.lit(full_blocks))))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("block").applyInArrow(run, schema)
+    return dealt.groupBy("block").applyInArrow(lambda table: _placed(table, window), schema)
+
+
+def _placed(table: pa.Table, window: int) -> pa.Table:
+    """The pieces of one block by sequence and offset."""
+    table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row_key", "ascending")]))
+    length = table.column("length").to_numpy()
+    full = int((length >= window).sum())
+    found = np.concatenate([np.arange(full), full + np.array(fill_windows(length[full:].tolist(), window), np.int64)]).astype(np.int64)
+    order = np.argsort(found, kind="stable")
+    table, found, length = table.take(pa.array(order)), found[order], length[order]
+    ends = np.cumsum(length)
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    offset = ends - length - np.repeat((ends - length)[first], np.diff(np.append(first, len(found))))
+    block_id = table.column("block").to_numpy()
+    return table.drop_columns("block").append_column("sequence_id", pa.array(block_id * (1 << 20) + found)).append_column("offset", pa.array(offset))
+
+
+def sequences(docs: DataFrame, tokenizer: str, path: str | None = None, window: int = 2048, block: int = 64) -> DataFrame:
+    """The sequences of ``docs`` (sequence_id, ids, pieces), written as Parquet at ``path`` (or below the shared folder) and read back.
+
+    ids are little-endian unsigned 32-bit numbers, those of a sequence's pieces one after the other; pieces (doc_id, start, length, doc_tokens,
+    offset) are by offset, and offset and length count ids. An empty table gives no sequences.
+    """
+    names = ("doc_id", "start", "length", "doc_tokens", "offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come block by block, each sequence's pieces in turn; a sequence may go on in the next batch
+        ids: list[bytes] = []
+        members: list[tuple] = []
+        last = None
+        for batch in batches:
+            out: list[tuple] = []
+            for at, part, *row in zip(*(batch.column(n).to_pylist() for n in ("sequence_id", "ids", *names))):
+                if members and at != last:
+                    out.append((last, b"".join(ids), members))
+                    ids, members = [], []
+                last = at
+                ids.append(_wide(part, row[2]))
+                members.append(dict(zip(names, row)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["sequence_id", "ids", "pieces"])
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((last, b"".join(ids), members), types)], ["sequence_id", "ids", "pieces"])
+
+    types = [pa.int64(), pa.binary(), pa.list_(pa.struct([(n, pa.int64()) for n in names]))]
+    pieces = stage(token_pieces(docs, tokenizer, window, narrow=True).drop("ids_crc32"))
+    found = pack(pieces, window, block).mapInArrow(run, f"sequence_id long, ids binary, pieces array<struct<{', '.join(f'`{n}`: long' for n in names)}>>")
+    path = path or shared_dir(docs.sparkSession)
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def placed_pieces(found: DataFrame) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of ``sequences``; the checksum is that of its ids there."""
+    each = found.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    crc = F.crc32(F.expr("substring(ids, int(4 * p.offset + 1), int(4 * p.length))"))
+    return each.select("p.doc_id", "p.start", "p.length", crc.alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset")

@@ -5,10 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from tickloom.llm.common import read
-from tickloom.llm.packing import pack, token_pieces
-from tickloom.session import stage
+from tickloom.llm.packing import placed_pieces, sequences
 
 
 def op7_pack_sequences(spark, sf_dir, tokenizer: str | None = None):
-    pieces = stage(token_pieces(read(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids"))
-    return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Where each piece lies in the written sequences, and the checksum of its ids there."""
+    return placed_pieces(sequences(read(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.jaccard import JaccardSpec, jaccard_components
 from tickloom.llm.mixing import mix_sources, word_count
-from tickloom.llm.packing import pack, token_pieces
+from tickloom.llm.packing import placed_pieces, sequences
 from tickloom.llm.secrets import redact_secrets
 from tickloom.llm.toxicity import learn_lexicon, score_toxicity
 from tickloom.session import stage
@@ -95,7 +95,6 @@ def balanced_mix(docs: DataFrame) -> DataFrame:
     return whole.unionByName(rest)
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of all rows in sequences of at most 2048 ids: the columns of op7."""
-    pieces = stage(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids"))
-    return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def packed(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of all rows in sequences of at most 2048 ids: the columns of op7. The sequences with their ids stay at ``path``."""
+    return placed_pieces(sequences(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), path))
