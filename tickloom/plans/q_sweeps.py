@@ -185,24 +185,42 @@ def search(spark, sf, mode: int, k: int = 10, **adx):
     return sweeps.grid_search(cells, dims, sets, mode, k).drop("exit_id")
 
 
-@query("J6_grid_search_mode1", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(1)}, {_CELLS} select {_BEST} from (select * from cells order by {_ORDER.replace('{time}', '')} limit 10) cells")
+# the check text has one level of each directional index; the whole search is J6_grid_search_mode1
+@query("J6_grid_search_mode1_adx0", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(1)}, {_CELLS} select {_BEST} from (select * from cells order by {_ORDER.replace('{time}', '')} limit 10) cells")
 def _(spark, sf):
     return search(spark, sf, 1, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
+@query("J6_grid_search_mode1")
+def _(spark, sf):
+    return search(spark, sf, 1)
+
+
 _RANKED = "select {sel}, rank from (select *, cast(row_number() over (partition by {part} order by {order}) as int) as rank from cells) cells where rank <= 10"
 
 
-@query("J6_grid_search_mode2", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2)}, {_CELLS} " + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")))
+# the check text has one level of each directional index; the whole search is J6_grid_search_mode2
+@query("J6_grid_search_mode2_adx0", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2)}, {_CELLS} " + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")))
 def _(spark, sf):
     return search(spark, sf, 2, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
-@query("J6_grid_search_mode3", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(3)}, {_CELLS} " + _RANKED.format(sel="entry_time, " + _BEST, part="entry_time", order=_ORDER.replace("{time}", "")))
+@query("J6_grid_search_mode2")
+def _(spark, sf):
+    return search(spark, sf, 2)
+
+
+# the check text has one level of each directional index; the whole search is J6_grid_search_mode3
+@query("J6_grid_search_mode3_adx0", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(3)}, {_CELLS} " + _RANKED.format(sel="entry_time, " + _BEST, part="entry_time", order=_ORDER.replace("{time}", "")))
 def _(spark, sf):
     return search(spark, sf, 3, adx28=(0,), adx14=(0,), adx7=(0,))
 
 
+@query("J6_grid_search_mode3")
+def _(spark, sf):
+    return search(spark, sf, 3)
+
+
 # every default list: 27.7 million combinations; no check text, tested against brute force on a small grid
 @query("J6_grid_search_full")
 def _(spark, sf):
@@ -330,10 +348,17 @@ def _(spark, sf):
 _KEY = "concat_ws('|', " + ", ".join(f"printf('%.1f', {c})" if c not in ("rsi", "min4") else c for c in ("vol", "ratio", "avg_last_2", "adx28", "adx14", "adx7", "rsi", "min4", "t1", "sl1", "t2", "sl2")) + ")"
 
 
-@query("J15_sweep_report", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2)}, {_CELLS}, rep as (" + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")) + ") select vol as section, rank, "
+_FILTERS = ["vol", "ratio", "avg_last_2", "adx28", "adx14", "adx7", "rsi", "min4"]
+
+
+# the check text has one level of each directional index; the whole report is J15_sweep_report
+@query("J15_sweep_report_adx0", TV, f"with {ENTRIES}, {HITS_1}, {SETS2}, {RACE2}, {_filters(2)}, {_CELLS}, rep as (" + _RANKED.format(sel=_BEST, part="vol", order=_ORDER.replace("{time}", "")) + ") select vol as section, rank, "
        + _KEY.replace("printf('%.1f', adx28)", "printf('%.1f', adx28::double)").replace("printf('%.1f', adx14)", "printf('%.1f', adx14::double)").replace("printf('%.1f', adx7)", "printf('%.1f', adx7::double)")
        + " as key, sum, n, wins, losses, neither, avg, rank = 1 as best_of_section from rep")
 def _(spark, sf):
-    best = search(spark, sf, 2, adx28=(0,), adx14=(0,), adx7=(0,))
-    names = ["vol", "ratio", "avg_last_2", "adx28", "adx14", "adx7", "rsi", "min4"]
-    return sweeps.sweep_report(best, names, "vol")
+    return sweeps.sweep_report(search(spark, sf, 2, adx28=(0,), adx14=(0,), adx7=(0,)), _FILTERS, "vol")
+
+
+@query("J15_sweep_report")
+def _(spark, sf):
+    return sweeps.sweep_report(search(spark, sf, 2), _FILTERS, "vol")
