@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.jaccard import JaccardSpec, jaccard_components
+from tickloom.llm.jaccard import JaccardSpec, jaccard_rows, set_ids
 from tickloom.llm.mixing import mix_sources, word_count
 from tickloom.llm.packing import placed_pieces, sequences
 from tickloom.llm.secrets import redact_secrets
@@ -30,25 +30,31 @@ def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Dat
 
 
 def one_of_each_group(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
-    """One row of each group of linked texts: the one with the smallest doc_id.
+    """One row of each group of linked texts: one with the smallest doc_id; rows without an id come last.
 
-    Texts without words are in no group and all stay. Rows that repeat an id within a group give one row. A row without an id goes if its group has
-    a row with one; of a group without ids one row for each text stays.
+    Groups are told apart by their texts: rows with equal ids or none and unlinked texts are in groups of their own. Texts without words
+    are in no group and all stay. Of rows with that smallest id, the one with the smallest hash of its shingles stays, and of rows that
+    agree in both, the one with the smallest text.
     """
-    found = stage(jaccard_components(docs, spec))
-    keep = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    names, at, group = docs.columns, "__id", "__cid"
+    found = stage(jaccard_rows(docs, spec).where("n_shingles > 0"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")).alias("k")
+    keep = stage(found.groupBy("grp").agg(first).select(F.col("k.doc_id").alias(at), F.col("k.cid").alias(group)))
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    lone = found.where("n_shingles > 0 and doc_id is null and component_id is null").limit(1).count()
-    repeated = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    words = docs.where(~blank).join(keep.hint("merge"), "doc_id", "left_semi")  # the same plan at every size
+    keyed = set_ids(docs.where(~blank), spec, group).withColumn(at, F.col("doc_id").cast("long"))
+    with_id = keyed.where(F.col(at).isNotNull()).join(keep.where(F.col(at).isNotNull()).hint("merge"), [at, group], "left_semi")  # the same plan at every size
+
+    def one(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min_by(F.struct(*names), "text").alias("row")).select("row.*")
+
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(at), F.col("cid").alias(group)).count().where("count > 1").drop("count")
+    parts = with_id.select(*names)
     if repeated.limit(1).count():
-        many = words.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        words = words.join(repeated, "doc_id", "left_anti").unionByName(many)
-    parts = words.unionByName(docs.where(blank))
-    if lone:
-        ids = docs.where(~blank & F.col("doc_id").isNotNull()).select("text").distinct()
-        parts = parts.unionByName(docs.where(~blank & F.col("doc_id").isNull()).join(ids, "text", "left_anti").dropDuplicates(["text"]))
-    return parts.select(*docs.columns)
+        parts = with_id.join(repeated, [at, group], "left_anti").select(*names).unionByName(one(with_id.join(repeated, [at, group], "left_semi"), at, group))
+    lone = keep.where(F.col(at).isNull()).select(group)
+    if lone.limit(1).count():
+        parts = parts.unionByName(one(keyed.where(F.col(at).isNull()).join(lone, group, "left_semi"), group))
+    return parts.unionByName(docs.where(blank))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
