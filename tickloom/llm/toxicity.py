@@ -8,6 +8,7 @@ logistic curve with two learned numbers turns the rate into a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 import re
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import mix, parts
+from tickloom.llm.common import parts
 from tickloom.session import stage
 
 # Look-alikes of Latin letters, and digits that stand for letters.
@@ -106,8 +107,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def training_texts(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled documents outside the held-out fifth, by the hash of their id.
 
-    The cut is at a hash value taken from the number of labelled rows, so it neither sorts nor depends on the order of rows. Of
-    near copies one stays: texts with the same smallest word hash count once.
+    The cut is at a hash value taken from the number of labelled rows, so it neither sorts nor depends on the order of rows.
     """
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, given.count()))
@@ -115,24 +115,23 @@ def training_texts(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> Da
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(some, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def _features(texts: DataFrame) -> DataFrame:
-    """(feature, toxic, n): texts that hold a word, or a word beginning of 4 to 8 letters; near copies once."""
+def _word_sets(texts: DataFrame) -> DataFrame:
+    """(toxic, features) of the distinct word sets with a label: words, and word beginnings of 4 to 8 letters. Texts with equal word sets count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for whole in batches for x in parts(whole, 0, 1 << 18)):
-            out = {"near": [], "toxic": [], "features": []}
+            out = {"words": [], "toxic": [], "features": []}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(fold(text).split())
                 if words:
-                    out["near"].append(int(mix(np.array([int.from_bytes(w.encode()[-8:].ljust(8), "little") + len(w) for w in words], np.uint64)).min().view(np.int64)))
+                    out["words"].append(hashlib.blake2b(" ".join(sorted(words)).encode(), digest_size=16).digest())
                     out["toxic"].append(toxic)
                     out["features"].append(sorted(words | {f"{w[:n]}*" for w in words for n in (4, 5, 6, 7, 8) if len(w) > n}))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("near", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.string()))])
-    sets = texts.mapInArrow(run, "near long, toxic int, features array<string>")
-    once = sets.groupBy("near", "toxic").agg(F.min("features").alias("features"))
-    return once.select("toxic", F.explode("features").alias("feature"))
+    schema = pa.schema([("words", pa.binary()), ("toxic", pa.int32()), ("features", pa.list_(pa.string()))])
+    sets = texts.mapInArrow(run, "words binary, toxic int, features array<string>")
+    return sets.groupBy("words", "toxic").agg(F.first("features").alias("features")).select("toxic", "features")
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size: int = 2000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
@@ -140,16 +139,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size:
 
     A word or word beginning is listed if at least 1 % of the toxic texts (3 or more) hold it, its smoothed log odds are over 2, and its toxic
     texts exceed what chance gives by a log likelihood of 10; of a beginning and a longer one, or a word, with 95 % of its toxic texts the
-    longer one is listed. At most ``size`` entries, by support.
+    longer one is listed. At most ``size`` entries, by support. All these counts are of distinct word sets: copies with equal words count once.
     Only counts of such entries and one pair of numbers per training text come to the driver. Without toxic or without
     other texts the lexicon is empty, and every score is that of the bias.
     """
     texts = stage(training_texts(docs, labels, rows))
-    counts = texts.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in counts}
+    sets = stage(_word_sets(texts))
+    n = {r["toxic"]: r["count"] for r in sets.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon({}, exceptions=exceptions)
-    table = stage(_features(texts).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")))
+    table = stage(sets.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n[0] + 1))
     least = max(3, math.ceil(0.01 * n[1]))
     chance = F.col("bad") * F.log(F.col("bad") * (n[0] + n[1]) / (F.col("all") * n[1]))
