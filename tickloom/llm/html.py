@@ -33,6 +33,8 @@ LABELLED = (
     (40, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0, 0), (85, 0.0, 20, 0.0, 70, 0.0, 1, 0, 0, 0), (25, 0.1, 0, 0.0, 8, 0.0, 1, 0, 0, 0), (3, 0.0, 25, 0.0, 2, 0.0, 1, 0, 1, 0),
     (150, 0.0, 90, 0.0, 30, 0.0, 1, 0, 0, 0), (18, 0.4, 2, 0.0, 1, 0.0, 1, 1, 0, 0), (35, 0.0, 60, 0.0, 20, 0.0, 1, 1, 0, 0), (2, 0.0, 35, 0.0, 40, 0.0, 1, 1, 1, 0),
     (60, 0.0, 2, 0.0, 55, 0.0, 1, 1, 0, 0), (7, 0.2, 7, 0.3, 6, 0.0, 1, 0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 0), (220, 0.02, 100, 0.0, 80, 0.0, 1, 0, 0, 0),
+    # elements with such a name around the text itself: long runs of unlinked paragraphs
+    (240, 0.0, 130, 0.0, 260, 0.0, 1, 0, 0, 1), (320, 0.01, 240, 0.0, 180, 0.0, 1, 0, 0, 1), (270, 0.0, 210, 0.0, 150, 0.0, 1, 0, 0, 1), (280, 0.0, 140, 0.0, 290, 0.0, 1, 1, 0, 1),
     # pages without such marks: long text runs, their headings and short lines between them
     (70, 0.0, 50, 0.0, 65, 0.0, 0, 0, 0, 1), (45, 0.05, 5, 0.0, 70, 0.0, 0, 0, 0, 1), (30, 0.0, 70, 0.0, 40, 0.1, 0, 0, 0, 1), (25, 0.2, 60, 0.0, 30, 0.0, 0, 0, 0, 1),
     (110, 0.1, 2, 1.0, 95, 0.0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 90, 0.0, 0, 0, 1, 1), (6, 0.0, 85, 0.0, 75, 0.0, 0, 0, 1, 1), (9, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
@@ -48,10 +50,12 @@ LABELLED = (
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
 _BROKEN = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: a whole class, id, role or label that says boilerplate; words of it are joined by - or _, or run together
 _HINT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|footer|masthead|site-?header|page-?header|header|cookies?|consent|gdpr|notice|alert|"
-    r"popup|modal|overlay|subscri\w*|newsletter|signup|login|search|share|sharing|social|related|recommend\w*|comments?|comment-?list|respon[ds]\w*|disqus|widget|toolbar|pagination|pager|tags?|"
-    r"copyright|legal|skip|hidden|outbrain|taboola|form|contentinfo|complementary|navigation|note-?bar)(?![a-z])", re.I)
+    r"(?:(?:site|page|main|global|top|bottom|primary|secondary|left|right|post|entry|article|content|blog)[-_]?)?(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banner|nav|navbar|navigation|menus?|breadcrumbs?|"
+    r"side[-_]?bar|aside|footer|masthead|header|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|search|share|sharing|social|related|recommend(?:ed|ations?)|comments?|respond|"
+    r"responses|disqus|widgets?|toolbar|pagination|pager|tags|copyright|legal|skip|outbrain|taboola|contentinfo|complementary|note[-_]?bar)"
+    r"(?:[-_]?(?:box|bar|block|area|list|links?|items?|nav|menu|container|wrapper|wrap|inner|section|content|form|buttons?|widget|posts|articles|banner|notice|consent|policy|popup|modal|header|footer|title|icons?|message|text|top|bottom|left|right|[0-9]+))*", re.I)
 _RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "audio", "video", "map"}
 _SECTIONS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 _BLOCKS = set(
@@ -62,8 +66,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 def blocks(page: str) -> Iterator[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, linked words, boilerplate, article, heading) of the flat blocks of a page, in order.
 
-    Boilerplate is decided by the innermost element that says either: a menu, header, footer, form or an element with such a name, or an
-    article or main element. A header within an article, without such a name, belongs to it. Text that the page ends within a tag of is cut off.
+    Boilerplate is decided by the innermost element that says either: a menu, header, footer, form or an element with such a name (a whole class
+    or id), or an article or main element, whatever its name. A header within an article, without such a name, belongs to it. Text that the page ends within a tag of is cut off.
     """
     page = _BROKEN.sub("", page)
     stack: list[tuple[str, bool, bool]] = []
@@ -115,10 +119,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, bool, bool, bool]]:
         elif name not in _VOID and not m[3].endswith("/") and name in _BLOCKS and name not in ("p", "li", "dt", "dd", "option"):
             stack.append((name, bad, good))
             named = _NAMES.findall(m[3])
-            if name not in ("html", "body") and any(_HINT.search(x) for x in named):
-                bad = True
-            elif name in ("article", "main"):
+            if name in ("article", "main"):
                 bad, good = False, True
+            elif name not in ("html", "body") and any(_HINT.fullmatch(t) for x in named for t in x.strip("\"'").split()):
+                bad = True
             elif name in _SECTIONS and not (name == "header" and good):
                 bad = True
     if at < len(page):
