@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import q_html, q_jaccard, q_mixing, q_packing, q_quality, q_search, q_secrets, q_toxicity, q_warc
+from tickloom.llm import q_alignment, q_html, q_jaccard, q_lattice, q_mixing, q_packing, q_quality, q_search, q_secrets, q_toxicity, q_warc, q_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": q_jaccard.op1_ngram_jaccard_join,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": q_secrets.op8_secret_scan,
     "op9_warc_normalise": q_warc.op9_warc_normalise,
     "op10_toxicity": q_toxicity.op10_toxicity,
+    "op11_align_tokenizers": q_alignment.op11_align_tokenizers,
+    "op12_lattice_score": q_lattice.op12_lattice_score,
+    "op13_whiten": q_whitening.op13_whiten,
 }
 
 CHECKS: dict[str, str] = {
