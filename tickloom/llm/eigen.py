@@ -5,17 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
-def _step(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _step(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """One correction: the new vectors, the eigenvalues, and the gap below which eigenvalues can't be told apart yet."""
     r = np.eye(len(a), dtype=a.dtype) - x.T @ x
     s = x.T @ a @ x
+    r, s = (r + r.T) / 2, (s + s.T) / 2
     e = np.diag(s) / (1 - np.diag(r))
     size = np.abs(a).sum(1).max()
     gap = 2 * (np.linalg.norm((s - np.diag(e)).astype(np.float64)) + float(size) * np.linalg.norm(r.astype(np.float64)))
+    gap = max(gap, 1000 * len(a) * float(np.finfo(a.dtype).eps) * float(size))  # nearer values differ by rounding only
     apart = e[None, :] - e[:, None]
     close = np.abs(apart) <= gap
     correction = np.where(close, r / 2, (s + e[None, :] * r) / np.where(close, 1, apart))
-    return x + x @ correction, e, close, gap
+    return x + x @ correction, e, gap
 
 
 def _clusters(e: np.ndarray, gap: float) -> list[np.ndarray]:
@@ -40,16 +42,21 @@ def refined_eigen(a: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarr
     high = (a / size).astype(np.longdouble)
     high = (high + high.T) / 2
     x = np.linalg.eigh(high.astype(np.float32))[1].astype(np.longdouble)
-    small = 4 * np.finfo(np.float64).eps
-    last = np.inf
+    small = np.finfo(np.float64).eps / 4
+    turned, last = False, np.inf
     for _ in range(rounds):
-        new, e, close, gap = _step(high, x)
+        new, e, gap = _step(high, x)
         moved = float(np.abs(new - x).max())
         x = new
-        if moved < small or (moved < 1e-9 and moved >= last / 2):
-            break
-        last = moved
-        for c in _clusters(e, max(gap, 1e-7)):
+        if turned:
+            if moved < small or moved >= last / 4:  # the rest is rounding
+                break
+            last = moved
+            continue
+        if moved > 1e-3:
+            continue
+        turned = moved < 1e-9  # the clusters' spaces are exact from here on, and corrections alone go on
+        for c in _clusters(e, max(gap, 1e-6)):
             # orthonormal within the cluster, then the shifted sub-problem
             y = x[:, c]
             y = y @ (1.5 * np.eye(len(c), dtype=y.dtype) - 0.5 * (y.T @ y))

@@ -105,7 +105,7 @@ def whiten(vectors: DataFrame, components: int = 4, unit: int = 256) -> DataFram
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             rows = _matrix(batch.column("x"), width)
             away = n * rows.astype(object) - exact if n * np.abs(rows).max(initial=0) >= 2**31 else n * rows - exact.astype(np.int64)
-            deviation = (away.astype(object) ** 2).sum(1) if np.abs(away).max(initial=0) ** 2 * width >= 2**62 else (away * away).sum(1)
+            deviation = (away.astype(object) ** 2).sum(1) if float(np.abs(away).max(initial=0)) ** 2 * width >= 2.0**62 else (away * away).sum(1)
             projected = (rows - mean) @ scale
             out = {
                 "vec_id": batch.column("vec_id").to_numpy(zero_copy_only=False).repeat(top) if not batch.column("vec_id").null_count else [i for i in batch.column("vec_id").to_pylist() for _ in range(top)],
