@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 # fits many models; covered by test_models on smaller settings. The training-data queries have tests of their own
-SLOW = {"M5_max_roi_job", "M8_predict_max_roi", "M9_retrain_all", "J6_grid_search_full", "pipeline"}
+SLOW = {"M5_max_roi_job", "M8_predict_max_roi", "M9_retrain_all", "pipeline"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW and not (n.startswith("op") and n[2].isdigit())])

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.functions.clock import minutes_since_open
 from tickloom.functions.numbers import round_to
 from tickloom.operators import paths
+from tickloom.operators.cube import Best, Dim, filter_grid
 from tickloom.session import MARKET_HOURS, SessionSpec
 
 # fixed values: default sweep lists (levels as given, exit levels in tenths of a percent)
@@ -105,45 +105,85 @@ def _first(hits: Column, rung: Column, low: int) -> Column:
     return F.coalesce(F.get(hits, rung - low), F.lit(FAR))
 
 
-def ladder_exits(hits: DataFrame, sets: Sequence[tuple[int, ...]], anchors: Sequence[int], low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Outcome of every exit set for every trade, in tenths of a percent.
+def rule_trie(sets: Sequence[tuple[int, ...]]) -> tuple[list[list[list[dict]]], list[list[int]]]:
+    """The exit sets as a prefix tree of (target, stop) pairs.
+
+    ``children[depth][parent]`` lists the nodes {node, t, s} below a node (at depth 0 the only parent is 0), ``leaves[node]`` the exit sets below a
+    node. Nodes are numbered over all depths.
+    """
+    children: list[list[list[dict]]] = []
+    leaves: list[list[int]] = []
+    parents = {(): 0}
+    for depth in range(len(sets[0]) // 2):
+        level: list[list[dict]] = [[] for _ in range(max(parents.values()) + 1)]
+        found: dict[tuple[int, ...], int] = {}
+        for exit_id, x in enumerate(sets):
+            prefix = tuple(x[:2 * depth + 2])
+            if prefix not in found:
+                found[prefix] = len(leaves)
+                leaves.append([])
+                level[parents[prefix[:-2]]].append({"node": found[prefix], "t": prefix[-2], "s": prefix[-1]})
+            leaves[found[prefix]].append(exit_id)
+        children.append(level)
+        parents = found
+    return children, leaves
+
+
+def _literal(value, kind: str) -> Column:
+    """A constant nested value (a JSON literal, folded once by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def ladder_outcomes(hits: DataFrame, sets: Sequence[tuple[int, ...]], anchors: Sequence[int], low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Outcomes of all exit sets for every trade, found once per shared prefix: (trade_id, keep, node, tenths, win, loss, neither).
 
     Stage 1 races sl1 against t1; after t1, sl2 races t2 and then sl3 races t3, all with positions
-    strictly after the first t1. Reaching t2 (two stages), t3 or sl3 (three stages) is a win.
+    strictly after the first t1. A trade goes down the tree only below nodes whose target came first, so it has a row for every
+    node where its outcome is decided, which stands for all exit sets below it. Reaching the last target or sl3 is a win.
     """
-    three = len(sets[0]) == 6
+    children, _ = rule_trie(sets)
     width = high - low + 1
-    rows = hits.select("trade_id", "last", "hits", *keep, F.explode(_literal_sets(sets)).alias("x")).select(
-        "trade_id", "last", "hits", *keep, "x.*"
-    )
+    depths = len(children)
     h = F.col("hits")
-    block = F.array_position(F.array(*[F.lit(a) for a in anchors]), F.col("t1")).cast("int") * width
-
-    def later(name: str) -> Column:
-        return F.coalesce(F.get(h, block + F.col(name) - low), F.lit(FAR))
-
-    p_t1, p_s1 = _first(h, F.col("t1"), low), _first(h, F.col("sl1"), low)
-    rows = rows.withColumn("_t1", p_t1).withColumn("_s1", p_s1).withColumn("_t2", later("t2")).withColumn("_s2", later("sl2"))
-    # outcome codes: 1 sl1, 2 sl2, 3 t2, 4 sl3, 5 t3, 0 neither
-    last_stage = F.lit(3)
-    if three:
-        rows = rows.withColumn("_t3", later("t3")).withColumn("_s3", later("sl3"))
-        last_stage = F.when(F.col("_s3") < F.col("_t3"), 4).when(F.col("_t3") < F.col("_s3"), 5).otherwise(0)
-    code = (
-        F.when(F.col("_s1") < F.col("_t1"), 1)
-        .when(F.col("_t1") < F.col("_s1"), F.when(F.col("_s2") < F.col("_t2"), 2).when(F.col("_t2") < F.col("_s2"), last_stage).otherwise(0))
-        .otherwise(0)
-    )
-    rows = rows.withColumn("code", code)
-    c = F.col("code")
-    value = F.when(c == 1, F.col("sl1")).when(c == 2, F.col("sl2")).when(c == 3, F.col("t2"))
-    if three:
-        value = value.when(c == 4, F.col("sl3")).when(c == 5, F.col("t3"))
-    return rows.select(
-        "trade_id", *keep, "exit_id", *[n for n in NAMES if n in rows.columns],
-        value.otherwise(F.col("last")).cast("long").alias("tenths"),
-        (c >= 3).cast("long").alias("win"), c.isin(1, 2).cast("long").alias("loss"), (c == 0).cast("long").alias("neither"),
-    )
+    node = "array<array<struct<node: int, t: int, s: int>>>"
+    rows = hits.select("trade_id", "last", "hits", *keep, F.explode(_literal(children[0], node)[0]).alias("x"))
+    rows = rows.select(*rows.columns[:-1], "x.node", F.col("x.t").alias("t"), F.col("x.s").alias("s"), F.col("x.t").alias("_t1"))
+    for depth in range(depths):
+        block = F.lit(0) if depth == 0 else F.array_position(F.array(*[F.lit(a) for a in anchors]), F.col("_t1")).cast("int") * width
+        p_t, p_s = (F.coalesce(F.get(h, block + F.col(c) - low), F.lit(FAR)) for c in ("t", "s"))
+        # outcome codes: 0 neither, 1 stop, 2 target
+        code = F.when(p_s < p_t, 1).when(p_t < p_s, 2).otherwise(0)
+        if depth == 0:
+            rows = rows.withColumn("_code", code).withColumn("_depth", F.lit(1))
+        else:
+            rows = rows.withColumn("_code", F.when(F.col("_depth") == depth + 1, code).otherwise(F.col("_code")))
+        if depth + 1 < depths:
+            # parents are nodes of this depth, numbered from the first one's number on
+            base = min(n["node"] for level in children[depth] for n in level)
+            below = F.element_at(_literal(children[depth + 1][base:], node), F.col("node") - base + 1)
+            goes_on = (F.col("_depth") == depth + 1) & (F.col("_code") == 2)
+            stays = F.array(F.struct(F.col("node").alias("node"), F.col("t").alias("t"), F.col("s").alias("s")))
+            rows = rows.withColumn("_next", goes_on).withColumn("x", F.explode(F.when(goes_on, below).otherwise(stays)))
+            rows = rows.withColumn("_depth", F.when(F.col("_next"), depth + 2).otherwise(F.col("_depth")))
+            rows = rows.drop("node", "t", "s", "_next").withColumns({"node": F.col("x.node"), "t": F.col("x.t"), "s": F.col("x.s")}).drop("x")
+    c, last_stage = F.col("_code"), F.col("_depth") == depths
+    win = (c == 2) | ((c == 1) & last_stage) if depths == 3 else c == 2
+    value = F.when(c == 1, F.col("s")).when(c == 2, F.col("t")).otherwise(F.col("last"))
+    one = lambda x: x.cast("long")
+    return rows.select("trade_id", *keep, "node", one(value).alias("tenths"), one(win).alias("win"), one((c == 1) & ~win).alias("loss"), one(c == 0).alias("neither"))
+
+
+def with_exit_sets(outcomes: DataFrame, sets: Sequence[tuple[int, ...]]) -> DataFrame:
+    """A row per exit set below the node of each row, as exit_id."""
+    leaves = _literal(rule_trie(sets)[1], "array<array<int>>")
+    return outcomes.withColumn("exit_id", F.explode(F.element_at(leaves, F.col("node") + 1))).drop("node")
+
+
+def ladder_exits(hits: DataFrame, sets: Sequence[tuple[int, ...]], anchors: Sequence[int], low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Outcome of every exit set for every trade, in tenths of a percent (see ``ladder_outcomes``)."""
+    rows = with_exit_sets(ladder_outcomes(hits, sets, anchors, low, high, keep), sets)
+    x = F.element_at(_literal_sets(sets), F.col("exit_id") + 1)
+    return rows.select("trade_id", *keep, "exit_id", *[x[n].alias(n) for n in NAMES[: len(sets[0])]], "tenths", "win", "loss", "neither")
 
 
 def simulate_exit(path: DataFrame, targets: Sequence[float] = TICK_TARGETS, stops: Sequence[float] = TICK_STOPS) -> DataFrame:
@@ -168,94 +208,6 @@ def simulate_exit(path: DataFrame, targets: Sequence[float] = TICK_TARGETS, stop
 
 # ---------------------------------------------------------------- entry filters
 
-@dataclass(frozen=True)
-class Dim:
-    """One filter dimension: which of its ``labels`` a row satisfies, as a bit mask column."""
-
-    name: str
-    labels: tuple
-    mask: Column
-
-    @staticmethod
-    def floors(name: str, value: Column, levels: Sequence[float]) -> "Dim":
-        bits = [F.when(value >= F.lit(x), F.lit(1 << i)).otherwise(F.lit(0)) for i, x in enumerate(levels)]
-        return Dim(name, tuple(levels), _total(bits))
-
-    @staticmethod
-    def flag(name: str, value: Column) -> "Dim":
-        """true / false / either; a null flag satisfies only 'either'."""
-        return Dim(name, ("true", "false", "either"), F.when(value, F.lit(1)).when(~value, F.lit(2)).otherwise(F.lit(0)) + F.lit(4))
-
-    @staticmethod
-    def bands(name: str, value: Column, bands: Sequence[tuple[float, float]], labels: Sequence) -> "Dim":
-        bits = [F.when((value >= F.lit(lo)) & (value < F.lit(hi)), F.lit(1 << i)).otherwise(F.lit(0)) for i, (lo, hi) in enumerate(bands)]
-        return Dim(name, tuple(labels), _total(bits))
-
-
-def _total(bits: list[Column]) -> Column:
-    out = bits[0]
-    for b in bits[1:]:
-        out = out + b
-    return out
-
-
-def filter_grid(rows: DataFrame, dims: Sequence[Dim], by: Sequence[str], sums: dict[str, Column], lead: int = 2) -> DataFrame:
-    """Sums per filter combination (only combinations that some row satisfies).
-
-    1. Rows collapse to (by, masks of all dimensions): partial sums, at most as many rows as there are
-       distinct masks, whatever the number of trades. The masks sit in two integers, ``_lead`` and
-       ``_rest``, so that grouping hashes plain longs.
-    2. The first ``lead`` dimensions are expanded to their labels and the data is shuffled once by
-       (by, _lead). The other dimensions are expanded and summed one after the other inside that
-       partitioning, so each step multiplies by one dimension only and no further shuffle is needed.
-    """
-    offset, places = 0, []
-    for i, d in enumerate(dims):
-        if i == lead:
-            offset = 0
-        places.append(("_lead" if i < lead else "_rest", offset, (1 << len(d.labels)) - 1))
-        offset += len(d.labels)
-        if offset > 63:
-            raise ValueError(f"more than 63 labels in the {'first ' + str(lead) if i < lead else 'other'} dimensions: their masks don't fit a long")
-
-    def packed(holder: str) -> Column:
-        out = F.lit(0).cast("long")
-        for d, (where, off, _) in zip(dims, places):
-            if where == holder:
-                out = out.bitwiseOR(F.shiftleft(d.mask.cast("long"), off))
-        return out
-
-    collapsed = rows.select(*by, packed("_lead").alias("_lead"), packed("_rest").alias("_rest"), *[c.alias(n) for n, c in sums.items()])
-    for where, off, m in places:
-        collapsed = collapsed.where(F.col(where).bitwiseAND(F.lit(m << off)) != 0)
-    keys, add = [*by, "_lead", "_rest"], [F.sum(n).alias(n) for n in sums]
-    cells = collapsed.groupBy(*keys).agg(*add)
-
-    def expand(df: DataFrame, where: str, off: int, m: int, width: int) -> DataFrame:
-        # one row per set bit of the dimension, keeping only that bit; exploding a constant array and
-        # filtering stays inside generated code, a lambda filter would not
-        bits = F.array(*[F.lit(1 << (off + i)).cast("long") for i in range(width)])
-        others = F.col(where).bitwiseAND(F.lit(~(m << off)))
-        set_bits = df.withColumn("_bit", F.explode(bits)).where(F.col(where).bitwiseAND(F.col("_bit")) != 0)
-        return set_bits.withColumn(where, others.bitwiseOR(F.col("_bit"))).drop("_bit")
-
-    for d, (where, off, m) in list(zip(dims, places))[:lead]:
-        cells = expand(cells, where, off, m, len(d.labels))
-    if lead:
-        cells = cells.repartition(*by, "_lead")
-        cells = cells.groupBy(*keys).agg(*add)
-    for d, (where, off, m) in list(zip(dims, places))[lead:]:
-        cells = expand(cells, where, off, m, len(d.labels)).groupBy(*keys).agg(*add)
-
-    def label(d: Dim, where: str, off: int) -> Column:
-        out = F.when(F.col(where).bitwiseAND(F.lit(1 << off)) != 0, F.lit(d.labels[0]))
-        for i, v in enumerate(d.labels[1:], 1):
-            out = out.when(F.col(where).bitwiseAND(F.lit(1 << (off + i))) != 0, F.lit(v))
-        return out.alias(d.name)
-
-    return cells.select(*by, *[label(d, where, off) for d, (where, off, _) in zip(dims, places)], *sums)
-
-
 def vol_mode1(value: Column, levels: Sequence[float] = VOLATILITIES) -> Dim:
     """Mode 1 volatility: level 0 means [0, 0.6), any other level means [level, 3.0)."""
     bands = [(v, VOL_MODE1_LOW_TOP if v == 0.0 else VOL_MODE1_TOP) for v in levels]
@@ -274,21 +226,26 @@ def search_dims(mode: int, adx28=ADX, adx14=ADX, adx7=ADX, times: Sequence[int]
     return dims + [Dim.flag("rsi", F.col("rsi_extreme")), Dim.flag("min4", F.col("prev_lasted"))]
 
 
-def grid_search_cells(entries: DataFrame, hits: DataFrame, sets, anchors, low: int, high: int, dims: Sequence[Dim], without_ladder: bool = False) -> DataFrame:
+def grid_search_cells(entries: DataFrame, hits: DataFrame, sets, anchors, low: int, high: int, dims: Sequence[Dim], without_ladder: bool = False, best: Best | None = None) -> DataFrame:
     """J6 before ranking: sum, count, wins, losses, neither per filter combination and exit set.
 
-    Trades without a row in ``hits`` are left out, or count as neither, with 0.
+    Trades without a row in ``hits`` are left out, or count as neither, with 0. Trades of equal masks add up per node of the exit sets' tree before
+    nodes are spread to the exit sets below them. With ``best`` only cells that can be among the best ones come back.
     """
     masks = [d.name for d in dims]
     packed = entries.select("trade_id", *[d.mask.alias(d.name) for d in dims])
     joined = packed.join(hits, "trade_id", "left").na.fill(0, ["last"]) if without_ladder else hits.join(packed, "trade_id")
-    rows = ladder_exits(joined, sets, anchors, low, high, keep=masks)
-    ready = [Dim(d.name, d.labels, F.col(d.name)) for d in dims]
-    sums = {"tenths": F.col("tenths"), "wins": F.col("win"), "losses": F.col("loss"), "neither": F.col("neither")}
-    cells = filter_grid(rows, ready, ["exit_id"], sums)
+    sums = {"tenths": "tenths", "wins": "win", "losses": "loss", "neither": "neither"}
+    nodes = ladder_outcomes(joined, sets, anchors, low, high, keep=masks).groupBy(*masks, "node").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    cells = filter_grid(with_exit_sets(nodes, sets), [d.of(F.col(d.name)) for d in dims], ["exit_id"], {n: F.col(n) for n in sums}, best)
     return cells.withColumn("n", F.col("wins") + F.col("losses") + F.col("neither"))
 
 
+def best_of_mode(mode: int, k: int = 10, min_tenths: int = MIN_SUM_TENTHS) -> Best:
+    """What ``grid_search`` asks of the cells."""
+    return Best("tenths", k, min_tenths, {1: None, 2: "vol", 3: "entry_time"}[mode])
+
+
 def grid_search(cells: DataFrame, dims: Sequence[Dim], sets, mode: int, k: int = 10, min_tenths: int = MIN_SUM_TENTHS) -> DataFrame:
     """Best k overall (mode 1), per volatility level (2) or per entry-time band (3)."""
     names = [d.name for d in dims]
@@ -313,9 +270,9 @@ def grid_search_ticks(entries: DataFrame, exits: DataFrame, k: int = 10) -> Data
     dims += [Dim.floors(n, F.col(n), ADX) for n in ("adx28", "adx14", "adx7")]
     packed = entries.select("trade_id", *[d.mask.alias(d.name) for d in dims])
     rows = exits.join(packed, "trade_id")
-    ready = [Dim(d.name, d.labels, F.col(d.name)) for d in dims]
+    ready = [d.of(F.col(d.name)) for d in dims]
     # returns in whole 1e-4 percent: exact sums in any order
-    cells = filter_grid(rows, ready, ["exit_id", "target", "stop"], {"units": F.rint(F.col("result") * 10000).cast("long"), "n": F.lit(1).cast("long")})
+    cells = filter_grid(rows, ready, ["exit_id", "target", "stop"], {"units": F.rint(F.col("result") * 10000).cast("long"), "n": F.lit(1).cast("long")}, Best("units", k, -(1 << 62)))
     names = [d.name for d in dims]
     return cells.withColumn("total", F.col("units") / 10000.0).orderBy(F.desc("units"), *names, "exit_id").limit(k).select(
         *names, "target", "stop", "total", "n"
@@ -370,7 +327,7 @@ def vol_ratio_sweep(entries: DataFrame, hits: DataFrame, low: int) -> DataFrame:
     loss = one(F.when(b, x == -3).otherwise(x == -5))
     dims = [Dim.floors("vol", F.col("vol"), SWEEP_VOLS), Dim.floors("ratio", F.col("ratio"), SWEEP_RATIOS)]
     sums = {"tenths": x, "n": F.lit(1).cast("long"), "wins": win, "upper_sl_losses": upper_sl, "losses": loss}
-    cells = with_empty_cells(filter_grid(rows, dims, ["rule"], sums, lead=1), {"rule": ("basic", "complex"), "vol": SWEEP_VOLS, "ratio": SWEEP_RATIOS}, sums)
+    cells = with_empty_cells(filter_grid(rows, dims, ["rule"], sums), {"rule": ("basic", "complex"), "vol": SWEEP_VOLS, "ratio": SWEEP_RATIOS}, sums)
     return cells.select(
         "rule", "vol", "ratio", "n", "wins", "upper_sl_losses", "losses",
         (F.col("n") - F.col("wins") - F.col("upper_sl_losses") - F.col("losses")).alias("neither"),

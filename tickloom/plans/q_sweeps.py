@@ -181,7 +181,7 @@ _ORDER = "tenths desc, {time}cells.vol, cells.ratio, cells.avg_last_2, cells.adx
 def search(spark, sf, mode: int, k: int = 10, **adx):
     dims = sweeps.search_dims(mode, times=DAY_BANDS, **adx)
     sets = sweeps.valid_exit_sets(2)
-    cells = sweeps.grid_search_cells(sweep_entries(spark, sf), _hits(spark, sf), sets, ANCHORS, LOW, HIGH, dims)
+    cells = sweeps.grid_search_cells(sweep_entries(spark, sf), _hits(spark, sf), sets, ANCHORS, LOW, HIGH, dims, best=sweeps.best_of_mode(mode, k))
     return sweeps.grid_search(cells, dims, sets, mode, k).drop("exit_id")
 
 
@@ -221,12 +221,6 @@ def _(spark, sf):
     return search(spark, sf, 3)
 
 
-# every default list: 27.7 million combinations; no check text, tested against brute force on a small grid
-@query("J6_grid_search_full")
-def _(spark, sf):
-    return search(spark, sf, 1)
-
-
 @query("J7_grid_search_ticks", TV, f"""
 with {ENTRIES}, {texts.TPATH}, o as (select *, sec*1000000::bigint + tick_id as ord from tpath),
   lv as (select * from (values (0.2D), (0.3D), (0.4D), (0.5D)) a(target), (values (-0.5D), (-0.4D), (-0.3D)) b(stop)),
