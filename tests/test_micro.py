@@ -280,8 +280,10 @@ def test_quantiles_match_numpy(spark):
     assert np.allclose(got, np.quantile(v, probs))
 
 
-def test_pearson_p_value():
-    # t = r * sqrt((n-2)/(1-r^2)) = 2.228 is the two-sided 5 percent point at 10 degrees of freedom
-    t, n = 2.228139, 12
-    r = t / (n - 2 + t * t) ** 0.5
-    assert abs(stats.pearson_p_value(r, n) - 0.05) < 1e-5
+def test_pearson_p_value(spark):
+    # two-sided points of Student's t at 10 and 100 degrees of freedom, and a relation beyond doubt
+    points = [(2.228139, 12, 0.05), (3.169273, 12, 0.01), (1.983972, 102, 0.05), (3.390492, 102, 0.001), (0.0, 12, 1.0)]
+    rows = [(t / (n - 2 + t * t) ** 0.5, n, p) for t, n, p in points] + [(1.0, 20, 0.0), (0.9, 1_000_000, 0.0)]
+    df = spark.createDataFrame(rows, "r double, n long, want double")
+    for r in df.withColumn("p", stats.pearson_p_value(F.col("r"), F.col("n"))).collect():
+        assert abs(r["p"] - r["want"]) < 1e-5 * max(r["want"], 1e-3)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.numbers import pct_of, round_to
+from tickloom.operators import blocks
 from tickloom.session import MARKET_HOURS, SessionSpec
 
 
@@ -133,10 +134,10 @@ def target_code(text: Column) -> Column:
 def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """0-based alphabetical code of a category.
 
-    Codes are numbered over the distinct values (tickers: a short list) and joined back.
+    Codes are numbered over ranges of the distinct values and joined back.
     """
-    w = Window.orderBy(column)
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    values = blocks.in_ranges(df.select(column).where(F.col(column).isNotNull()).distinct(), [column])
+    codes = blocks.row_numbers(values, [], F.col("_range"), [column], "_rn").select(column, (F.col("_rn") - 1).cast("int").alias(out))
     return df.join(codes, column, "left").na.fill({out: -1})
 
 

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import stage
+
 HALF_HOUR = 1800
 
 
@@ -25,6 +27,15 @@ def time_block(sec: Column | str = "sec", width: int = HALF_HOUR) -> Column:
     return F.floor(sec / F.lit(width)).cast("long")
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], name: str = "_range") -> DataFrame:
+    """``df`` as a written table with a block column cut where the data lie: ranges of equal size along ``order``, numbered upwards.
+
+    For orders over all tickers or a whole history, where blocks of time would be as uneven as trading is: a half hour with most rows
+    is many ranges. ``order`` should tell rows apart, as equal ones stay in one range.
+    """
+    return stage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("long")))
+
+
 def _block_window(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
@@ -63,6 +74,21 @@ def row_numbers(df: DataFrame, keys: Sequence[str], block: Column, order: Sequen
     return running_sum(df, keys, block, order, {name: F.lit(1).cast("long")})
 
 
+def carry_both(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], value: Column, back: str, ahead: str) -> DataFrame:
+    """``carry_value`` in both directions at once: the nearest non-null ``value`` at or before the row (``back``) and at or after it (``ahead``)."""
+    work = df.withColumn("_blk", block).withColumn("_val", value)
+    seen = F.when(F.col("_val").isNotNull(), F.struct(*order))
+    edges = work.groupBy(*keys, "_blk").agg(F.max_by("_val", seen).alias("_last"), F.min_by("_val", seen).alias("_first"))
+    local, carry = work, edges
+    for turn, edge, name in ((F.asc, "_last", back), (F.desc, "_first", ahead)):
+        across = Window.partitionBy(*keys).orderBy(turn("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+        inside = _block_window([*keys, "_blk"], [turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        carry = carry.withColumn(f"_carry{edge}", F.last(edge, ignorenulls=True).over(across))
+        local = local.withColumn(name, F.last("_val", ignorenulls=True).over(inside))
+    out = _join_blocks(local, carry.drop("_last", "_first"), keys, "_blk")
+    return out.withColumn(back, F.coalesce(back, "_carry_last")).withColumn(ahead, F.coalesce(ahead, "_carry_first")).drop("_blk", "_val", "_carry_last", "_carry_first")
+
+
 def carry_value(
     df: DataFrame,
     keys: Sequence[str],

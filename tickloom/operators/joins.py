@@ -13,14 +13,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.operators import blocks
-from tickloom.session import MARKET_HOURS, SessionSpec
+from tickloom.session import MARKET_HOURS, SessionSpec, stage
 
 KEYS = ["ticker", "trade_date"]
 
 
-def equi_join(trades: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Every tick of the trade's ticker and day."""
-    return trades.join(ticks, KEYS)
+#: hot keys at most, and so rows of the only table that is ever broadcast
+HOT_KEYS = 1000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """(keys, _parts) of the keys with more than ``most`` rows, or more than a ``HOT_KEYS``-th of all rows where that is larger; so there are fewer than ``HOT_KEYS``."""
+    counts = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    size = max(most, total // HOT_KEYS)
+    return counts.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
+
+
+def equi_join(trades: DataFrame, ticks: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Every tick of the trade's ticker and day.
+
+    Ticks are counted per key first. The ticks of a key with more than ``most`` rows are dealt to several parts by hash, and
+    its trades are repeated for each part; all other keys meet as they are.
+    """
+    hot = hot_keys(ticks.where(F.col("ticker").isNotNull() & F.col("trade_date").isNotNull()), KEYS, most)
+    if hot.isEmpty():
+        return trades.join(ticks, KEYS)
+    hot = F.broadcast(hot)  # fewer than HOT_KEYS rows
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = ticks.join(hot, KEYS, "left").withColumn("_part", F.pmod(F.xxhash64("sec", "tick_id"), parts).cast("int")).drop("_parts")
+    spread = trades.join(hot, KEYS, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return spread.join(dealt, [*KEYS, "_part"]).drop("_part")
 
 
 def nearest_tick(trades: DataFrame, ticks: DataFrame, at: str, cols: Sequence[str], forward: bool) -> DataFrame:
@@ -125,8 +148,17 @@ def parameter_grid(spark, **lists: Sequence) -> DataFrame:
 
 def tick_bounds(trades: DataFrame, ticks: DataFrame) -> DataFrame:
     """First tick at or after entry and last tick at or before exit, with ``valid``."""
-    start = asof_forward(trades, ticks).withColumnRenamed("tick", "start_tick")
-    both = asof_backward(start, ticks).withColumnRenamed("tick", "end_tick")
+    cols = ("sec", "tick_id", "price")
+    trade = F.struct(*trades.columns).alias("_trade")
+    # both probes of every trade and all ticks in one order: entry probes before the ticks of their second, exit probes after them
+    sides = [trades.select(*KEYS, F.col(at).alias("sec"), F.lit(kind).alias("_kind"), F.lit(None).cast("long").alias("_id"), trade) for at, kind in (("entry_sec", 0), ("exit_sec", 2))]
+    side = ticks.select(*KEYS, "sec", F.lit(1).alias("_kind"), F.col("tick_id").cast("long").alias("_id"), F.struct(*cols).alias("tick"))
+    rows = sides[0].unionByName(sides[1]).unionByName(side, allowMissingColumns=True)
+    found = blocks.carry_both(rows, KEYS, blocks.time_block(), ["sec", "_kind", "_id"], F.col("tick"), "_back", "_ahead").where(F.col("_trade").isNotNull())
+    # a trade's two probes meet again by the trade's own columns
+    ends = found.groupBy("_trade").agg(
+        F.max(F.when(F.col("_kind") == 0, F.col("_ahead"))).alias("start_tick"), F.max(F.when(F.col("_kind") == 2, F.col("_back"))).alias("end_tick"), F.count(F.when(F.col("_kind") == 0, 1)).alias("_times"))
+    both = ends.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_trade.*", "start_tick", "end_tick")
     order = lambda c: F.struct(F.col(f"{c}.sec"), F.col(f"{c}.tick_id"))
     ok = F.col("start_tick").isNotNull() & F.col("end_tick").isNotNull() & (order("start_tick") <= order("end_tick"))
     return both.withColumn("valid", F.coalesce(ok, F.lit(False)))

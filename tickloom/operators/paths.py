@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.clock import minutes_since_open
 from tickloom.functions.numbers import pct_of, roi, round_to, signed_change
-from tickloom.operators import joins
+from tickloom.operators import blocks, joins
 from tickloom.session import MARKET_HOURS, SessionSpec
 
 TRADE_COLS = ["trade_id", "ticker", "trade_date", "side", "entry_sec", "exit_sec", "entry_price"]
@@ -273,3 +273,11 @@ def first_reach_time(ticks: DataFrame, level: float = 0.3) -> DataFrame:
 
 def vol_percent(atr: Column, price: Column) -> Column:
     return pct_of(atr, price)
+
+
+def tick_gap(ticks: DataFrame) -> DataFrame:
+    """seconds since the tick before, of any ticker, on the same day. Blocks are ranges of the ticks' own order."""
+    order = ["sec", "tick_id"]
+    ranged = blocks.in_ranges(ticks, ["trade_date", *order])
+    lagged = blocks.carry_value(ranged, ["trade_date"], F.col("_range"), order, F.col("sec"), "_prev", inclusive=False)
+    return lagged.withColumn("gap", F.col("sec") - F.col("_prev")).drop("_range", "_prev")

@@ -6,7 +6,6 @@ then counts are accumulated over value blocks (see operators.blocks).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -91,9 +90,8 @@ def ticker_day_summary(trades: DataFrame) -> DataFrame:
 
 def overall_summary(trades: DataFrame) -> DataFrame:
     """Totals over all days, overall (ticker null) and per ticker, and the same per trading day."""
-    g = trades.groupingSets([[], ["ticker"]], "ticker").agg(*_summary_cols(), F.countDistinct("trade_date").alias("days"))
-    # the overall row has the number of days of the whole set; g has one row per ticker and one more
-    g = g.withColumn("days", F.max("days").over(Window.partitionBy()))
+    days = trades.agg(F.countDistinct("trade_date")).scalar()
+    g = trades.groupingSets([[], ["ticker"]], "ticker").agg(*_summary_cols()).withColumn("days", days)
     per_day = [round_to(F.col(c) / F.col("days"), 2).alias(f"{c}_per_day") for c in ("total_pct", "holder_pct", "fail_pct")]
     return g.select("*", *per_day)
 
@@ -254,34 +252,32 @@ def result_score(result: Column) -> Column:
 
 
 def ordinal_result_corr(trades: DataFrame, result: str = "pct_change") -> DataFrame:
-    """Correlation of the ordinal result with the duration, with its t statistic when n > 10."""
+    """Correlation of the ordinal result with the duration, with its t statistic and two-sided p value when n > 10."""
     rows = trades.withColumn("_s", result_score(F.col(result)).cast("double")).where("_s is not null")
     g = rows.agg(F.count(F.lit(1)).alias("n"), settle(F.corr(F.col("duration_sec").cast("double"), F.col("_s"))).alias("r"))
-    t = F.when(F.col("n") > 10, settle(F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(F.lit(1.0) - F.col("r") * F.col("r")))))
-    return g.withColumn("t", t)
+    t = settle(F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(F.lit(1.0) - F.col("r") * F.col("r"))))
+    enough = F.col("n") > 10
+    return g.withColumn("t", F.when(enough, t)).withColumn("p", F.when(enough, settle(pearson_p_value(F.col("r"), F.col("n")))))
 
 
-def pearson_p_value(r: float, n: int) -> float:
-    """Two-sided p value of a correlation: Student t tail as a regularized incomplete beta value."""
-    if n <= 2 or abs(r) >= 1:
-        return 0.0 if n > 2 else 1.0
-    a, b, x = (n - 2) / 2, 0.5, 1 - r * r
+PANELS, WIDTHS = 2000, 12.0  # panels of the integrals below, and their reach in standard widths
 
-    def fraction(a: float, b: float, x: float) -> float:
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or tiny)
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / ((1 + num * d) or tiny)
-                c = (1 + num / c) or tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
 
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+def pearson_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p value of a correlation of ``n`` pairs.
+
+    Without a relation r has the density (1 - r**2)**((n - 4) / 2) up to a factor, so p is the share of its integral beyond abs(r). Both
+    integrals are Simpson sums over twelve standard widths 1 / sqrt(n - 2), beyond which the density is below 1e-30 of its start.
+    """
+    power, width = (n - 4.0) / 2.0, F.lit(WIDTHS) / F.sqrt(n - 2.0)
+
+    def area(start: Column) -> Column:
+        step = (F.least(F.lit(1.0), start + width) - start) / PANELS
+        at = lambda i: F.pow(F.greatest(F.lit(0.0), F.lit(1.0) - (start + step * i) * (start + step * i)), power)
+        weight = lambda i: F.when(i.isin(0, PANELS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return step * F.aggregate(F.sequence(F.lit(0), F.lit(PANELS)), F.lit(0.0), lambda total, i: total + weight(i) * at(i))
+
+    return area(F.abs(r)) / area(F.lit(0.0))
 
 
 DURATION_MINUTES = (0, 2, 5, 10, 15, 30, 1e9)  # fixed values: last band is open
@@ -482,10 +478,10 @@ def sort_desc_time(df: DataFrame, time: str | Sequence[str], line: str) -> DataF
     return df.orderBy(*[F.desc(t) for t in ([time] if isinstance(time, str) else time)], line)
 
 
-def sort_by_column(df: DataFrame, column: str) -> DataFrame:
-    """H6: descending, with the column's minimum and maximum on every row."""
-    lo, hi = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
-    return df.withColumn("lowest", lo).withColumn("highest", hi).orderBy(F.desc(column))
+def sort_by_column(df: DataFrame, column: str, ties: Sequence[str] = ()) -> DataFrame:
+    """H6: descending, rows with equal values by ``ties``, with the column's minimum and maximum on every row."""
+    ends = df.agg(F.struct(F.min(column).alias("lowest"), F.max(column).alias("highest"))).scalar()
+    return df.withColumn("lowest", ends["lowest"]).withColumn("highest", ends["highest"]).orderBy(F.desc(column), *ties)
 
 
 def head_n(df: DataFrame, order: Sequence[str], n: int = 21) -> DataFrame:

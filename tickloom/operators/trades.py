@@ -78,8 +78,9 @@ def day_block(sec: Column | str = "entry_sec") -> Column:
 
 
 def dense_trade_id(trades: DataFrame, name: str = "trade_no") -> DataFrame:
-    """1..n by date and entry time. Only one count per half hour of history crosses tasks."""
-    return blocks.row_numbers(trades, [], day_block(), ["trade_date", "entry_sec", "trade_id"], name)
+    """1..n by date and entry time. Only one count per range of the order crosses tasks."""
+    order = ["trade_date", "entry_sec", "trade_id"]
+    return blocks.row_numbers(blocks.in_ranges(trades, order), [], F.col("_range"), order, name).drop("_range")
 
 
 ENTRY_COLS = ("sec", "tick_id", "price", "atr14", "atr28", "adx28", "adx14", "adx7", "rsi")
@@ -101,10 +102,10 @@ def entry_conditions(trades: DataFrame, ticks: DataFrame) -> DataFrame:
 
 def running_percents(trades: DataFrame, pct: str = "pct_change") -> DataFrame:
     """running sums of the rounded percents within a day, by ticker and over all trades."""
-    order = ["entry_sec", "trade_id"]
-    block = blocks.time_block("entry_sec")
-    by_ticker = blocks.running_sum(trades, ["trade_date", "ticker"], block, order, {"running_by_ticker": F.col(pct)})
-    both = blocks.running_sum(by_ticker, ["trade_date"], block, order, {"running_all": F.col(pct)})
+    order, block = ["entry_sec", "trade_id"], F.col("_range")
+    ranged = blocks.in_ranges(trades, ["trade_date", *order])
+    by_ticker = blocks.running_sum(ranged, ["trade_date", "ticker"], block, order, {"running_by_ticker": F.col(pct)})
+    both = blocks.running_sum(by_ticker, ["trade_date"], block, order, {"running_all": F.col(pct)}).drop("_range")
     for c in ("running_by_ticker", "running_all"):
         both = both.withColumn(c, round_to(round_to(c, 6), 2))
     return both

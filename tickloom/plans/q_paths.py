@@ -170,5 +170,4 @@ def _(spark, sf):
 @query("F20_tick_gap", ("ticks",), "select trade_date, tick_id, sec - lag(sec) over (partition by trade_date order by sec, tick_id) as gap from ticks")
 def _(spark, sf):
     t = view(spark, sf, "ticks").select("trade_date", "sec", "tick_id")
-    lagged = blocks.carry_value(t, ["trade_date"], blocks.time_block(), ["sec", "tick_id"], F.col("sec"), "prev", inclusive=False)
-    return lagged.select("trade_date", "tick_id", (F.col("sec") - F.col("prev")).alias("gap"))
+    return paths.tick_gap(t).select("trade_date", "tick_id", "gap")

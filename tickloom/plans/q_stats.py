@@ -171,10 +171,17 @@ def _(spark, sf):
     return stats.duration_window_stats(view(spark, sf, "wide_trades"), WINDOW_STARTS, result="pct_change")
 
 
+def _area(start):
+    """The density of r beyond ``start``, summed over 2,000 panels."""
+    step = f"((least(1.0D, {start} + 12.0D/sqrt(n - 2.0D)) - {start})/2000)"
+    at = f"({start} + {step}*i)"
+    return f"({step}*list_sum([(case when i in (0, 2000) then 1.0D when i % 2 = 1 then 4.0D else 2.0D end)*pow(greatest(0.0D, 1.0D - {at}*{at}), (n - 4.0D)/2.0D) for i in range(0, 2001)]))"
+
+
 @query("G17_ordinal_result_corr", WT, f"""
 with s as (select duration_sec, case when pct_change = 0.9D then 3 when pct_change > 0 then 2 when pct_change = 0 then 1 when pct_change >= -0.3D then -1 when pct_change >= -0.5D then -2 else -3 end as sc from wide_trades),
   g as (select count(*) as n, {_s('corr(duration_sec, sc)')} as r from s)
-select n, r, case when n > 10 then {_s('r*sqrt(n - 2.0D)/sqrt(1.0D - r*r)')} end as t from g""")
+select n, r, case when n > 10 then {_s('r*sqrt(n - 2.0D)/sqrt(1.0D - r*r)')} end as t, case when n > 10 then {_s(_area('abs(r)') + ' / ' + _area('0.0D'))} end as p from g""")
 def _(spark, sf):
     return stats.ordinal_result_corr(view(spark, sf, "wide_trades"))
 

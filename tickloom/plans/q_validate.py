@@ -26,7 +26,8 @@ def tick_lines(spark, sf):
 
 def _number_lines(spark, sf):
     t = view(spark, sf, "ticks")
-    numbered = blocks.row_numbers(t, ["trade_date"], blocks.time_block(), ["sec", "tick_id"], "line")
+    ranged = blocks.in_ranges(t, ["trade_date", "sec", "tick_id"])
+    numbered = blocks.row_numbers(ranged, ["trade_date"], F.col("_range"), ["sec", "tick_id"], "line").drop("_range")
     demand = F.when(F.dayofmonth("trade_date") % 10 == 7, "_On_Demand").otherwise("")
     return numbered.withColumn("line", F.col("line") + 1).withColumn(
         "filename", F.concat(F.date_format("trade_date", "MM-dd-yyyy"), demand, F.lit("_Raw_Market_Data.csv"))
