@@ -132,6 +132,25 @@ def test_forward_sums_all_segmentations_and_expected_uses():
     assert lattice.expected(b"c", {b"a": -1.0}, 1) == (-1e300, {})
 
 
+def test_many_words_at_once_equal_one_by_one():
+    pieces, prior = lattice.vocabulary(PIECES)
+    logs = np.log(prior)
+    many = lattice.Lattice(pieces, logs)
+    words = [b" " + t for _, text in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()[:40] for t in tokens(text)[:-1]]
+    words += [b" ", b" " + "日本語".encode(), b" " + b"x" * 47, b" " + b"ab" * 100, b" \xff\x00"]
+    each = [lattice.forward(w, many.by_piece, many.longest)[-1] for w in words]
+    assert many.scores(words) == pytest.approx(each, rel=1e-12)
+    uses, want = np.zeros(len(pieces)), np.zeros(len(pieces))
+    times = np.arange(1, len(words) + 1)
+    many.add_uses(words, times, uses)
+    for w, k in zip(words, times):
+        for piece, x in lattice.expected(w, many.by_piece, many.longest)[1].items():
+            want[many.at[piece]] += k * x
+    assert uses == pytest.approx(want, rel=1e-9, abs=1e-6)
+    few = lattice.Lattice([b"a", b"ab"], np.log([0.5, 0.5]))
+    assert few.scores([b"ab", b"b"]).tolist() == [pytest.approx(math.log(0.5)), -1e300]
+
+
 def test_a_very_long_word_stays_finite():
     pieces, prior = lattice.vocabulary(PIECES)
     model = lattice.PieceModel(dict(zip(pieces, np.log(prior).tolist())), -5.0)

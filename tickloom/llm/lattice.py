@@ -85,6 +85,93 @@ def expected(word: bytes, logs: dict[bytes, float], longest: int) -> tuple[float
     return alpha[n], found
 
 
+class Lattice:
+    """``forward`` and ``expected`` for many words at once: words of one length go through a trie of the pieces together."""
+
+    #: longer words are handled alone; characters of the words handled at once
+    LONGEST, CHARS = 48, 1 << 17
+
+    def __init__(self, pieces: list[bytes], logs: np.ndarray):
+        self.logs, self.by_piece = logs, dict(zip(pieces, logs.tolist()))
+        self.at = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces))
+        nodes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        number = {b"": 0} | {x: i for i, x in enumerate(sorted(nodes), 1)}
+        keys = np.array([number[x[:-1]] << 8 | x[-1] for x in number if x], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.child = np.array([number[x] for x in number if x], np.int64)[order]
+        self.piece = np.full(len(number), -1, np.int64)
+        for p, i in self.at.items():
+            self.piece[number[p]] = i
+
+    def _together(self, words: list[bytes], uses: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """The log probability of each of ``words``, all of one length; adds the expected uses times ``times`` to ``uses``."""
+        n, size = len(words), len(words[0])
+        chars = np.frombuffer(b"".join(words), np.uint8).reshape(n, size).astype(np.int64)
+        alpha = np.full((size + 1, n), _TINY)
+        alpha[0] = 0.0
+        edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        for i in range(size):
+            rows, state = np.arange(n), np.zeros(n, np.int64)
+            found = []
+            for j in range(i, min(size, i + self.longest)):
+                key = state << 8 | chars[rows, j]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = self.keys[place] == key
+                rows, state = rows[ok], self.child[place[ok]]
+                if not len(rows):
+                    break
+                piece = self.piece[state]
+                has = piece >= 0
+                if has.any():
+                    at, piece = rows[has], piece[has]
+                    alpha[j + 1, at] = np.logaddexp(alpha[j + 1, at], alpha[i, at] + self.logs[piece])
+                    if uses is not None:
+                        found.append((j + 1, at, piece))
+            edges.append(found)
+        if uses is not None:
+            share = np.zeros((size + 1, n))  # the probability, given the word, that a piece ends here
+            share[size] = alpha[size] > _TINY
+            for i in range(size - 1, -1, -1):
+                for j, at, piece in edges[i]:
+                    x = share[j, at] * np.exp(np.minimum(alpha[i, at] + self.logs[piece] - alpha[j, at], 0.0))
+                    share[i, at] += x
+                    uses += np.bincount(piece, x * times[at], len(uses))
+        return alpha[size]
+
+    def _groups(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Places of words of one length, so many that their characters fit; those too long one by one."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        at = 0
+        while at < len(order):
+            size = len(words[order[at]])
+            stop = at + 1
+            while size <= self.LONGEST and stop < len(order) and len(words[order[stop]]) == size and (stop - at) * size < self.CHARS:
+                stop += 1
+            yield order[at:stop]
+            at = stop
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """The log of the summed probability of all segmentations of each word."""
+        out = np.empty(len(words))
+        for some in self._groups(words):
+            if len(words[some[0]]) > self.LONGEST:
+                out[some[0]] = forward(words[some[0]], self.by_piece, self.longest)[-1]
+            else:
+                out[some] = self._together([words[k] for k in some])
+        return out
+
+    def add_uses(self, words: list[bytes], times: np.ndarray, uses: np.ndarray) -> None:
+        """Adds the expected uses of every piece in each word, ``times`` as often."""
+        for some in self._groups(words):
+            if len(words[some[0]]) > self.LONGEST:
+                for piece, x in expected(words[some[0]], self.by_piece, self.longest)[1].items():
+                    uses[self.at[piece]] += times[some[0]] * x
+            else:
+                self._together([words[k] for k in some], uses, times[some])
+
+
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     """Whether crc32 of the id as text leaves the rest ``fold``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -139,21 +226,17 @@ def learn_pieces(words: DataFrame, ends: int, path: str, rounds: int = 2, prior_
     every piece keeps some probability. The sums have the vocabulary's size. Without words the prior is the model.
     """
     pieces, prior = vocabulary(path)
-    at = {p: i for i, p in enumerate(pieces)}
-    longest = max(map(len, pieces))
     p = prior
     total = 0.0
     words = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
-        logs = dict(zip(pieces, np.log(p).tolist()))
+        logs = np.log(p)
 
         def local(batches: Iterator[pa.RecordBatch], logs=logs) -> np.ndarray:
-            uses = [0.0] * len(pieces)
+            lattice, uses = Lattice(pieces, logs), np.zeros(len(pieces))
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                    for piece, x in expected(b" " + word, logs, longest)[1].items():
-                        uses[at[piece]] += c * x
-            return np.array(uses)
+                lattice.add_uses([b" " + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(), uses)
+            return uses
 
         uses = tree_sum(words, len(pieces), np.float64, local)
         total = float(uses.sum())
@@ -192,10 +275,10 @@ def score_documents(docs: DataFrame, path: str, rounds: int = 2, heavy: int = 10
     model = learn_pieces(words, ends, path, rounds)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, longest = model.logs, model.longest
+        lattice = Lattice(list(model.logs), np.array(list(model.logs.values())))
         for batch in batches:
-            scores = [forward(b" " + w, logs, longest)[-1] / math.log(10) for w in batch.column("word").to_pylist()]
-            yield batch.append_column("log", pa.array(scores, pa.float64()))
+            scores = lattice.scores([b" " + w for w in batch.column("word").to_pylist()])
+            yield batch.append_column("log", pa.array(scores / math.log(10), pa.float64()))
 
     weighed = stage(words.mapInArrow(weigh, "word binary, c long, n long, log double"))
     top = _frequent(weighed, heavy).select("word", "c", "log").toArrow()
