@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import batched, chain
@@ -214,11 +214,13 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = aligner(byte_level, pieces)
-        young: dict[str, tuple] = {}
-        old: dict[str, tuple] = {}
+        table: dict[str, int] = {}  # the place of each known unit in the next three
+        groups: list[bytes] = []
+        numbers = np.zeros((0, 7), np.int64)
+        uses = np.zeros(0, np.int64)
 
-        def found(units: list[str]) -> dict[str, tuple]:
-            """(n_a, n_b, groups, links, best links, summed counts, groups as text) of each unit; () if it has no tokens."""
+        def found(units: list[str]) -> tuple[np.ndarray, list[bytes]]:
+            """(n_a, n_b, groups, links, best links, summed counts, 1 if it has no tokens) and the groups as text of each unit."""
             aligned = with_.align(units)
             at = index.index(aligned.links.view(np.uint64))
             if (at < 0).any() and aligned.good.all():
@@ -226,33 +228,32 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             stops = np.cumsum(aligned.n_links)
             starts = stops - aligned.n_links
             sums, bests = np.append(0, np.cumsum(counts[at])), np.append(0, np.cumsum(best[at]))
-            columns = (aligned.n_a, aligned.n_b, aligned.n_links, aligned.n_links, bests[stops] - bests[starts], sums[stops] - sums[starts])
-            rows = zip(*(c.tolist() for c in columns), aligned.groups)
-            return {u: row if ok else () for u, row, ok in zip(units, rows, aligned.good.tolist())}
+            return np.stack([aligned.n_a, aligned.n_b, aligned.n_links, aligned.n_links, bests[stops] - bests[starts], sums[stops] - sums[starts], ~aligned.good], 1), aligned.groups
 
         for batch in (x for whole in batches for x in parts(whole, "text")):
-            texts = [with_.units(t) if t else None for t in batch.column("text").to_pylist()]
-            new = {u for units in texts if units for u in units if u not in young}
-            kept = {u: old[u] for u in new if u in old}
-            young.update(kept)
-            long: dict[str, tuple] = {}
-            for left in batched([u for u in new if u not in kept], STEP):
-                more = found(list(left))
-                long |= {u: row for u, row in more.items() if len(u) > LONGEST}
-                young.update((u, row) for u, row in more.items() if len(u) <= LONGEST)
-            table = ChainMap(young, long) if long else young
-            rows = []
-            for doc_id, units in zip(batch.column("doc_id").to_pylist(), texts):
-                each = [table[u] for u in units] if units else [()]
-                if not all(each):
-                    rows.append((doc_id, 0, 0, 0, 0, 0, 0, b"", ""))
-                    continue
-                *sums, groups = zip(*each)
-                groups = b";".join(groups)
-                rows.append((doc_id, *map(sum, sums), groups, hashlib.sha256(groups).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-            if len(young) > UNITS // 2:
-                young, old = {}, young
+            texts = [with_.units(t) if t else [] for t in batch.column("text").to_pylist()]
+            for left in batched(set(chain.from_iterable(texts)).difference(table), STEP):
+                more, more_groups = found(list(left))
+                table.update(zip(left, range(len(groups), len(groups) + len(left))))
+                groups += more_groups
+                numbers, uses = np.concatenate([numbers, more]), np.append(uses, np.zeros(len(left), np.int64))
+            at = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64)
+            uses += np.bincount(at, minlength=len(uses))
+            stops = np.cumsum([0, *map(len, texts)])
+            sums = np.diff(np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(numbers[at], 0)])[stops], axis=0)
+            sums[sums[:, 6] > 0] = 0
+            places, rows = at.tolist(), []
+            for (*n, _), a, b in zip(sums.tolist(), stops.tolist(), stops[1:].tolist()):
+                text = b";".join([groups[i] for i in places[a:b]]) if n[0] else b""
+                rows.append((*n, text, hashlib.sha256(text).hexdigest() if text else ""))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:]))], names)
+            if len(table) > UNITS:
+                # the more used half stays, without long units
+                order = np.argsort(-uses, kind="stable")[:UNITS // 2]
+                units = list(table)
+                kept = [i for i in order.tolist() if len(units[i]) <= LONGEST and uses[i] > 1]
+                table, groups = {units[i]: k for k, i in enumerate(kept)}, [groups[i] for i in kept]
+                numbers, uses = numbers[kept], uses[kept] // 2
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256"]
     types = [pa.int64()] * 7 + [pa.binary(), pa.string()]
