@@ -163,6 +163,16 @@ def backtest_totals(results: DataFrame, value: str = "roi", positions: int = 6)
     )
 
 
+def trade_test(results: DataFrame, value: str = "roi", positions: int = 6) -> DataFrame:
+    """The nine trade-test statistics of one model: G8's totals over all days, and G4's mean red and green day."""
+    whole = backtest_totals(results, value, positions).where("trade_date is null and ticker is null")
+    days = red_green_days(results, value, positions).select(F.struct("days", "avg_red_day", "avg_green_day")).scalar()
+    return whole.withColumn("_d", days).select(
+        "trades", F.col("total").alias("overall_roi_total"), F.col("_d.days").alias("days"), "avg_per_trade", F.col("avg_per_trade_6").alias("avg_per_trade_divided_by_6"),
+        F.col("avg_per_day").alias("overall_avg_per_day_BAD_METRIC"), F.col("avg_per_day_6").alias("overall_avg_per_day_divided_by_6_BAD_METRIC"), "_d.avg_red_day", "_d.avg_green_day",
+    )
+
+
 # ---------------------------------------------------------------- model diagnostics
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)  # fixed values
