@@ -1,15 +1,20 @@
-"""Token ids of whole texts by a public tokenizer file, with a cache of word pieces.
+"""Token ids of whole texts by a public tokenizer file, with a cache of words and one of pieces.
 
 The tokenizer splits a text into letters, single digits and other signs before it merges anything, and white space
-ends every piece. So ids of a text are the ids of its pieces in turn, and a piece is encoded once for each worker.
-Texts with characters where lower-casing or composition depends on neighbours take the tokenizer itself.
+ends every piece. So ids of a text are the ids of its words between white space in turn, and a word's ids those of its pieces; neither is
+encoded again when it comes again. Texts with characters where lower-casing or composition depends on neighbours take the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 import unicodedata
+from collections.abc import Callable
+from itertools import chain, islice
 
+import numpy as np
 import regex
 
 #: the split pattern of the tokenizer file (a fixed value of that file)
@@ -17,12 +22,40 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: outside of this: control and format characters, odd spaces, final sigma, scripts above U+052F, special tokens
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-˿Ͱ-΢Τ-ԯ‐-‧‰-⁞₠-₿]*")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-#: pieces a worker keeps; beyond that it starts anew (ids stay the same)
-CACHE = 1_000_000
+#: the same over ASCII letters, lower case
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: words and pieces a worker keeps, those met last; longer ones are encoded each time
+CACHE, LONGEST = 200_000, 64
 
 _STATE: dict = {}
 
 
+class Recent:
+    """A table of at most about ``CACHE`` entries, those asked for last; ``make`` gives the values of new keys."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+        self.make, self.young, self.old = make, {}, {}
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        young = self.young
+        try:
+            return [young[k] for k in keys]
+        except KeyError:
+            pass
+        old, long = self.old, {}
+        left = set(keys).difference(young)
+        known = [k for k in left if k in old]
+        for k in known:
+            young[k] = old[k]
+        left = list(left.difference(known))
+        for k, x in zip(left, self.make(left)):
+            (young if len(k) <= LONGEST else long)[k] = x
+        out = [long[k] if k in long else young[k] for k in keys] if long else [young[k] for k in keys]
+        if len(young) > CACHE // 2:
+            self.young, self.old = {}, young
+        return out
+
+
 class TokenCoder:
     """ids(text) as little-endian unsigned 32-bit bytes."""
 
@@ -31,26 +64,26 @@ class TokenCoder:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), pieces={})
-        self.tokenizer, self.pieces = _STATE["tokenizer"], _STATE["pieces"]
+            tokenizer = Tokenizer.from_file(path)
+            model = tokenizer.model
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+            def encoded(new: list[str]) -> list[bytes]:
+                # printable ASCII is its own byte-level form, so the merges alone give its ids
+                rest = [p for p in new if not p.isascii()]
+                whole = dict(zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False))) if rest else {}
+                return [struct.pack(f"<{len(ids)}I", *ids) for ids in ([t.id for t in model.tokenize(p)] if p.isascii() else whole[p].ids for p in new)]
+
+            pieces = Recent(encoded)
+
+            def spelled(words: list[str]) -> list[bytes]:
+                split = [(_ASCII_PIECE if w.isascii() else _PIECE).findall(w) for w in words]
+                ids = iter(pieces.values(list(chain.from_iterable(split))))
+                return [b"".join(islice(ids, len(x))) for x in split]
+
+            _STATE.update(path=path, tokenizer=tokenizer, words=Recent(spelled))
+        self.tokenizer, self.words = _STATE["tokenizer"], _STATE["words"]
 
     def ids(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text) or any(x in text for x in _SPECIAL):
-            return self._whole(text)
-        pieces = _PIECE.findall(text.lower())
-        known = self.pieces
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join([known[p] for p in pieces])
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self.words.values(text.lower().split()))
