@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,14 @@ def parts(batch: pa.RecordBatch, column: str | int, size: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def unused(names: Sequence[str], name: str) -> str:
+    """``name``, or it with underscores that make it none of ``names`` (letters' case aside)."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

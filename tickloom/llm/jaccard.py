@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.llm.common import mix, parts
 from tickloom.llm.graph import components
@@ -312,7 +311,7 @@ def jaccard_components(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> Da
 
 
 def jaccard_rows(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> DataFrame:
-    """The rows of ``jaccard_components`` with cid, which names the row's shingle set (see ``set_ids``), and grp, which names its component.
+    """The rows of ``jaccard_components`` with cid, which names the row's shingle set, and grp, which names its component.
 
     Where ids repeat or are null, component_id doesn't tell components apart; grp does. Both are null for texts without words.
     """
@@ -322,18 +321,6 @@ def jaccard_rows(docs: DataFrame, spec: JaccardSpec = JaccardSpec()) -> DataFram
     return some.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("cid"), none.alias("grp")))
 
 
-def set_ids(docs: DataFrame, spec: JaccardSpec = JaccardSpec(), name: str = "cid") -> DataFrame:
-    """``docs`` (with a column text) and a column ``name`` with the cid of its shingle set, null for texts without words."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for whole in batches for x in parts(whole, at, spec.slice_bytes)):
-            ids = [fingerprint(s) if len(s) else None for s in shingle_sets(batch.column(at), spec.words)]
-            yield batch.append_column(name, pa.array(ids, pa.int64()))
-
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + [T.StructField(name, T.LongType())]))
-
-
 def _found(docs: DataFrame, spec: JaccardSpec) -> tuple[DataFrame, DataFrame]:
     """The rows with their class (doc_id, cid, n), and the component of each class (cid, grp, component_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import slices
+from tickloom.llm.common import parts, slices
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -156,7 +156,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, at)):
             column = batch.column(at)
             out = None
             for i, (text, _, both) in enumerate(_scan(column)):
@@ -164,12 +164,12 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     continue
                 if out is None:
                     out = column.to_pylist()
-                parts, end = [], 0
+                left, end = [], 0
                 for s, e, _ in both:
                     if s >= end:
-                        parts += [text[end:s], mark]
+                        left += [text[end:s], mark]
                     end = max(end, e)
-                out[i] = "".join(parts) + text[end:]
+                out[i] = "".join(left) + text[end:]
             yield batch if out is None else batch.set_column(at, batch.schema.field(at), pa.array(out, column.type))
 
     return docs.mapInArrow(run, docs.schema)

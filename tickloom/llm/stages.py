@@ -10,7 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.jaccard import JaccardSpec, jaccard_rows, set_ids
+from tickloom.llm.common import unused
+from tickloom.llm.jaccard import JaccardSpec, jaccard_rows
 from tickloom.llm.mixing import mix_sources, word_count
 from tickloom.llm.packing import placed_pieces, sequences
 from tickloom.llm.secrets import redact_secrets
@@ -21,44 +22,44 @@ _WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` with a score below ``least``. Null and empty texts stay."""
-    names = docs.columns
+    """Rows of ``docs`` with a score below ``least``. Null and empty texts stay; repeated rows share their fate; columns keep their names."""
+    key = unused(docs.columns, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     lexicon = learn_lexicon(docs.select("doc_id", "text"), labels)
-    mark = "__toxicity"
-    scored = score_toxicity(docs, lexicon, mark)
-    return scored.where(F.col(mark) < least).select(*names)
+    # only keys come back from the scoring; rows never pass through Python
+    toxic = stage(score_toxicity(keyed.select(key, "text"), lexicon).where(F.col("score") >= least).select(key).distinct())
+    return keyed.join(toxic.hint("merge"), key, "left_anti").select(*docs.columns)  # the same plan at every size
 
 
 def one_of_each_group(docs: DataFrame, spec: JaccardSpec) -> DataFrame:
     """One row of each group of linked texts: one with the smallest doc_id; rows without an id come last.
 
     Groups are told apart by their texts: rows with equal ids or none and unlinked texts are in groups of their own. Texts without words
-    are in no group and all stay. Of rows with that smallest id, the one with the smallest hash of its shingles stays, and of rows that
-    agree in both, the one with the smallest text.
+    are in no group and all stay. Of rows with that smallest id, the one with the smallest hash of id and text stays; rows that agree in both
+    are one, whatever their other columns. The join runs on that hash alone, and texts are moved only where the rows to keep are picked.
     """
-    names, at, group = docs.columns, "__id", "__cid"
-    found = stage(jaccard_rows(docs, spec).where("n_shingles > 0"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")).alias("k")
-    keep = stage(found.groupBy("grp").agg(first).select(F.col("k.doc_id").alias(at), F.col("k.cid").alias(group)))
+    names = docs.columns
+    key = unused(names, "row_key")
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    keyed = set_ids(docs.where(~blank), spec, group).withColumn(at, F.col("doc_id").cast("long"))
-    with_id = keyed.where(F.col(at).isNotNull()).join(keep.where(F.col(at).isNotNull()).hint("merge"), [at, group], "left_semi")  # the same plan at every size
-
-    def one(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min_by(F.struct(*names), "text").alias("row")).select("row.*")
-
-    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(at), F.col("cid").alias(group)).count().where("count > 1").drop("count")
-    parts = with_id.select(*names)
-    if repeated.limit(1).count():
-        parts = with_id.join(repeated, [at, group], "left_anti").select(*names).unionByName(one(with_id.join(repeated, [at, group], "left_semi"), at, group))
-    lone = keep.where(F.col(at).isNull()).select(group)
-    if lone.limit(1).count():
-        parts = parts.unionByName(one(keyed.where(F.col(at).isNull()).join(lone, group, "left_semi"), group))
-    return parts.unionByName(docs.where(blank))
+    keyed = docs.where(~blank).withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = jaccard_rows(keyed.select(F.col(key).alias("doc_id"), "text"), spec).select(F.col("doc_id").alias("k"), "grp").distinct()
+    ids = keyed.groupBy(F.col(key).alias("k")).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "times")).alias("first")
+    keep = stage(groups.join(ids.hint("merge"), "k").groupBy("grp").agg(first).select(F.col("first.k").alias(key), "first.times"))
+    kept = keyed.join(keep.select(key).hint("merge"), key, "left_semi")  # the same plan at every size
+    many = keep.where("times > 1").select(key)
+    parts = [docs.where(blank)]
+    if many.limit(1).count():
+        row = F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")
+        parts.append(kept.join(many, key, "left_semi").groupBy(key).agg(row).select("row.*"))
+        kept = kept.join(many, key, "left_anti")
+    for p in parts:
+        kept = kept.select(*names).unionByName(p)
+    return kept
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """Every row, with its secret spans replaced."""
+    """Every row, with its secret spans replaced; n_chars follows the text. Nulls, empty texts, repeated rows and other columns stay as they are."""
     out = redact_secrets(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -75,25 +76,25 @@ def balanced_mix(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them whole, and once more, cut after the last word taken, for the rest.
 
     Documents that the mix takes nothing of go, with those without words. Ids repeat with their rows. Rows that agree in id, source and text
-    are taken together. n_chars follows the text where it is cut.
+    are taken together. n_chars follows the text where it is cut. A null source is a source; other columns keep their names and values.
     """
     names = docs.columns
+    at, own, whole_times, left, copy = names.index("text"), *(unused(names, n) for n in ("mix_key", "mix_whole", "mix_rest", "mix_copy"))
     key = F.xxhash64("doc_id", "source", "text")
     taken = mix_sources(docs.select(key.alias("doc_id"), "text", "source")).where("taken > 0")
-    per = stage(taken.groupBy(F.col("doc_id").alias("__key")).agg(F.sum(F.expr("taken div size")).alias("__whole"), F.max(F.expr("taken % size")).alias("__rest"), F.count("*").alias("__rows")))
-    keyed = docs.withColumn("__key", key)
-    if per.where("__rows > 1").limit(1).count():
-        many = per.where("__rows > 1").select("__key")
-        keyed = keyed.join(many, "__key", "left_anti").unionByName(keyed.join(many, "__key", "left_semi").dropDuplicates(["__key"]))
-    whole = keyed.join(per.where("__whole > 0").select("__key", "__whole").hint("merge"), "__key")  # the same plan at every size
-    whole = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__whole")))).select(*names)
-    rest = keyed.join(per.where("__rest > 0").select("__key", "__rest"), "__key").select(*names, "__rest")
-    at = names.index("text")
+    per = stage(taken.groupBy(F.col("doc_id").alias(own)).agg(F.sum(F.expr("taken div size")).alias(whole_times), F.max(F.expr("taken % size")).alias(left), F.count("*").alias("times")))
+    keyed = docs.withColumn(own, key)
+    many = per.where("times > 1").select(own)
+    if many.limit(1).count():
+        keyed = keyed.join(many, own, "left_anti").unionByName(keyed.join(many, own, "left_semi").dropDuplicates([own]))
+    whole = keyed.join(per.where(F.col(whole_times) > 0).select(own, whole_times).hint("merge"), own)  # the same plan at every size
+    whole = whole.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(whole_times)))).select(*names)
+    rest = keyed.join(per.where(F.col(left) > 0).select(own, left), own).select(*names, left)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [first_words(t, n) for t, n in zip(batch.column(at).to_pylist(), batch.column("__rest").to_pylist())]
-            yield batch.drop_columns("__rest").set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
+            texts = [first_words(t, n) for t, n in zip(batch.column(at).to_pylist(), batch.column(left).to_pylist())]
+            yield batch.drop_columns(left).set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
 
     rest = rest.mapInArrow(cut, docs.schema)
     if "n_chars" in names:
@@ -102,5 +103,8 @@ def balanced_mix(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of all rows in sequences of at most 2048 ids: the columns of op7. The sequences with their ids stay at ``path``."""
+    """Pieces of all rows in sequences of at most 2048 ids: the columns of op7. The sequences with their ids stay at ``path``.
+
+    A null or empty text is its end id alone; repeated rows are packed each; other columns are left out; an empty table gives no rows.
+    """
     return placed_pieces(sequences(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), path))

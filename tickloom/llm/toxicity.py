@@ -166,7 +166,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 20_000, size:
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 0)):
             yield pa.RecordBatch.from_arrays([pa.array([rate_of(fold(t), automaton) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["rate", "toxic"])
 
     pairs = texts.mapInArrow(rates, "rate double, toxic int").groupBy("rate", "toxic").count().collect()  # at most about ``rows`` pairs
@@ -201,7 +201,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, at)):
             rates = np.array([0.0 if t is None or not lexicon.words else rate_of(fold(t), automaton) for t in map(lambda x: x.as_py(), batch.column(at))])
             yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(bias + slope * rates, -500, 500))), pa.float64()))
 
