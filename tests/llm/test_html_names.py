@@ -25,6 +25,14 @@ def test_boilerplate_names(tree, name):
     assert html.main_text(page, tree) == f"{TEXT} 1 {TEXT} 2"
 
 
-def test_long_text_in_a_named_element(tree):
-    page = "<body><div id='sidebar'>" + "".join(f"<p>{' '.join(['word'] * 260)} {i}" for i in range(3)) + "</div></body>"
-    assert " 1" in html.main_text(page, tree)
+@pytest.mark.parametrize("name", ["sidebar", "notice", "site-footer", "comments"])
+def test_long_boilerplate_goes(tree, name):
+    long = "".join(f"<p>{' '.join(['word'] * n)} b" for n in (20, 260, 500))
+    page = f'<body><article><p>{TEXT} 1<p>{TEXT} 2</article><div id="{name}">{long}</div></body>'
+    assert html.main_text(page, tree) == f"{TEXT} 1 {TEXT} 2"
+
+
+@pytest.mark.parametrize("outer,inner", [("comment-list", "comment-body"), ("comments", "x"), ("thread", "comment"), ("thread", "comment-content user-7"), ("post-comments", "post")])
+def test_comments_are_no_articles(tree, outer, inner):
+    page = f'<main><p>{TEXT} 1<p>{TEXT} 2</main><div class="{outer}"><article class="{inner}"><p>{TEXT} c</p><div><p>{TEXT} d</div></article></div>'
+    assert html.main_text(page, tree) == f"{TEXT} 1 {TEXT} 2"
