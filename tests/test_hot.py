@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 from tickloom.functions import columns
 from tickloom.operators import blocks, joins, paths, trades
 from tickloom.plans import models
+from tickloom.session import FULL_DAY
 
 
 @pytest.fixture
@@ -104,3 +105,12 @@ def test_tick_bounds_equal_two_lookups(spark):
         want.append((i, ticker, start, end, start is not None and end is not None and start[:2] <= end[:2]))
     got = [(r["trade_id"], r["ticker"], r["start_tick"] and tuple(r["start_tick"]), r["end_tick"] and tuple(r["end_tick"]), r["valid"]) for r in joins.tick_bounds(t, k).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_an_interval_join_never_broadcasts_repeated_trades(spark):
+    """Trades are repeated per half hour after Spark's size check, so a few MB of them became many times that in the driver."""
+    t = spark.createDataFrame([(1, "a", "d", 10), (2, "a", "d", 50_000)], "trade_id long, ticker string, trade_date string, entry_sec int")
+    k = spark.createDataFrame([("a", "d", s, s) for s in range(0, 86_400, 7_000)], "ticker string, trade_date string, sec int, tick_id long")
+    out = joins.open_interval_join(t, k, F.col("entry_sec"), FULL_DAY)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.trade_id, r.sec) for r in out.collect()) == sorted((i, s) for i, e in ((1, 10), (2, 50_000)) for s in range(0, 86_400, 7_000) if s >= e)
