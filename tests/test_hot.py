@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tickloom.functions import columns
-from tickloom.operators import blocks, joins, paths, trades
+from tickloom.operators import blocks, joins, paths, sweeps, trades
 from tickloom.plans import models
 from tickloom.session import FULL_DAY
 
@@ -114,3 +114,24 @@ def test_an_interval_join_never_broadcasts_repeated_trades(spark):
     out = joins.open_interval_join(t, k, F.col("entry_sec"), FULL_DAY)
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.trade_id, r.sec) for r in out.collect()) == sorted((i, s) for i, e in ((1, 10), (2, 50_000)) for s in range(0, 86_400, 7_000) if s >= e)
+
+
+def odd_market(spark, n=400, seed=7):
+    """Trades (ids and entries repeat, some prices are null) and ticks of three days, some NaN or null, several a second."""
+    rnd = random.Random(seed)
+    day = lambda: rnd.choice(("2024-01-02", "2024-01-03", "2024-01-04"))
+    trades_ = [(rnd.randrange(n // 2) if rnd.random() < 0.9 else None, rnd.choice("ab"), day(), rnd.choice(("buy", "short")), rnd.randrange(86_400), 86_400, None if rnd.random() < 0.05 else round(rnd.uniform(99.5, 100.5), 2)) for _ in range(n)]
+    ticks_ = [(rnd.choice("ab"), day(), rnd.randrange(86_400) // 3 * 3, i, rnd.choice([None, float("nan")]) if rnd.random() < 0.03 else round(rnd.gauss(100, 0.15), 3)) for i in range(6000)]
+    t = spark.createDataFrame(trades_, "trade_id long, ticker string, trade_date string, side string, entry_sec int, exit_sec int, entry_price double")
+    return t, spark.createDataFrame(ticks_, "ticker string, trade_date string, sec int, tick_id long, price double")
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_a_race_needs_only_the_path_to_its_first_sure_hit(spark):
+    t, k = odd_market(spark)
+    whole, cut = paths.roi_path(t, k, FULL_DAY), paths.roi_path(t, k, FULL_DAY, over=sweeps.race_over(0.4, -0.3))
+    assert rows_of(sweeps.scalp_race(cut, 0.4, -0.3)) == rows_of(sweeps.scalp_race(whole, 0.4, -0.3))
+    assert cut.count() < whole.count() / 8

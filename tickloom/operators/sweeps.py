@@ -9,7 +9,7 @@ so sums are exact.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -390,6 +390,11 @@ def exit_threshold_sweep(curve: DataFrame, thresholds: Sequence[float] = THRESHO
     return per.withColumn("best", F.row_number().over(order) == 1)
 
 
+def race_over(target: float, stop: float) -> Callable[[Column, Column], Column]:
+    """``over`` of ``paths.roi_path`` for J11's race."""
+    return lambda worst, best: (best >= target) | (worst <= stop)
+
+
 def scalp_race(path: DataFrame, target: float, stop: float) -> DataFrame:
     """First tick whose best return so far reaches the target or worst so far the stop; the target
     wins a tie. Trades without such a tick give no row."""

@@ -304,7 +304,7 @@ def _(spark, sf):
     t = view(spark, sf, "trades").select("trade_id", "ticker", "trade_date", "side", F.floor(F.col("exit_sec") / 60).cast("int").alias("entry_minute"))
     k = view(spark, sf, "ticks")
     e = joins.prefix_entry(t, k).withColumn("exit_sec", F.lit(86400))
-    return sweeps.scalp_race(paths.roi_path(e, k, FULL_DAY), 0.4, -0.3)
+    return sweeps.scalp_race(paths.roi_path(e, k, FULL_DAY, over=sweeps.race_over(0.4, -0.3)), 0.4, -0.3)
 
 
 def stopped_with_vol(spark, sf):
