@@ -135,3 +135,11 @@ def test_a_race_needs_only_the_path_to_its_first_sure_hit(spark):
     whole, cut = paths.roi_path(t, k, FULL_DAY), paths.roi_path(t, k, FULL_DAY, over=sweeps.race_over(0.4, -0.3))
     assert rows_of(sweeps.scalp_race(cut, 0.4, -0.3)) == rows_of(sweeps.scalp_race(whole, 0.4, -0.3))
     assert cut.count() < whole.count() / 8
+
+
+def test_a_stop_state_path_needs_only_the_path_to_its_first_sure_stop(spark):
+    t, k = odd_market(spark, seed=8)
+    whole, cut = paths.roi_path(t, k, FULL_DAY), paths.roi_path(t, k, FULL_DAY, over=paths.at_stop())
+    names = ("trade_id", "side", "entry_price", "sec", "tick_id", "roi", "armed", "stopped")
+    assert rows_of(paths.stop_state_path(cut).select(*names)) == rows_of(paths.stop_state_path(whole).select(*names))
+    assert cut.count() < whole.count() / 3

@@ -8,7 +8,7 @@ from tickloom.functions.numbers import pct_of, roi
 from tickloom.operators import joins, paths, sweeps, trades as trade_ops
 from tickloom.plans import texts
 from tickloom.plans.fixtures import view
-from tickloom.plans.q_paths import SAMPLES, SPATH, day_path, open_path
+from tickloom.plans.q_paths import SAMPLES, SPATH, day_path, stopped_path
 from tickloom.plans.registry import query, rint
 from tickloom.session import FULL_DAY
 
@@ -308,7 +308,7 @@ def _(spark, sf):
 
 
 def stopped_with_vol(spark, sf):
-    return paths.stop_state_path(open_path(spark, sf, ("atr14",))).withColumn("vol", pct_of(F.col("atr14"), F.col("price")))
+    return stopped_path(spark, sf, ("atr14",)).withColumn("vol", pct_of(F.col("atr14"), F.col("price")))
 
 
 _SLS = (-0.2, -0.3, -0.4)
@@ -329,7 +329,7 @@ def _(spark, sf):
 with {SPATH}, g as (select trade_id, min(case when roi >= 0.6D then sec end) as t, min(case when roi <= -0.4D then sec end) as s from spath group by trade_id)
 select trade_id, case when t is not null and (s is null or t <= s) then 1 when s is not null then 0 end as label from g""")
 def _(spark, sf):
-    return sweeps.success_label(paths.stop_state_path(open_path(spark, sf)))
+    return sweeps.success_label(stopped_path(spark, sf))
 
 
 @query("J14_target_training_set", TV, f"""

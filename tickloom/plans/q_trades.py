@@ -68,7 +68,7 @@ def _(spark, sf):
 
 
 def _stopped(spark, sf, extra=()):
-    path = paths.roi_path(view(spark, sf, "trades"), view(spark, sf, "ticks"), FULL_DAY, extra)
+    path = paths.roi_path(view(spark, sf, "trades"), view(spark, sf, "ticks"), FULL_DAY, extra, paths.at_stop())
     return paths.stop_state_path(path)
 
 
