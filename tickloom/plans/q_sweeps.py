@@ -84,7 +84,7 @@ HITS_ALL = HITS.replace(" having max(pos) >= 4", "")
 
 
 def _hits(spark, sf, anchors=ANCHORS, low=LOW, high=HIGH, min_rungs=4):
-    return sweeps.hit_table(paths.price_ladder(day_path(spark, sf)), anchors, low, high, min_rungs)
+    return sweeps.hit_table(paths.price_ladder(day_path(spark, sf), anchors), anchors, low, high, min_rungs)
 
 
 @query("J1_simulate_exit", TV, f"""
