@@ -1,9 +1,9 @@
 """Operator 11: alignment of two tokenizers' tokens, with corpus-wide counts of linked id pairs.
 
-1. A first pass aligns all texts and adds up, per task, how often each pair of ids is linked. The distinct pairs get a minimal
-   perfect hash.
+1. All texts are aligned once and written with their groups and links. Tasks add up how often each pair of ids is linked, and the
+   distinct pairs get a minimal perfect hash.
 2. The tasks' counts become dense vectors indexed by that hash (stored keys are verified), which are summed as a tree.
-3. A second pass aligns the texts again and looks the counts up.
+3. The written links look the counts up.
 
 Linked tokens end at the same byte, so the bytes of one are a suffix of the other's. The vocabularies thus bound the number of
 distinct pairs (``most_pairs``: at most the summed lengths of their entries, about 500,000), whatever the size of the corpus.
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import parts
+from tickloom.llm.common import parts, slices
 from tickloom.llm.dense import tree_sum
 from tickloom.llm.perfect import PerfectHash
-from tickloom.session import stage
+from tickloom.session import shared_dir, stage
 
-#: units that a task counts, or keeps the alignment of, at once
+#: units that a task keeps the alignment of
 UNITS = 400_000
 #: units that are aligned at once
 STEP = 20_000
@@ -81,6 +81,8 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         #: each id with the sign that follows it: 3 * id + 0, 1, 2
         self.signs = [f"{i}{sign}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes))) for sign in ",|;"]
+        #: whether both ids of a link fit in four bytes
+        self.narrow = max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16
         #: whether no piece has a space after another character; only then may units be encoded alone
         self.by_unit = not any(b" " in p.lstrip(b" ") for p in self.b_bytes)
 
@@ -142,45 +144,76 @@ def _added(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, total
 
 
-def linked_pairs(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """(pair, n): how often each id pair, a << 32 | b, is linked in the texts of a task. A task gives each of its pairs once."""
+def _packed(links: np.ndarray, narrow: bool) -> bytes:
+    """Links, a << 32 | b, in eight bytes each, or in four if ``narrow``."""
+    return ((links >> 32 << 16) | (links & 0xFFFF)).astype("<u4").tobytes() if narrow else links.astype("<i8").tobytes()
+
+
+def _links(column: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The links of all rows of a column of packed ones, one row after the other; ``n``: how many each row has."""
+    raw = b"".join(column.to_pylist())
+    if len(raw) == 8 * n.sum():
+        return np.frombuffer(raw, "<i8")
+    x = np.frombuffer(raw, "<u4").astype(np.int64)
+    return (x >> 16 << 32) | (x & 0xFFFF)
+
+
+def aligned_texts(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, groups, groups_sha256, links) of every row; links are packed, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = aligner(byte_level, pieces)
-        total = (np.empty(0, np.int64), np.empty(0, np.int64))
-        seen: Counter[str] = Counter()
-        texts: list[str] = []
-
-        def settled() -> tuple[np.ndarray, np.ndarray]:
-            found, bad = total, set()
-            for some in batched(seen.items(), STEP):
-                units, times = zip(*some)
-                aligned = with_.align(list(units))
-                bad.update(u for u, ok in zip(units, aligned.good.tolist()) if not ok)
-                found = _added(np.concatenate([found[0], aligned.links]), np.concatenate([found[1], np.repeat(np.array(times, np.int64), aligned.n_links)]))
-            if not bad:
-                return found
-            # texts with such a unit have no tokens at all
-            kept = [t for t in texts if bad.isdisjoint(with_.units(t))]
-            texts[:] = kept
-            seen.clear()
-            for t in kept:
-                seen.update(with_.units(t))
-            return settled()
-
+        width = 4 if with_.narrow else 8
+        table: dict[str, int] = {}  # the place of each known unit in the next four
+        groups: list[bytes] = []
+        links: list[bytes] = []
+        numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, links, 1 if it has no tokens
+        uses = np.zeros(0, np.int64)
         for batch in (x for whole in batches for x in parts(whole, "text")):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    seen.update(with_.units(text))
-                    texts.append(text)
-            if len(seen) > UNITS:
-                total = settled()
-                seen.clear()
-                texts.clear()
-        total = settled()
+            texts = [with_.units(t) if t else [] for t in batch.column("text").to_pylist()]
+            for left in batched(set(chain.from_iterable(texts)).difference(table), STEP):
+                aligned = with_.align(list(left))
+                table.update(zip(left, range(len(groups), len(groups) + len(left))))
+                groups += aligned.groups
+                raw, stops = _packed(aligned.links, with_.narrow), (width * np.cumsum(aligned.n_links)).tolist()
+                links += [raw[i:j] for i, j in zip([0, *stops], stops)]
+                numbers = np.concatenate([numbers, np.stack([aligned.n_a, aligned.n_b, aligned.n_links, ~aligned.good], 1)])
+                uses = np.append(uses, np.zeros(len(left), np.int64))
+            at = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64)
+            uses += np.bincount(at, minlength=len(uses))
+            stops = np.cumsum([0, *map(len, texts)])
+            sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[at], 0)])[stops], axis=0)
+            sums[sums[:, 3] > 0] = 0
+            places, rows = at.tolist(), []
+            for (n_a, n_b, n, _), a, b in zip(sums.tolist(), stops.tolist(), stops[1:].tolist()):
+                some = places[a:b] if n_a else []
+                text = b";".join([groups[i] for i in some])
+                rows.append((n_a, n_b, n, n, text, hashlib.sha256(text).hexdigest() if text else "", b"".join([links[i] for i in some])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
+            if len(table) > UNITS:
+                # the more used half stays, without long units
+                order = np.argsort(-uses, kind="stable")[:UNITS // 2]
+                units = list(table)
+                kept = [i for i in order.tolist() if len(units[i]) <= LONGEST and uses[i] > 1]
+                table, groups, links = {units[i]: k for k, i in enumerate(kept)}, [groups[i] for i in kept], [links[i] for i in kept]
+                numbers, uses = numbers[kept], uses[kept] // 2
+
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "links"]
+    types = [*[pa.int64()] * 4, pa.binary(), pa.string(), pa.binary()]
+    return _texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, groups_sha256 string, links binary")
+
+
+def linked_pairs(aligned: DataFrame) -> DataFrame:
+    """(pair, n): how often each id pair, a << 32 | b, is linked in the rows of ``aligned_texts`` of a task. A task gives each of its pairs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = (np.empty(0, np.int64), np.empty(0, np.int64))
+        for batch in (x for whole in batches for x in parts(whole, "links")):
+            pairs, n = np.unique(_links(batch.column(1), batch.column(0).to_numpy()), return_counts=True)
+            total = _added(np.concatenate([total[0], pairs]), np.concatenate([total[1], n]))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], ["pair", "n"])
 
-    return _texts(docs).mapInArrow(run, "pair long, n long")
+    return aligned.select("n_links", "links").mapInArrow(run, "pair long, n long")
 
 
 def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -193,7 +226,11 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     ``a1,a2|b1;a3|b2,b3``. Null and empty texts, and texts that a side doesn't give back byte by byte, have zeros and '' in
     groups and groups_sha256. Rows that repeat count each time; whole texts are read; other columns are left out. An empty table gives no rows.
     """
-    pairs = stage(linked_pairs(docs, byte_level, pieces))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    found = aligned_texts(docs, byte_level, pieces)
+    found.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    pairs = stage(linked_pairs(found))
     # bounded by the vocabularies (see most_pairs)
     index = PerfectHash(pairs.select("pair").distinct().toArrow()["pair"].to_numpy().view(np.uint64))
 
@@ -212,49 +249,19 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     np.maximum.at(highest, to, counts)
     best = counts == highest[to]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_ = aligner(byte_level, pieces)
-        table: dict[str, int] = {}  # the place of each known unit in the next three
-        groups: list[bytes] = []
-        numbers = np.zeros((0, 7), np.int64)
-        uses = np.zeros(0, np.int64)
-
-        def found(units: list[str]) -> tuple[np.ndarray, list[bytes]]:
-            """(n_a, n_b, groups, links, best links, summed counts, 1 if it has no tokens) and the groups as text of each unit."""
-            aligned = with_.align(units)
-            at = index.index(aligned.links.view(np.uint64))
-            if (at < 0).any() and aligned.good.all():
+    @F.arrow_udf("n_best long, count_sum long")
+    def looked_up(n: pa.Array, links: pa.Array) -> pa.Array:
+        sums = np.zeros((2, len(n)), np.int64)
+        for i, j in slices(links):  # a few links at once
+            some = n[i:j].to_numpy()
+            at = index.index(_links(links[i:j], some).view(np.uint64))
+            if (at < 0).any():
                 raise ValueError("a pair without a count")
-            stops = np.cumsum(aligned.n_links)
-            starts = stops - aligned.n_links
-            sums, bests = np.append(0, np.cumsum(counts[at])), np.append(0, np.cumsum(best[at]))
-            return np.stack([aligned.n_a, aligned.n_b, aligned.n_links, aligned.n_links, bests[stops] - bests[starts], sums[stops] - sums[starts], ~aligned.good], 1), aligned.groups
-
-        for batch in (x for whole in batches for x in parts(whole, "text")):
-            texts = [with_.units(t) if t else [] for t in batch.column("text").to_pylist()]
-            for left in batched(set(chain.from_iterable(texts)).difference(table), STEP):
-                more, more_groups = found(list(left))
-                table.update(zip(left, range(len(groups), len(groups) + len(left))))
-                groups += more_groups
-                numbers, uses = np.concatenate([numbers, more]), np.append(uses, np.zeros(len(left), np.int64))
-            at = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64)
-            uses += np.bincount(at, minlength=len(uses))
-            stops = np.cumsum([0, *map(len, texts)])
-            sums = np.diff(np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(numbers[at], 0)])[stops], axis=0)
-            sums[sums[:, 6] > 0] = 0
-            places, rows = at.tolist(), []
-            for (*n, _), a, b in zip(sums.tolist(), stops.tolist(), stops[1:].tolist()):
-                text = b";".join([groups[i] for i in places[a:b]]) if n[0] else b""
-                rows.append((*n, text, hashlib.sha256(text).hexdigest() if text else ""))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types[1:]))], names)
-            if len(table) > UNITS:
-                # the more used half stays, without long units
-                order = np.argsort(-uses, kind="stable")[:UNITS // 2]
-                units = list(table)
-                kept = [i for i in order.tolist() if len(units[i]) <= LONGEST and uses[i] > 1]
-                table, groups = {units[i]: k for k, i in enumerate(kept)}, [groups[i] for i in kept]
-                numbers, uses = numbers[kept], uses[kept] // 2
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256"]
-    types = [pa.int64()] * 7 + [pa.binary(), pa.string()]
-    return _texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups binary, groups_sha256 string")
+            stops = np.cumsum(some)
+            for k, x in enumerate((best, counts)):
+                total = np.append(0, np.cumsum(x[at]))
+                sums[k, i:j] = total[stops] - total[stops - some]
+        return pa.StructArray.from_arrays([pa.array(x) for x in sums], ["n_best", "count_sum"])
+
+    out = found.withColumn("_counts", looked_up("n_links", "links"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "_counts.n_best", "_counts.count_sum", "groups", "groups_sha256")
