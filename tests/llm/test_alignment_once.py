@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import alignment
 
+FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
 
 def test_texts_are_aligned_once(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"some words {i} and more of them") for i in range(40)], "doc_id long, text string").repartition(2)
@@ -18,7 +20,7 @@ def test_texts_are_aligned_once(spark, tmp_path):
         read.add(1)
         return text
 
-    args = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    args = FILES
     rows = alignment.align_tokens(docs.withColumn("text", seen.asNondeterministic()("text")), *args).collect()
     assert len(rows) == 40 and read.value == 40
     assert all(r.groups and r.n_links == r.n_groups == r.groups.count(b";") + 1 for r in rows)
@@ -36,3 +38,19 @@ def test_packed_links(narrow):
     n = np.array([3, 0, 1])
     column = pa.array([alignment._packed(links[:3], narrow), b"", alignment._packed(links[3:], narrow)], pa.binary())
     assert alignment._links(column, n).tolist() == links.tolist() and alignment._links(column[:0], n[:0]).tolist() == []
+
+
+def test_known_units_are_kept_in_arrow_arrays_and_forgotten():
+    with_ = alignment.aligner(*FILES)
+    known = alignment._Known(with_)
+    units = [f"unit{i}" for i in range(2000)] + ["x" * 100]
+    for some in (units[:700], units[700:]):
+        known.add(some)
+    want = with_.align(units)
+    assert known.groups.to_pylist() == want.groups and known.numbers.T.tolist() == np.stack([want.n_a, want.n_b, want.n_links, ~want.good], 1).tolist()
+    assert isinstance(known.groups, pa.Array) and known.links.nbytes + known.groups.nbytes + known.numbers.nbytes < 100 * len(units)
+    known.uses[:] = 2
+    known.uses[:10] = 1
+    known.forget()
+    assert list(known.table) == units[10:-1] and known.groups.to_pylist() == want.groups[10:-1]
+    assert alignment._links(pa.array([x.values.to_numpy().tobytes() for x in known.links], pa.binary()), known.numbers[2]).tolist() == want.links[want.n_links[:10].sum():len(want.links) - want.n_links[-1]].tolist()

@@ -24,6 +24,7 @@ from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from tickloom.llm.perfect import PerfectHash
 from tickloom.session import shared_dir, stage
 
 #: units that a task keeps the alignment of
-UNITS = 400_000
+UNITS = 200_000
 #: units that are aligned at once
 STEP = 20_000
 #: longer units are aligned each time
@@ -158,48 +159,63 @@ def _links(column: pa.Array, n: np.ndarray) -> np.ndarray:
     return (x >> 16 << 32) | (x & 0xFFFF)
 
 
+class _Known:
+    """The alignment of the units met so far, in Arrow arrays: a unit takes about as many bytes as its entries have."""
+
+    def __init__(self, with_: Aligner):
+        self.with_ = with_
+        self.table: dict[str, int] = {}  # the place of each unit in what follows
+        self.groups, self.links = pa.array([], pa.binary()), pa.array([], pa.list_(pa.uint32() if with_.narrow else pa.int64()))
+        self.numbers = np.zeros((4, 0), np.int32)  # n_a, n_b, links, 1 if it has no tokens
+        self.uses = np.zeros(0, np.int32)
+
+    def add(self, units: list[str]) -> None:
+        found = self.with_.align(units)
+        self.table.update(zip(units, range(len(self.uses), len(self.uses) + len(units))))
+        packed = np.frombuffer(_packed(found.links, self.with_.narrow), "<u4" if self.with_.narrow else "<i8")
+        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(found.n_links)), pa.int32()), pa.array(packed))
+        self.groups, self.links = pa.concat_arrays([self.groups, pa.array(found.groups, pa.binary())]), pa.concat_arrays([self.links, links])
+        self.numbers = np.concatenate([self.numbers, np.stack([found.n_a, found.n_b, found.n_links, ~found.good]).astype(np.int32)], 1)
+        self.uses = np.append(self.uses, np.zeros(len(units), np.int32))
+
+    def forget(self) -> None:
+        """The more used half stays, without long units."""
+        order = np.argsort(-self.uses, kind="stable")[:UNITS // 2]
+        units = list(self.table)
+        kept = np.array([i for i in order.tolist() if len(units[i]) <= LONGEST and self.uses[i] > 1], np.int64)
+        self.table = {units[i]: k for k, i in enumerate(kept.tolist())}
+        self.groups, self.links = self.groups.take(pa.array(kept)), self.links.take(pa.array(kept))
+        self.numbers, self.uses = self.numbers[:, kept], self.uses[kept] // 2
+
+
 def aligned_texts(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups, groups_sha256, links) of every row; links are packed, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ = aligner(byte_level, pieces)
-        width = 4 if with_.narrow else 8
-        table: dict[str, int] = {}  # the place of each known unit in the next four
-        groups: list[bytes] = []
-        links: list[bytes] = []
-        numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, links, 1 if it has no tokens
-        uses = np.zeros(0, np.int64)
+        width, known = 4 if with_.narrow else 8, _Known(with_)
         for batch in (x for whole in batches for x in parts(whole, "text")):
             texts = [with_.units(t) if t else [] for t in batch.column("text").to_pylist()]
-            for left in batched(set(chain.from_iterable(texts)).difference(table), STEP):
-                aligned = with_.align(list(left))
-                table.update(zip(left, range(len(groups), len(groups) + len(left))))
-                groups += aligned.groups
-                raw, stops = _packed(aligned.links, with_.narrow), (width * np.cumsum(aligned.n_links)).tolist()
-                links += [raw[i:j] for i, j in zip([0, *stops], stops)]
-                numbers = np.concatenate([numbers, np.stack([aligned.n_a, aligned.n_b, aligned.n_links, ~aligned.good], 1)])
-                uses = np.append(uses, np.zeros(len(left), np.int64))
-            at = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64)
-            uses += np.bincount(at, minlength=len(uses))
-            stops = np.cumsum([0, *map(len, texts)])
-            sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[at], 0)])[stops], axis=0)
-            sums[sums[:, 3] > 0] = 0
-            places, rows = at.tolist(), []
-            for (n_a, n_b, n, _), a, b in zip(sums.tolist(), stops.tolist(), stops[1:].tolist()):
-                some = places[a:b] if n_a else []
-                text = b";".join([groups[i] for i in some])
-                rows.append((n_a, n_b, n, n, text, hashlib.sha256(text).hexdigest() if text else "", b"".join([links[i] for i in some])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
-            if len(table) > UNITS:
-                # the more used half stays, without long units
-                order = np.argsort(-uses, kind="stable")[:UNITS // 2]
-                units = list(table)
-                kept = [i for i in order.tolist() if len(units[i]) <= LONGEST and uses[i] > 1]
-                table, groups, links = {units[i]: k for k, i in enumerate(kept)}, [groups[i] for i in kept], [links[i] for i in kept]
-                numbers, uses = numbers[kept], uses[kept] // 2
+            for left in batched(set(chain.from_iterable(texts)).difference(known.table), STEP):
+                known.add(list(left))
+            at = np.fromiter(map(known.table.__getitem__, chain.from_iterable(texts)), np.int64)
+            known.uses += np.bincount(at, minlength=len(known.uses)).astype(np.int32)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            row = np.repeat(np.arange(len(texts)), sizes)
+            good = np.bincount(row, known.numbers[3, at], len(texts)) == 0
+            at, row, sizes = at[good[row]], row[good[row]], sizes * good
+            n_a, n_b, n = (np.bincount(row, x, len(texts)).astype(np.int64) for x in known.numbers[:3, at])
+            taken = pa.array(at)
+            groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), known.groups.take(taken)), pa.scalar(b";", pa.binary()))
+            links = known.links.take(taken).flatten()
+            ends = pa.array(np.append(0, width * np.cumsum(n)), pa.int32())
+            links = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends.buffers()[1], pa.array(links.to_numpy()).buffers()[1]])
+            digests = [hashlib.sha256(g.as_buffer()).hexdigest() if some else "" for g, some in zip(groups, n_a.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n_a, n_b, n, n)), groups, pa.array(digests, pa.string()), links], names)
+            if len(known.table) > UNITS:
+                known.forget()
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "links"]
-    types = [*[pa.int64()] * 4, pa.binary(), pa.string(), pa.binary()]
     return _texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, groups_sha256 string, links binary")
 
 
@@ -228,7 +244,8 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     found = aligned_texts(docs, byte_level, pieces)
-    found.write.option("compression", "zstd").parquet(path)
+    # small row groups: what a task holds until it writes them doesn't grow with its input
+    found.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
     pairs = stage(linked_pairs(found))
     # bounded by the vocabularies (see most_pairs)
