@@ -2,10 +2,13 @@
 
 import collections
 import os
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -49,3 +52,40 @@ def test_many_whole_windows_spread(spark):
     pieces = packing.token_pieces(docs, PATH, with_ids=False).drop("ids")
     blocks = {r.sequence_id >> 20 for r in packing.pack(pieces, block=16).where("length = 2048").select("sequence_id").collect()}
     assert len(blocks) > 10
+
+
+def test_many_texts_at_once_have_the_ids_of_whole_texts(monkeypatch):
+    from tickloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 30)  # the table is cut again and again
+    monkeypatch.setattr(tokens, "STEP", 7)
+    monkeypatch.setattr(tokens, "_STATE", {})
+    tok, coder = Tokenizer.from_file(PATH), tokens.TokenCoder(PATH)
+    rng = random.Random(3)
+    signs = ["a", "the", "ing", "É", "é", "ß", "don't", "'s", " ", " ", "\n", "\t", "7", "12", ".", ",", "w" * 80, "</w>", "<w>", "日本", "\x00", "\x1c", " ", "ς", "Σ", "İ", "е́", "é", "<|endoftext|>"]
+    for k in range(30):
+        texts = [None, "", " "] + ["".join(rng.choices(signs[:16 + k % 13], k=rng.randint(1, 30))) for _ in range(40)]
+        ids, counts = coder.many(pa.array(texts, pa.string()))
+        found = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in found] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_words_are_looked_up_together(monkeypatch):
+    from tickloom.llm import tokens
+
+    calls = []
+    monkeypatch.setattr(tokens, "_STATE", {})
+    coder = tokens.TokenCoder(PATH)
+    real = tokens._Merges.ids
+    monkeypatch.setattr(tokens._Merges, "ids", lambda self, pieces: calls.append(len(pieces)) or real(self, pieces))
+    coder.many(pa.array(["some words, some more words"] * 500))
+    coder.many(pa.array(["more words, some"]))
+    assert calls == [4]  # some, words, the comma, more
+
+
+def test_lower_case_and_white_space_of_plain_characters():
+    from tickloom.llm import tokens
+
+    plain = [chr(i) for i in range(0x2100) if tokens._PLAIN.fullmatch(chr(i))]
+    assert pc.utf8_lower(pa.array(plain)).to_pylist() == [c.lower() for c in plain]
+    assert [c for c in plain if not any(pc.ascii_split_whitespace(pa.array([c]))[0].as_py())] == [c for c in plain if not c.split()]

@@ -19,9 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import parts
 from tickloom.llm.tokens import TokenCoder
 from tickloom.session import shared_dir, stage
 
+#: what a sequence says of each of its pieces
+MEMBERS = ("doc_id", "start", "length", "doc_tokens", "offset")
+#: bytes of text whose words are looked up together
+TEXT_BYTES = 1 << 23
 PIECES = "doc_id long, start long, length long, doc_tokens long, row_key long, ids binary, ids_crc32 long"
 
 
@@ -33,17 +38,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = TokenCoder(tokenizer), end_id.to_bytes(4, "little")
-        for batch in batches:
+        coder = TokenCoder(tokenizer)
+        for batch in (x for whole in batches for x in parts(whole, "text", TEXT_BYTES)):
+            found, counts = coder.many(batch.column("text"))
+            stops = np.cumsum(counts)
+            found = np.insert(found, stops, end_id).astype("<u4")
+            stops += np.arange(1, len(stops) + 1)
             rows: list[tuple] = []
-            size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.ids(text.as_py() or "") + end
-                n = len(ids) // 4
+            for doc_id, first, stop in zip(batch.column("doc_id").to_pylist(), [0, *stops.tolist()], stops.tolist()):
+                own, n = found[first:stop], stop - first
+                ids = own.tobytes()
                 whole = zlib.crc32(ids)
                 kept, step = ids, 4
-                if narrow and (a := np.frombuffer(ids, "<u4")).max() < 1 << 16:
-                    kept, step = a.astype("<u2").tobytes(), 2
+                if narrow and own.max() < 1 << 16:
+                    kept, step = own.astype("<u2").tobytes(), 2
                 at = 0
                 while at < n:
                     left = n - at
@@ -51,12 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, cut: int =
                     crc = zlib.crc32(ids[4 * at:4 * (at + length)])
                     rows.append((doc_id, at, length, n, (whole << 30) ^ (crc << 7) ^ at, kept[step * at:step * (at + length)] if with_ids else None, crc))
                     at += length
-                size += len(ids)
-                if with_ids and size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     names = [c.split()[0] for c in PIECES.split(", ")]
     types = [pa.binary() if n == "ids" else pa.int64() for n in names]
@@ -122,14 +125,17 @@ def pack(pieces: DataFrame, window: int = 2048, block: int = 64) -> DataFrame:
     one task, at most about ``block`` windows; whole windows have blocks of their own, so that a block's ids stay small however
     many there are. Sequence ids are block * 2**20 + window.
     """
+    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
+    return _dealt(pieces, window, block).groupBy("block").applyInArrow(lambda table: _placed(table, window), schema)
+
+
+def _dealt(pieces: DataFrame, window: int, block: int) -> DataFrame:
+    """Adds the block of every piece."""
     part = F.col("length") < window
     total = pieces.agg(F.sum(F.when(part, F.col("length"))), F.sum(F.when(~part, F.lit(1)))).first()
     blocks, full_blocks = max(1, (total[0] or 0) // (window * block)), max(1, (total[1] or 0) // block)
     key = F.xxhash64("doc_id", "start", "row_key")
-    dealt = pieces.withColumn("block", F.when(part, F.pmod(key, F.lit(blocks))).otherwise(F.lit(blocks) + F.pmod(key, F.lit(full_blocks))))
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("block").applyInArrow(lambda table: _placed(table, window), schema)
+    return pieces.withColumn("block", F.when(part, F.pmod(key, F.lit(blocks))).otherwise(F.lit(blocks) + F.pmod(key, F.lit(full_blocks))))
 
 
 def _placed(table: pa.Table, window: int) -> pa.Table:
@@ -147,36 +153,31 @@ def _placed(table: pa.Table, window: int) -> pa.Table:
     return table.drop_columns("block").append_column("sequence_id", pa.array(block_id * (1 << 20) + found)).append_column("offset", pa.array(offset))
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    """The sequences of one block, from its pieces by sequence and offset."""
+    table = table.combine_chunks()
+    at, length = table.column("sequence_id").to_numpy(), table.column("length").to_numpy()
+    stops = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)) if len(at) else np.zeros(0, np.int64)
+    first = np.append(0, stops)
+    ids = b"".join(map(_wide, table.column("ids").to_pylist(), length.tolist()))
+    ends = 4 * np.append(0, np.cumsum(length))[first]
+    members = pa.StructArray.from_arrays([pa.array(table.column(n).to_pylist(), pa.int64()) for n in MEMBERS], list(MEMBERS))
+    return pa.table({
+        "sequence_id": pa.array(at[first[:-1]]),
+        "ids": pa.array([ids[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())], pa.binary()),
+        "pieces": pa.ListArray.from_arrays(pa.array(first, pa.int32()), members),
+    })
+
+
 def sequences(docs: DataFrame, tokenizer: str, path: str | None = None, window: int = 2048, block: int = 64) -> DataFrame:
     """The sequences of ``docs`` (sequence_id, ids, pieces), written as Parquet at ``path`` (or below the shared folder) and read back.
 
     ids are little-endian unsigned 32-bit numbers, those of a sequence's pieces one after the other; pieces (doc_id, start, length, doc_tokens,
     offset) are by offset, and offset and length count ids. An empty table gives no sequences.
     """
-    names = ("doc_id", "start", "length", "doc_tokens", "offset")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come block by block, each sequence's pieces in turn; a sequence may go on in the next batch
-        ids: list[bytes] = []
-        members: list[tuple] = []
-        last = None
-        for batch in batches:
-            out: list[tuple] = []
-            for at, part, *row in zip(*(batch.column(n).to_pylist() for n in ("sequence_id", "ids", *names))):
-                if members and at != last:
-                    out.append((last, b"".join(ids), members))
-                    ids, members = [], []
-                last = at
-                ids.append(_wide(part, row[2]))
-                members.append(dict(zip(names, row)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["sequence_id", "ids", "pieces"])
-        if members:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((last, b"".join(ids), members), types)], ["sequence_id", "ids", "pieces"])
-
-    types = [pa.int64(), pa.binary(), pa.list_(pa.struct([(n, pa.int64()) for n in names]))]
+    schema = f"sequence_id long, ids binary, pieces array<struct<{', '.join(f'`{n}`: long' for n in MEMBERS)}>>"
     pieces = stage(token_pieces(docs, tokenizer, window, narrow=True).drop("ids_crc32"))
-    found = pack(pieces, window, block).mapInArrow(run, f"sequence_id long, ids binary, pieces array<struct<{', '.join(f'`{n}`: long' for n in names)}>>")
+    found = _dealt(pieces, window, block).groupBy("block").applyInArrow(lambda table: _joined(_placed(table, window)), schema)
     path = path or shared_dir(docs.sparkSession)
     found.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
