@@ -64,6 +64,24 @@ def test_top_k_shards_and_odd_rows(spark):
     assert search.top_k_search(df, asked.limit(0)).count() == 0
 
 
+def test_top_k_tasks_give_their_best_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "_DENSE", 40)
+    monkeypatch.setattr(search, "_POSTINGS", 500)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[int(j)] for j in rng.zipf(1.2, int(rng.integers(1, 50))) % 400)) for i in range(1500)]
+    docs += [(2000 + i, docs[3][1]) for i in range(30)]  # ties
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    asked = spark.createDataFrame([r for r in docs if r[0] % 50 == 0] + [(3, docs[3][1])], "query_id long, text string")
+    n = asked.count()
+    rows = search._best_of_tasks(df, asked, 5, 1.2, 0.75, shard=40, groups=2, chunk=10)
+    assert rows.rdd.getNumPartitions() >= 2 * -(-n // 10)
+    assert rows.count() <= 2 * 5 * n
+    found = search.top_k_search(df, asked, 5, shard=40, groups=2, chunk=10).collect()
+    same(found, brute_top(docs, [r for r in docs if r[0] % 50 == 0] + [(3, docs[3][1])], 5))
+    assert sorted((r["rank"], r.doc_id) for r in found if r.query_id == 3) == list(enumerate([3, 2000, 2001, 2002, 2003], 1))
+
+
 def brute_licenses(text, words=5):
     w = WORD.findall((text or "").translate(LOWER))
     runs = [tuple(w[i:i + words]) for i in range(len(w) - words + 1)]

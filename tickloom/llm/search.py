@@ -1,15 +1,20 @@
 """Operator 2: exact BM25 top-k search with block-max pruning per shard and an exact merge.
 
 Document frequencies and the mean length come from all documents and give each query term its weight. A shard is a run of at most
-``shard`` documents of a partition: its inverted index lives in the task that reads them, with the largest contribution of every term
-in every block of 64 documents. Queries are streamed past each shard in blocks. A query's blocks are opened in the order of their bounds, the sums
-of the largest contributions of its terms, until the next bound is below the k-th score found (ties stay open). Shards return their best k; the
+``shard`` documents of a task: its inverted index lives in the task that reads them, with the largest contribution of every term
+in every block of 64 documents. Queries are streamed past each shard, many at once. A query's blocks are opened by their bounds, the sums
+of the largest contributions of its terms: the best ones first, then all whose bound reaches the k-th score found so far (ties stay open).
+A task keeps the best k of each query over all its shards and gives them once. Documents are dealt to a fixed number of groups and queries to chunks of
+a fixed size; there is a task for each group and chunk, so rows made grow with the queries, not with the shards. The
 best k of these, by score and then by id, are exact because the weights are the same in all shards.
+
+The postings of the terms in most documents are a dense matrix by document, so that their part of the scores of many queries is a matrix product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,10 @@ from tickloom.llm.warc import _files
 from tickloom.session import shared_dir
 
 _BLOCK = 64
+#: terms with dense columns
+_DENSE = 512
+#: postings that are gathered at once, but for those of a single query
+_POSTINGS = 1 << 20
 
 
 def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -34,16 +43,22 @@ def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class _Shard:
-    """Inverted index of some documents, with the largest contribution of each term in each block."""
+    """Inverted index of some documents, with the largest contribution of each term in each block; ``common`` terms, sorted, have dense columns."""
 
-    def __init__(self, ids: list, bags: list[tuple[np.ndarray, np.ndarray]], mean: float, k1: float, b: float):
-        self.ids = ids
+    def __init__(self, ids: list, bags: list[tuple[np.ndarray, np.ndarray]], mean: float, k1: float, b: float, common: np.ndarray):
+        self.ids, self.common = np.array(ids, np.int64), common
+        self.blocks = -(-len(ids) // _BLOCK)
         sizes = np.array([len(t) for t, _ in bags])
         doc = np.repeat(np.arange(len(bags)), sizes)
         count = np.concatenate([c for _, c in bags]).astype(float) if bags else np.zeros(0)
         length = np.array([c.sum() for _, c in bags], float)
         term = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, np.uint64)
         value = count * (k1 + 1) / (count + k1 * (1 - b + b * (length / mean)[doc])) if len(doc) else count
+        column, often = _places(common, term)
+        self.dense = np.zeros((self.blocks * _BLOCK, len(common)))
+        self.dense[doc[often], column[often]] = value[often]
+        self.dense_most = self.dense.reshape(self.blocks, _BLOCK, -1).max(1) if self.blocks else np.zeros((0, len(common)))
+        doc, value, term = doc[~often], value[~often], term[~often]
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order], value[order]
         self.terms, self.first = np.unique(term[order], return_index=True)
@@ -53,50 +68,81 @@ class _Shard:
         self.cell_first, self.cell_last = np.searchsorted(cell, self.first), np.searchsorted(cell, self.last)
 
     @staticmethod
-    def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = last - first
-        which = np.repeat(np.arange(len(n)), n)
-        return np.arange(n.sum()) - (np.cumsum(n) - n)[which] + first[which], which
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (score, index) with a score over 0; equal scores by id."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        known = self.terms[at] == terms
-        at, weights = at[known], weights[known]
-        if not len(at):
-            return []
-        cells, which = self._ranges(self.cell_first[at], self.cell_last[at])
-        postings, of = self._ranges(self.first[at], self.last[at])
-        place = self.doc[postings] // _BLOCK
-        bound = np.bincount(self.block[cells], self.most[cells] * weights[which], minlength=-(-len(self.ids) // _BLOCK))
-        found: list[tuple[float, int]] = []
+    def _summed(n: int, width: int, row: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """A row of ``width`` sums for each of n queries: ``weights`` times the values from ``first`` to ``last``, each added at its place."""
+        count = last - first
+        before = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(first - before, count)
+        return np.bincount(np.repeat(row * width, count) + place[at], np.repeat(weights, count) * value[at], n * width).astype(float, copy=False).reshape(n, width)
+
+    def best(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (scores, ids) of each query, from those found before (unused places have score 0) and the documents of this shard.
+
+        ``sizes``: how many of the terms and weights each query has. Only scores over 0 count; equal scores are by id.
+        """
+        n, k = scores.shape
+        all_at, all_known = _places(self.terms, terms)
+        if n > 1 and (self.last - self.first)[all_at[all_known]].sum() > _POSTINGS:
+            half, some = n // 2, int(sizes[:n // 2].sum())
+            one = self.best(sizes[:half], terms[:some], weights[:some], scores[:half], ids[:half])
+            two = self.best(sizes[half:], terms[some:], weights[some:], scores[half:], ids[half:])
+            return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+        row = np.repeat(np.arange(n), sizes)
+        column, often = _places(self.common, terms)
+        dense = np.zeros((n, len(self.common)))
+        dense[row[often], column[often]] = weights[often]
+        at, row, weights = all_at[all_known], row[all_known], weights[all_known]
+        bound = self._summed(n, self.blocks, row, weights, self.cell_first[at], self.cell_last[at], self.block, self.most) + dense @ self.dense_most.T
+        width = len(self.dense)
+        rare = self._summed(n, width, row, weights, self.first[at], self.last[at], self.doc, self.value)
         closed = bound > 0
         for first in (True, False):  # the best blocks, then all whose bound reaches the k-th score
-            if first and closed.sum() > 8:
-                opened = np.zeros(len(bound), bool)
-                opened[np.argsort(-bound, kind="stable")[:8]] = True
-            else:
-                opened = closed & (bound + 1e-8 >= found[k - 1][0]) if len(found) >= k else closed
-            closed = closed & ~opened
-            inside = opened[place]
-            open_now = postings[inside]
-            if not len(open_now):
+            opened = closed & (bound + 1e-8 >= scores[:, -1:])
+            if first and self.blocks > 8:
+                opened &= bound >= np.partition(bound, -8, axis=1)[:, -8:-7]
+            closed &= ~opened
+            if not opened.any():
                 continue
-            score = np.round(np.bincount(self.doc[open_now], self.value[open_now] * weights[of[inside]]), 9)
-            hits = np.flatnonzero(score > 0)
-            if len(hits) > k:
-                hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
-            found = sorted(found + [(float(score[d]), int(d)) for d in hits], key=lambda x: (-x[0], self.ids[x[1]]))[:k]
-        return found
-
-
-def top_k_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard: int = 4096) -> DataFrame:
+            score = (rare.reshape(n, -1, _BLOCK) * opened[:, :, None]).reshape(n, width)
+            for i in np.flatnonzero(opened.any(0)).tolist():
+                asked = np.flatnonzero(opened[:, i])
+                score[asked, i * _BLOCK:(i + 1) * _BLOCK] += dense[asked] @ self.dense[i * _BLOCK:(i + 1) * _BLOCK].T
+            np.round(score, 9, out=score)
+            least = np.maximum(scores[:, -1], np.partition(score, -k, axis=1)[:, -k] if width > k else 0)
+            q, d = np.nonzero((score > 0) & (score >= least[:, None]))
+            old = np.nonzero(scores > 0)
+            owner, values, names = np.append(old[0], q), np.append(scores[old], score[q, d]), np.append(ids[old], self.ids[d])
+            order = np.lexsort((names, -values, owner))
+            owner, values, names = owner[order], values[order], names[order]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            kept = place < k
+            scores, ids = np.zeros_like(scores), np.zeros_like(ids)
+            scores[owner[kept], place[kept]], ids[owner[kept], place[kept]] = values[kept], names[kept]
+        return scores, ids
+
+
+def _places(sorted_terms: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each term among sorted ones, and whether it is there."""
+    if not len(sorted_terms):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+    at = np.minimum(np.searchsorted(sorted_terms, terms), len(sorted_terms) - 1)
+    return at, sorted_terms[at] == terms
+
+
+def top_k_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard: int = 4096, groups: int = 8, chunk: int = 16_384) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``k`` best documents for each query by BM25, from 1 on; equal scores by doc_id.
 
     docs: (doc_id, text), queries: (query_id, text), both with ids; rows with null ids are left out, texts without words match nothing. Words are
     runs of characters other than space and 0x09-0x0D, A-Z as a-z; a query is the set of its words. A repeated doc_id
     counts as a document of its own; a repeated query_id is one query with the words of all its rows. Scores are rounded to 9 digits within a shard.
+    Documents are read in at most ``groups`` tasks for every about ``chunk`` queries.
     """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return _best_of_tasks(docs, queries, k, k1, b, shard, groups, chunk).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _best_of_tasks(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: float, shard: int, groups: int, chunk: int) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best documents of each task for each of its queries."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
@@ -123,36 +169,51 @@ def top_k_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1
     n, mean = (total["df"], max(1e-9, total["words"] / total["df"])) if total and total["df"] else (0, 1.0)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(table.where("term is not null").select("term", "df"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("w")))).alias("x"))  # a query's own words
-    weighed.select("query_id", "x.term", "x.w").write.parquet(f"{folder}/queries")
-    paths = [r[0] for r in spark.read.parquet(f"{folder}/queries").select("_metadata.file_path").distinct().collect()] if n else []
+    weighed.select("query_id", "x.term", "x.w").write.option("maxRecordsPerFile", chunk).parquet(f"{folder}/queries")
+    sizes = spark.read.parquet(f"{folder}/queries").groupBy(F.col("_metadata.file_path").alias("path")).count().orderBy("path").collect() if n else []
+    chunks: list[list[str]] = []
+    size = 0
+    for path, some in sizes:
+        if not chunks or size + some > chunk:
+            chunks.append([])
+            size = 0
+        chunks[-1].append(path)
+        size += some
+    often = table.where("term is not null and df > 1").orderBy(F.desc("df"), "term").limit(_DENSE).select("term").collect() if chunks else []
+    common = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
+
+    def asked_in(paths: list[str]) -> Iterator[pa.RecordBatch]:
+        for path in paths:
+            files, name = _files(path)
+            with files.open_input_file(name) as f:
+                yield from pq.ParquetFile(f).iter_batches(256)
+
+    def answers(paths: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = []  # for each batch of queries
+
+        def add(ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            index = _Shard(ids, bags, mean, k1, b, common)
+            for i, part in enumerate(asked_in(paths)):
+                if i == len(best):
+                    best.append((np.zeros((len(part), k)), np.zeros((len(part), k), np.int64)))
+                terms, weights = part.column("term"), part.column("w")
+                best[i] = index.best(terms.value_lengths().to_numpy(), terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy(), *best[i])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         bags: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            index = _Shard(ids, bags, mean, k1, b)
-            if not len(index.terms):
-                return
-            for path in paths:
-                files, name = _files(path)
-                with files.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(256):
-                        rows = [(q, ids[d], s) for q, t, w in zip(part.column("query_id").to_pylist(), part.column("term"), part.column("w"))
-                                for s, d in index.best(t.values.to_numpy().view(np.uint64), w.values.to_numpy(), k)]
-                        yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": [r[2] for r in rows]}, schema=found)
-
         for batch in batches:
             for i, bag in zip(batch.column(0).to_pylist(), _bags(batch.column(1))):
                 ids.append(i)
                 bags.append(bag)
                 if len(ids) == shard:
-                    yield from answers()
+                    add(ids, bags)
                     ids, bags = [], []
         if ids:
-            yield from answers()
+            add(ids, bags)
+        for part, (scores, names) in zip(asked_in(paths) if best else (), best):
+            row, place = np.nonzero(scores > 0)
+            yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(row)), pa.array(names[row, place]), pa.array(scores[row, place])], schema=found)
 
     found = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    some = docs.mapInArrow(run, "query_id long, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    dealt = docs.coalesce(groups)
+    return reduce(DataFrame.unionAll, [dealt.mapInArrow(partial(answers, paths), "query_id long, doc_id long, score double") for paths in chunks or [[]]])
