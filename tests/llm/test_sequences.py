@@ -89,3 +89,14 @@ def test_lower_case_and_white_space_of_plain_characters():
     plain = [chr(i) for i in range(0x2100) if tokens._PLAIN.fullmatch(chr(i))]
     assert pc.utf8_lower(pa.array(plain)).to_pylist() == [c.lower() for c in plain]
     assert [c for c in plain if not any(pc.ascii_split_whitespace(pa.array([c]))[0].as_py())] == [c for c in plain if not c.split()]
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    from tickloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "BYTES", 4000)
+    monkeypatch.setattr(tokens, "_STATE", {})
+    coder = tokens.TokenCoder(PATH)
+    long = "".join(random.Random(1).choices("qxzjkv", k=5000))
+    assert coder.ids(f"short {long}") == np.array(Tokenizer.from_file(PATH).encode(f"short {long}", add_special_tokens=False).ids, "<u4").tobytes()
+    assert coder.words.words.to_pylist() == ["short"]

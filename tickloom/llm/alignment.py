@@ -35,6 +35,8 @@ from tickloom.session import shared_dir, stage
 
 #: units that a task keeps the alignment of
 UNITS = 200_000
+#: bytes of their groups that it keeps, so that long units go at once
+BYTES = 1 << 27
 #: units that are aligned at once
 STEP = 20_000
 #: longer units are aligned each time
@@ -212,7 +214,7 @@ def aligned_texts(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             links = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends.buffers()[1], pa.array(links.to_numpy()).buffers()[1]])
             digests = [hashlib.sha256(g.as_buffer()).hexdigest() if some else "" for g, some in zip(groups, n_a.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n_a, n_b, n, n)), groups, pa.array(digests, pa.string()), links], names)
-            if len(known.table) > UNITS:
+            if len(known.table) > UNITS or known.groups.nbytes > BYTES:
                 known.forget()
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "links"]

@@ -31,6 +31,8 @@ _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 #: words a worker keeps; longer ones are encoded each time
 CACHE, LONGEST = 400_000, 64
+#: bytes of ids that it keeps, so that long words go at once
+BYTES = 1 << 26
 #: pieces that go through the merges in one call
 STEP = 5_000
 
@@ -121,7 +123,7 @@ class _Words:
         at = at[coded.indices.to_numpy()]
         found = self.ids.take(pa.array(at))
         self.uses += np.bincount(at, minlength=len(self.uses))
-        if len(self.words) > CACHE:
+        if len(self.words) > CACHE or self.ids.nbytes > BYTES:
             # the more used half stays, without long words
             short = pc.binary_length(self.words).to_numpy() <= LONGEST
             order = np.argsort(-self.uses, kind="stable")[:CACHE // 2]
