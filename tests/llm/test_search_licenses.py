@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import licenses, q_search, search
@@ -82,6 +83,45 @@ def test_top_k_tasks_give_their_best_once(spark, monkeypatch):
     assert sorted((r["rank"], r.doc_id) for r in found if r.query_id == 3) == list(enumerate([3, 2000, 2001, 2002, 2003], 1))
 
 
+def test_top_k_scores_few_documents(monkeypatch):
+    """Only documents that may be among the best are scored, though scores differ by less than single precision tells."""
+    monkeypatch.setattr(search, "_DENSE", 30)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(600)]
+    docs = [(i, " ".join(words[int(j)] for j in rng.zipf(1.2, int(rng.integers(1, 80))) % 600)) for i in range(3000)]
+    docs += [(4000 + i, docs[50][1] + " w1" * (20_000 + i)) for i in range(20)]  # all but equal
+    docs += [(5000 + i, docs[100][1]) for i in range(15)]  # ties
+    asked = [r for r in docs if r[0] % 50 == 0]
+    n, mean = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    df = collections.Counter(w for _, t in docs for w in set(t.split()))
+    scored = 0
+
+    def hashes(text):
+        return next(search._bags(pa.array([text])))
+
+    code = {w: hashes(w)[0][0] for w in df}
+    common = np.sort(np.array([code[w] for w, _ in df.most_common(30)], np.uint64))
+    weight = {code[w]: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    bags_asked = [hashes(t)[0] for _, t in asked]
+    sizes, terms = np.array([len(x) for x in bags_asked]), np.concatenate(bags_asked)
+    scores, ids = np.zeros((len(asked), 10)), np.zeros((len(asked), 10), np.int64)
+    whole = search._Shard._scores
+
+    def counted(self, q, *rest):
+        nonlocal scored
+        scored += len(q)
+        return whole(self, q, *rest)
+
+    monkeypatch.setattr(search._Shard, "_scores", counted)
+    for a in range(0, n, 1000):
+        shard = search._Shard([i for i, _ in docs[a:a + 1000]], [hashes(t) for _, t in docs[a:a + 1000]], mean, 1.2, 0.75, common)
+        scores, ids = shard.best(sizes, terms, np.array([weight[t] for t in terms]), scores, ids)
+    want = brute_top(docs, asked, 10)
+    for (q, _), values, names in zip(asked, scores, ids):
+        assert [(d, pytest.approx(s, abs=2e-9)) for d, s in want[q]] == [(d, s) for d, s in zip(names.tolist(), values.tolist()) if s > 0]
+    assert scored < 0.1 * n * len(asked)
+
+
 def brute_licenses(text, words=5):
     w = WORD.findall((text or "").translate(LOWER))
     runs = [tuple(w[i:i + words]) for i in range(len(w) - words + 1)]

@@ -1,14 +1,14 @@
 """Operator 2: exact BM25 top-k search with block-max pruning per shard and an exact merge.
 
 Document frequencies and the mean length come from all documents and give each query term its weight. A shard is a run of at most
-``shard`` documents of a task: its inverted index lives in the task that reads them, with the largest contribution of every term
-in every block of 64 documents. Queries are streamed past each shard, many at once. A query's blocks are opened by their bounds, the sums
-of the largest contributions of its terms: the best ones first, then all whose bound reaches the k-th score found so far (ties stay open).
+``shard`` documents of a task, in blocks of 64 by length: its inverted index lives in the task that reads them. Queries are streamed past each shard, many at once.
+The postings of the terms in most documents are a dense matrix by document, the others lists by term. The lists of a query's terms are summed for
+all documents; a block is opened only if the most of these sums and of the block's largest dense contributions together reach the k-th score found so far. In
+opened blocks the dense part of many queries is a matrix product in single precision; the documents that this leaves among the best, ties and rounding errors
+allowed for, are scored with all digits.
 A task keeps the best k of each query over all its shards and gives them once. Documents are dealt to a fixed number of groups and queries to chunks of
 a fixed size; there is a task for each group and chunk, so rows made grow with the queries, not with the shards. The
 best k of these, by score and then by id, are exact because the weights are the same in all shards.
-
-The postings of the terms in most documents are a dense matrix by document, so that their part of the scores of many queries is a matrix product.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ _BLOCK = 64
 #: terms with dense columns
 _DENSE = 512
 #: postings that are gathered at once, but for those of a single query
-_POSTINGS = 1 << 20
+_POSTINGS = 1 << 17
+#: sums of ``_DENSE`` terms in single precision, none below 0, are off by less than half of what this factor takes away
+_LESS = 1 - 1e-3
 
 
 def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,37 +45,73 @@ def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class _Shard:
-    """Inverted index of some documents, with the largest contribution of each term in each block; ``common`` terms, sorted, have dense columns."""
+    """Inverted index of some documents, by length, with the largest contribution of each of the ``common`` terms, sorted, in each block.
+
+    Postings of the common terms are dense columns in single precision, to find documents that may be among the best, and lists by document, to score these.
+    """
 
     def __init__(self, ids: list, bags: list[tuple[np.ndarray, np.ndarray]], mean: float, k1: float, b: float, common: np.ndarray):
-        self.ids, self.common = np.array(ids, np.int64), common
+        length = np.array([c.sum() for _, c in bags], float)
+        order = np.argsort(length, kind="stable")  # blocks of like lengths have closer bounds
+        bags, length = [bags[i] for i in order.tolist()], length[order]
+        self.ids, self.common = np.array(ids, np.int64)[order], common
         self.blocks = -(-len(ids) // _BLOCK)
-        sizes = np.array([len(t) for t, _ in bags])
-        doc = np.repeat(np.arange(len(bags)), sizes)
+        doc = np.repeat(np.arange(len(bags)), [len(t) for t, _ in bags])
         count = np.concatenate([c for _, c in bags]).astype(float) if bags else np.zeros(0)
-        length = np.array([c.sum() for _, c in bags], float)
         term = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, np.uint64)
         value = count * (k1 + 1) / (count + k1 * (1 - b + b * (length / mean)[doc])) if len(doc) else count
         column, often = _places(common, term)
-        self.dense = np.zeros((self.blocks * _BLOCK, len(common)))
-        self.dense[doc[often], column[often]] = value[often]
-        self.dense_most = self.dense.reshape(self.blocks, _BLOCK, -1).max(1) if self.blocks else np.zeros((0, len(common)))
+        self.column, self.heavy = column[often], value[often]
+        self.begin = np.searchsorted(doc[often], np.arange(len(bags) + 1))
+        self.dense = np.zeros((self.blocks * _BLOCK, len(common)), np.float32)
+        self.dense[doc[often], self.column] = self.heavy
+        self.dense_most = self.dense.reshape(self.blocks, _BLOCK, -1).max(1) if self.blocks else np.zeros((0, len(common)), np.float32)
         doc, value, term = doc[~often], value[~often], term[~often]
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order], value[order]
         self.terms, self.first = np.unique(term[order], return_index=True)
         self.last = np.append(self.first[1:], len(order))
-        cell = np.flatnonzero(np.append(True, (np.diff(self.doc // _BLOCK) != 0) | np.isin(np.arange(1, len(order)), self.first))) if len(order) else np.zeros(0, int)
-        self.block, self.most = (self.doc // _BLOCK)[cell], np.maximum.reduceat(self.value, cell) if len(cell) else self.value
-        self.cell_first, self.cell_last = np.searchsorted(cell, self.first), np.searchsorted(cell, self.last)
-
-    @staticmethod
-    def _summed(n: int, width: int, row: np.ndarray, weights: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """A row of ``width`` sums for each of n queries: ``weights`` times the values from ``first`` to ``last``, each added at its place."""
-        count = last - first
-        before = np.cumsum(count) - count
-        at = np.arange(count.sum()) + np.repeat(first - before, count)
-        return np.bincount(np.repeat(row * width, count) + place[at], np.repeat(weights, count) * value[at], n * width).astype(float, copy=False).reshape(n, width)
+
+    def _rare(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sums of the weighted values of other terms than common ones, for each query and document; some postings are gathered at once."""
+        at, known = _places(self.terms, terms)
+        row, at, weights = np.repeat(np.arange(len(sizes)), sizes)[known], at[known], weights[known]
+        first, count = self.first[at], (self.last - self.first)[at]
+        begin = np.searchsorted(row, np.arange(len(sizes) + 1))
+        done = np.append(0, np.cumsum(count))[begin]
+        width = len(self.dense)
+        out = np.empty((len(sizes), width))
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + _POSTINGS, side="right")) - 1)
+            some = slice(begin[a], begin[b])
+            n = count[some]
+            place = np.repeat(first[some] - (np.cumsum(n) - n), n)
+            place += np.arange(len(place))
+            value = np.repeat(weights[some], n)
+            value *= self.value.take(place, mode="clip")  # the quickest way; no place is outside
+            place = self.doc.take(place, mode="clip")
+            place += np.repeat((row[some] - a) * width, n)
+            out[a:b] = np.bincount(place, value, (b - a) * width).reshape(b - a, width)
+            a = b
+        return out
+
+    def _near(self, opened: np.ndarray, rare: np.ndarray, light: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, queries that opened it, their scores of its documents up to single precision) of all opened blocks."""
+        for i in np.flatnonzero(opened.any(0)).tolist():
+            asked, some = np.flatnonzero(opened[:, i]), slice(i * _BLOCK, (i + 1) * _BLOCK)
+            yield i, asked, light[asked] @ self.dense[some].T + rare[asked, some]
+
+    def _scores(self, q: np.ndarray, d: np.ndarray, rare: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The scores of pairs of a query and a document, with all digits; ``weights`` of the common terms by query."""
+        score = np.empty(len(q))
+        for a in range(0, len(q), 1 << 12):
+            owner, pair = d[a:a + (1 << 12)], q[a:a + (1 << 12)]
+            n = self.begin[owner + 1] - self.begin[owner]
+            at = np.repeat(self.begin[owner] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            sums = np.bincount(np.repeat(np.arange(len(owner)), n), weights[np.repeat(pair, n), self.column[at]] * self.heavy[at], len(owner))
+            score[a:a + (1 << 12)] = np.round(sums + rare[pair, owner], 9)
+        return score
 
     def best(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids) of each query, from those found before (unused places have score 0) and the documents of this shard.
@@ -81,43 +119,39 @@ class _Shard:
         ``sizes``: how many of the terms and weights each query has. Only scores over 0 count; equal scores are by id.
         """
         n, k = scores.shape
-        all_at, all_known = _places(self.terms, terms)
-        if n > 1 and (self.last - self.first)[all_at[all_known]].sum() > _POSTINGS:
-            half, some = n // 2, int(sizes[:n // 2].sum())
-            one = self.best(sizes[:half], terms[:some], weights[:some], scores[:half], ids[:half])
-            two = self.best(sizes[half:], terms[some:], weights[some:], scores[half:], ids[half:])
-            return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
         row = np.repeat(np.arange(n), sizes)
         column, often = _places(self.common, terms)
-        dense = np.zeros((n, len(self.common)))
-        dense[row[often], column[often]] = weights[often]
-        at, row, weights = all_at[all_known], row[all_known], weights[all_known]
-        bound = self._summed(n, self.blocks, row, weights, self.cell_first[at], self.cell_last[at], self.block, self.most) + dense @ self.dense_most.T
+        heavy = np.zeros((n, len(self.common)))
+        heavy[row[often], column[often]] = weights[often]
+        light = heavy.astype(np.float32)
+        rare = self._rare(np.bincount(row[~often], minlength=n), terms[~often], weights[~often])
         width = len(self.dense)
-        rare = self._summed(n, width, row, weights, self.first[at], self.last[at], self.doc, self.value)
-        closed = bound > 0
-        for first in (True, False):  # the best blocks, then all whose bound reaches the k-th score
-            opened = closed & (bound + 1e-8 >= scores[:, -1:])
-            if first and self.blocks > 8:
-                opened &= bound >= np.partition(bound, -8, axis=1)[:, -8:-7]
-            closed &= ~opened
-            if not opened.any():
-                continue
-            score = (rare.reshape(n, -1, _BLOCK) * opened[:, :, None]).reshape(n, width)
-            for i in np.flatnonzero(opened.any(0)).tolist():
-                asked = np.flatnonzero(opened[:, i])
-                score[asked, i * _BLOCK:(i + 1) * _BLOCK] += dense[asked] @ self.dense[i * _BLOCK:(i + 1) * _BLOCK].T
-            np.round(score, 9, out=score)
-            least = np.maximum(scores[:, -1], np.partition(score, -k, axis=1)[:, -k] if width > k else 0)
-            q, d = np.nonzero((score > 0) & (score >= least[:, None]))
-            old = np.nonzero(scores > 0)
-            owner, values, names = np.append(old[0], q), np.append(scores[old], score[q, d]), np.append(ids[old], self.ids[d])
-            order = np.lexsort((names, -values, owner))
-            owner, values, names = owner[order], values[order], names[order]
-            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            kept = place < k
-            scores, ids = np.zeros_like(scores), np.zeros_like(ids)
-            scores[owner[kept], place[kept]], ids[owner[kept], place[kept]] = values[kept], names[kept]
+        bound = rare.reshape(n, self.blocks, _BLOCK).max(2) + light @ self.dense_most.T
+        least = _LESS * scores[:, -1] - 1e-8
+        fresh = np.flatnonzero(scores[:, -1] == 0)
+        if len(fresh) and self.blocks >= k:  # the best documents of k blocks: the k-th score is not below the last of these
+            most = np.zeros((len(fresh), self.blocks))
+            for i, asked, near in self._near(bound[fresh] > 0, rare[fresh], light[fresh]):
+                most[asked, i] = near.max(1)
+            least[fresh] = _LESS * np.partition(most, -k, axis=1)[:, -k] - 1e-8
+        least = np.maximum(least, 0)[:, None]
+        hits = [(asked[x], y + i * _BLOCK, near[x, y]) for i, asked, near in self._near(bound > _LESS * least, rare, light) for x, y in [np.nonzero(near > least[asked])]]
+        if not hits:
+            return scores, ids
+        q, d, near = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((-near, q))
+        q, d, near = q[order], d[order], near[order]
+        last = np.searchsorted(q, q) + k - 1  # the place of the k-th of the query's documents
+        some = (last >= np.searchsorted(q, q, side="right")) | (near >= _LESS * near[np.minimum(last, len(q) - 1)] - 1e-8)
+        q, d = q[some], d[some]
+        old = np.nonzero(scores > 0)
+        owner, values, names = np.append(old[0], q), np.append(scores[old], self._scores(q, d, rare, heavy)), np.append(ids[old], self.ids[d])
+        order = np.lexsort((names, -values, owner))
+        owner, values, names = owner[order], values[order], names[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        kept = place < k
+        scores, ids = np.zeros_like(scores), np.zeros_like(ids)
+        scores[owner[kept], place[kept]], ids[owner[kept], place[kept]] = values[kept], names[kept]
         return scores, ids
 
 
@@ -129,7 +163,7 @@ def _places(sorted_terms: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_terms[at] == terms
 
 
-def top_k_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard: int = 4096, groups: int = 8, chunk: int = 16_384) -> DataFrame:
+def top_k_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, shard: int = 4096, groups: int = 16, chunk: int = 65_536) -> DataFrame:
     """(query_id, doc_id, score, rank) of the ``k`` best documents for each query by BM25, from 1 on; equal scores by doc_id.
 
     docs: (doc_id, text), queries: (query_id, text), both with ids; rows with null ids are left out, texts without words match nothing. Words are
