@@ -9,7 +9,7 @@ so sums are exact.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,6 +18,7 @@ from tickloom.functions.clock import minutes_since_open
 from tickloom.functions.numbers import round_to
 from tickloom.operators import paths
 from tickloom.operators.cube import Best, Dim, filter_grid
+from tickloom.operators.ends import Chains, Hit
 from tickloom.session import MARKET_HOURS, SessionSpec
 
 # fixed values: default sweep lists (levels as given, exit levels in tenths of a percent)
@@ -383,9 +384,9 @@ def exit_threshold_sweep(curve: DataFrame, thresholds: Sequence[float] = THRESHO
     return per.withColumn("best", F.row_number().over(order) == 1)
 
 
-def race_over(target: float, stop: float) -> Callable[[Column, Column], Column]:
+def race_over(target: float, stop: float) -> Chains:
     """``over`` of ``paths.roi_path`` for J11's race."""
-    return lambda worst, best: (best >= target) | (worst <= stop)
+    return [[Hit(target)], [Hit(stop, up=False)]]
 
 
 def scalp_race(path: DataFrame, target: float, stop: float) -> DataFrame:
