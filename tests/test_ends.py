@@ -88,3 +88,10 @@ def test_ends_equal_a_plain_search(spark):
                     break
             hits.append(close if after is None else after)
         assert r._until == min(hits)
+
+
+@pytest.mark.parametrize("repeated", (True, False))
+def test_horizons_need_only_the_path_to_the_last_one(spark, monkeypatch, met, repeated):
+    t, k = market(spark, repeated=repeated)
+    same_on_whole_paths(monkeypatch, lambda: paths.horizon_roi(t, k, session=FULL_DAY))
+    assert few(t, k, met[0])
