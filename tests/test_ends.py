@@ -95,3 +95,10 @@ def test_horizons_need_only_the_path_to_the_last_one(spark, monkeypatch, met, re
     t, k = market(spark, repeated=repeated)
     same_on_whole_paths(monkeypatch, lambda: paths.horizon_roi(t, k, session=FULL_DAY))
     assert few(t, k, met[0])
+
+
+@pytest.mark.parametrize("repeated", (True, False))
+def test_targets_need_only_the_path_to_the_return(spark, monkeypatch, met, repeated):
+    t, k = market(spark, repeated=repeated)
+    same_on_whole_paths(monkeypatch, lambda: paths.target_attain(t, k, session=FULL_DAY))
+    assert few(t, k, met[0])
