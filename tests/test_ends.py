@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import ends, paths
+from tickloom.operators import ends, paths, stats
 from tickloom.operators.ends import Hit
 from tickloom.session import FULL_DAY, SessionSpec
 
@@ -102,3 +102,12 @@ def test_targets_need_only_the_path_to_the_return(spark, monkeypatch, met, repea
     t, k = market(spark, repeated=repeated)
     same_on_whole_paths(monkeypatch, lambda: paths.target_attain(t, k, session=FULL_DAY))
     assert few(t, k, met[0])
+
+
+@pytest.mark.parametrize("repeated", (True, False))
+def test_holding_values_need_only_the_path_to_the_last_stop(spark, monkeypatch, met, repeated):
+    t, k = market(spark, repeated=repeated)
+    over = paths.at_stop(hold=max(stats.HOLD_VALUES))
+    path = lambda: paths.roi_path(t, k, FULL_DAY, over=over, shared=True)
+    same_on_whole_paths(monkeypatch, lambda: stats.holding_outcomes(path()))
+    assert repeated or few(t, k, met[0])

@@ -73,9 +73,13 @@ _HOLD = (
 _REACH = "count(*) as trades, cast(sum(case when final_roi >= hold or (final_roi < 0.1D and final_roi > -0.1D) then 1 else 0 end) as bigint) as reached, " + _m("sum(final_roi)") + " as total_roi"
 
 
+#: every holding value is decided by the stop, or by the first later return to 0 once the highest of them was reached
+HOLDS_OVER = paths.at_stop(hold=max(stats.HOLD_VALUES))
+
+
 @query("G5_holding_value_sweep", TV, f"with {_HOLD} select hold, ticker, trade_date, {_REACH} from fin group by grouping sets ((hold), (hold, ticker), (hold, trade_date))")
 def _(spark, sf):
-    return stats.holding_value_sweep(stats.holding_outcomes(open_path(spark, sf)))
+    return stats.holding_value_sweep(stats.holding_outcomes(open_path(spark, sf, over=HOLDS_OVER, shared=True)))
 
 
 @query("G6_holding_by_vol_band", TV, f"""
@@ -83,7 +87,7 @@ with {_HOLD}, b as (select fin.*, case when vol < 0.3D then 0 when vol < 0.5D th
   join (select tick_id, {texts.VOL} as vol from ticks) k on k.tick_id = fin.trade_id where fin.entry_sec >= 24000 and vol >= 0 and vol < 5.0D)
 select band, hold, ticker, trade_date, {_REACH} from b group by grouping sets ((band, hold), (band, hold, ticker), (band, hold, trade_date))""")
 def _(spark, sf):
-    out = stats.holding_outcomes(open_path(spark, sf)).where("entry_sec >= 24000")
+    out = stats.holding_outcomes(open_path(spark, sf, over=HOLDS_OVER, shared=True)).where("entry_sec >= 24000")
     vol = trade_ops.entry_conditions(view(spark, sf, "trades"), view(spark, sf, "ticks")).select("trade_id", "entry_vol")
     banded = out.join(vol, "trade_id").withColumn("band", joins.band_of(F.col("entry_vol"), (0.0, 0.3, 0.5, 0.7, 5.0))).where("band is not null")
     return stats.holding_value_sweep(banded, ("band", "hold"))
