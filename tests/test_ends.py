@@ -33,6 +33,7 @@ def whole_paths(monkeypatch):
     """From now on every path goes to the end of the session."""
     uncut = lambda t, k, session, *_: t.withColumn("_until", F.lit(session.close_sec))
     monkeypatch.setattr(ends, "last_second", uncut)
+    monkeypatch.setattr(ends, "target_second", uncut)
 
 
 @pytest.fixture
@@ -111,3 +112,18 @@ def test_holding_values_need_only_the_path_to_the_last_stop(spark, monkeypatch,
     path = lambda: paths.roi_path(t, k, FULL_DAY, over=over, shared=True)
     same_on_whole_paths(monkeypatch, lambda: stats.holding_outcomes(path()))
     assert repeated or few(t, k, met[0])
+
+
+@pytest.mark.parametrize("repeated", (True, False))
+def test_a_best_stop_needs_only_the_path_to_the_target(spark, monkeypatch, met, repeated):
+    t, k = market(spark, repeated=repeated)
+    same_on_whole_paths(monkeypatch, lambda: paths.best_stop_loss(t, k, session=FULL_DAY))
+    assert repeated or few(t, k, met[0])
+
+
+def test_a_target_that_no_day_reaches_needs_only_first_ticks(spark, met):
+    t, k = market(spark)
+    calm = k.where("price is not null and not isnan(price)")
+    met.clear()
+    assert {r.best_sl for r in paths.best_stop_loss(t.dropDuplicates(["trade_id"]), calm, 50.0, session=FULL_DAY).collect()} == {None}
+    assert met[0].groupBy("trade_id").count().where("count > 5").count() == 0
