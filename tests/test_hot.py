@@ -144,3 +144,14 @@ def test_a_stop_state_path_needs_only_the_path_to_its_first_sure_stop(spark):
     names = ("trade_id", "side", "entry_price", "sec", "tick_id", "roi", "armed", "stopped")
     assert rows_of(paths.stop_state_path(cut).select(*names)) == rows_of(paths.stop_state_path(whole).select(*names))
     assert cut.count() < whole.count()
+
+
+def test_a_join_with_many_rows_from_few_is_dealt_to_more_tasks(spark):
+    """Spark sizes its tasks by what they read; here a few kB make many rows, all in one task before."""
+    t = spark.createDataFrame([(i, "ab"[i % 2], "d") for i in range(300)] + [(-1, None, "d")], "trade_id long, ticker string, trade_date string").hint("merge")
+    k = spark.createDataFrame([("abc"[i % 3], "d", i, i) for i in range(900)] + [(None, "d", 1, -1)], "ticker string, trade_date string, sec int, tick_id long")
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    plain, dealt = t.join(k, ["ticker", "trade_date"]), joins.equi_join(t, k, pairs=5000)
+    assert tasks(plain) == 1 and tasks(dealt) >= 6
+    assert dealt.columns == plain.columns and rows_of(dealt) == rows_of(plain)
+    assert joins.equi_join(t.limit(0), k, pairs=1).collect() == []
