@@ -155,3 +155,11 @@ def test_a_join_with_many_rows_from_few_is_dealt_to_more_tasks(spark):
     assert tasks(plain) == 1 and tasks(dealt) >= 6
     assert dealt.columns == plain.columns and rows_of(dealt) == rows_of(plain)
     assert joins.equi_join(t.limit(0), k, pairs=1).collect() == []
+
+
+def test_an_open_interval_join_repeats_no_trade(spark):
+    t, k = odd_market(spark, 120)
+    out = joins.open_interval_join(t, k, F.col("entry_sec"), FULL_DAY)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    buckets = joins.interval_join(t, k, F.col("entry_sec"), F.lit(86_400))
+    assert out.columns == buckets.columns and rows_of(out) == rows_of(buckets)
