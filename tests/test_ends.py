@@ -95,7 +95,16 @@ def test_ends_equal_a_plain_search(spark):
 def test_horizons_need_only_the_path_to_the_last_one(spark, monkeypatch, met, repeated):
     t, k = market(spark, repeated=repeated)
     same_on_whole_paths(monkeypatch, lambda: paths.horizon_roi(t, k, session=FULL_DAY))
-    assert few(t, k, met[0])
+    assert few(t, k.where("price is not null"), met[0])
+
+
+def test_a_horizon_without_a_price_has_the_last_return(spark, monkeypatch):
+    t = spark.createDataFrame([(i, "a", "d", "buy", i, i + 10, 100.0) for i in range(6)], TRADE)
+    price = lambda s: None if s == 7200 else 101.0 + s / 1e5
+    k = spark.createDataFrame([("a", "d", s, s, price(s)) for s in range(0, 20_000, 50)], TICK)
+    got = paths.horizon_roi(t, k, session=FULL_DAY).where("trade_id = 0").first()
+    assert got["roi_2h"] == round(price(19_950) - 100, 2) and got["roi_3h"] == round(price(10_800) - 100, 2)
+    same_on_whole_paths(monkeypatch, lambda: paths.horizon_roi(t, k, session=FULL_DAY))
 
 
 @pytest.mark.parametrize("repeated", (True, False))
